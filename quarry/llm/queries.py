@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import language_id, media, packing, quality, toxicity
+from quarry.llm import language_id, media, packing, pii, quality, toxicity
 from quarry.llm.common import documents, labels
 
 
@@ -33,11 +33,16 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op10_media": op10_media,
 }
 
