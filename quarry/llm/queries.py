@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import language_id, media, packing, pii, quality, toxicity
-from quarry.llm.common import documents, labels
+from quarry.llm import decontaminate, language_id, media, packing, pii, quality, toxicity
+from quarry.llm.common import benchmark, documents, labels
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +37,17 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op8_decontaminate": op8_decontaminate,
     "op10_media": op10_media,
 }
 
