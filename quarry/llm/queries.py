@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language_id, media, packing, pii, quality, toxicity
+from quarry.llm import decontaminate, language_id, media, near_duplicates, packing, pii, quality, toxicity
 from quarry.llm.common import benchmark, documents, labels
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.group(documents(spark, sf_dir), words=4)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -43,6 +47,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
