@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language_id, media, near_duplicates, packing, pii, quality, toxicity
-from quarry.llm.common import benchmark, documents, labels
+from quarry.llm import decontaminate, html_text, language_id, media, near_duplicates, packing, pii, quality, toxicity
+from quarry.llm.common import benchmark, documents, labels, pages
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop("text_hash")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(pages(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_duplicates": op2_near_duplicates,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_text": op9_html_text,
     "op10_media": op10_media,
 }
 
