@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, html_text, language_id, media, near_duplicates, packing, pii, quality, toxicity
+from quarry.llm import decontaminate, html_text, language_id, lm_scoring, media, near_duplicates, packing, pii, quality, toxicity
 from quarry.llm.common import benchmark, documents, labels, pages
 
 
@@ -49,6 +49,11 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lm_scoring.score(docs, *lm_scoring.learn(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_duplicates": op2_near_duplicates,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_decontaminate": op8_decontaminate,
     "op9_html_text": op9_html_text,
     "op10_media": op10_media,
