@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import materialise
 from quarry.llm.words import ALNUM, batch_words, hash_spans
@@ -231,6 +232,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                 hashes.append(_signed(hash_spans(w.data, w.offsets[:-1], w.offsets[1:])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(hashes))], names=[*names, "_text_hash"])
 
-    schema = docs.schema.add("_text_hash", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_text_hash", T.LongType())])
     mine = docs.mapInArrow(hashed, schema)
     return mine.join(bad.distinct(), mine["doc_id"].cast("long").eqNullSafe(bad["_d"]) & (mine["_text_hash"] == bad["_t"]), "left_anti").select(*[mine[f"`{c}`"] for c in names])
