@@ -19,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import new_path
+from quarry.llm.common import materialise, new_path
 
 #: A payload's size is a positive multiple of this.
 UNIT = 64
@@ -179,15 +178,12 @@ def parse_sequences(pages: DataFrame, id_column: str = "doc_id", html_column: st
     """(doc_id, row_key, items) of each page; row_key tells repeated rows apart."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        key = (context.partitionId() if context else 0) << 40
         for batch in batches:
-            items = [[dict(zip(("position", "kind", "text", "digest", "caption"), i)) for i in parse_sequence(p)] for p in batch.column(1).to_pylist()]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(key, key + n)), pa.array(items, pa.list_(_ITEM_ARROW))], names=["doc_id", "row_key", "items"])
-            key += n
+            items = [[dict(zip(("position", "kind", "text", "digest", "caption"), i)) for i in parse_sequence(p)] for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.list_(_ITEM_ARROW))], names=["doc_id", "row_key", "items"])
 
-    return pages.select(F.col(id_column).cast("long").alias("doc_id"), F.col(html_column).cast("string").alias("html")).mapInArrow(parsed, SEQUENCE)
+    rows = pages.select(F.col(id_column).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), F.col(html_column).cast("string").alias("html"))
+    return rows.mapInArrow(parsed, SEQUENCE)
 
 
 def resolve(sequences: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -197,7 +193,8 @@ def resolve(sequences: DataFrame, descriptions: DataFrame) -> DataFrame:
     References are joined by digest; a digest that very many rows name is split by the adaptive skew join, as the other side has
     one row for it.
     """
-    items = sequences.select("doc_id", "row_key", F.inline("items"))
+    # Written once: both branches below have to see the same row keys.
+    items = materialise(sequences.select("doc_id", "row_key", F.inline("items")), "items")
     texts = items.where(F.col("kind") == "text")
     media = items.where(F.col("kind") == "media").join(descriptions, "digest", "left")
     return media.unionByName(texts, allowMissingColumns=True)
