@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +98,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like this one that no column in `taken` has, whatever its case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """At most n rows in an Arrow batch for what is executed inside: bounds a task's memory where rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame | None, target: str, bound: int, seed: int = 17
 ) -> list[tuple[int, str, object]]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import materialise
+from quarry.llm.common import fresh, materialise
 from quarry.llm.words import ALNUM, batch_words, hash_spans
 
 WINDOW = 13
@@ -220,9 +220,10 @@ def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, with their own columns, whose text is not contaminated."""
-    bad = judge(docs, items).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
+    """The rows of docs, with their own columns whatever these are called, whose text is not contaminated."""
     names = docs.columns
+    mark, bad_id, bad_hash = (fresh(n, names) for n in ("_text_hash", "_bad_id", "_bad_hash"))
+    bad = judge(docs, items).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
     at_text = names.index("text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +231,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             hashes = [np.zeros(0, np.int64)]
             for w in batch_words(batch.column(at_text), ALNUM):
                 hashes.append(_signed(hash_spans(w.data, w.offsets[:-1], w.offsets[1:])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(hashes))], names=[*names, "_text_hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(hashes))], names=[*names, mark])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_text_hash", T.LongType())])
-    mine = docs.mapInArrow(hashed, schema)
-    return mine.join(bad.distinct(), mine["doc_id"].cast("long").eqNullSafe(bad["_d"]) & (mine["_text_hash"] == bad["_t"]), "left_anti").select(*[mine[f"`{c}`"] for c in names])
+    mine = docs.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.col(mark) == F.col(bad_hash))
+    return mine.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in names])

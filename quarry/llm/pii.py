@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import fresh
+
 MARK, NOT_MARK = "\x01", "\x02"
 SPAN = "array<struct<start:bigint,rank:int,stop:bigint,kind:string,score:double>>"
 #: Characters on either side of a match in which context words count.
@@ -115,7 +117,7 @@ def kind_spans(parts: Column, kind: Kind) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", into: str = "_spans") -> DataFrame:
     """docs and a column `into`: all spans, by start and then kind."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    names = [f"_{into}_{k.name}" for k in KINDS]
+    names = [fresh(f"_{into}_{k.name}", docs.columns) for k in KINDS]
     own = [F.col(f"`{c}`") for c in docs.columns]
     # Each step names what the next one uses several times, so that it is worked out once.
     parts = docs.select("*", *[kind_parts(whole, k).alias(n) for k, n in zip(KINDS, names)])
@@ -150,8 +152,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Null texts stay null. A column n_chars, if there is one, is brought up to date. All other columns are kept as they are.
     """
-    found = with_spans(docs, into="_spans")
-    text = F.col("text")
+    name = fresh("_spans", docs.columns)
+    found = with_spans(docs, into=name)
+    spans, text = F.col(name), F.col("text")
 
     def step(so_far: Column, span: Column) -> Column:
         new = span["start"] >= so_far["at"]
@@ -161,7 +164,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     rest = lambda end: F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.length(text)))
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", begin, step, rest)).otherwise(text)
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, rest)).otherwise(text)
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(text.isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
