@@ -123,7 +123,7 @@ def columnar_questions(df: DataFrame) -> DataFrame:
         F.arrays_zip("long_answer_candidates.start_token", "long_answer_candidates.end_token", "long_answer_candidates.top_level"),
         lambda c: F.struct(c["start_token"].alias("start_token"), c["end_token"].alias("end_token"), c["top_level"].alias("top_level")),
     )
-    spans = lambda s: F.transform(F.arrays_zip(s["start_token"], s["end_token"]), lambda p: F.struct(p["0"].alias("start_token"), p["1"].alias("end_token")))
+    spans = lambda s: F.transform(F.arrays_zip(s["start_token"], s["end_token"]), lambda p: F.struct(p["start_token"].alias("start_token"), p["end_token"].alias("end_token")))
     notes = F.transform(
         F.arrays_zip("annotations.id", "annotations.long_answer", "annotations.short_answers", "annotations.yes_no_answer"),
         lambda a: F.struct(

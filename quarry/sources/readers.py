@@ -21,13 +21,13 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """True for a file with content or a folder, wherever Spark can read it."""
+def exists(spark: SparkSession, path: str, empty: bool = False) -> bool:
+    """True for a file with content (or any file, if it may be empty) or a folder, wherever Spark can read it."""
     fs, target = _fs(spark, path)
     if not fs.exists(target):
         return False
     status = fs.getFileStatus(target)
-    return status.isDirectory() or status.getLen() > 0
+    return empty or status.isDirectory() or status.getLen() > 0
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -171,7 +171,7 @@ def read_named(spark: SparkSession, path: str, fmt: str = "parquet", limit: int
 
 def read_stage(spark: SparkSession, path: str) -> DataFrame | None:
     """A finished stage, None if it was never finished. A damaged one raises: it is not silently made anew."""
-    return spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS") else None
+    return spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS", empty=True) else None
 
 
 def read_export(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("train", "validation"), optional: tuple[str, ...] = ("validation_index",), most_eval: int = 0) -> Corpus:
