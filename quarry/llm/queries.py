@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, html_text, language_id, lm_scoring, media, near_duplicates, packing, pii, quality, toxicity
+from quarry.llm import decontaminate, html_text, language_id, lm_scoring, media, near_duplicates, oracles, packing, pii, quality, toxicity
 from quarry.llm.common import benchmark, documents, labels, pages
 
 
@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": op10_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_near_duplicates": oracles.NEAR_DUPLICATES, "op8_decontaminate": oracles.DECONTAMINATION}
