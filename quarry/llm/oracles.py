@@ -26,7 +26,7 @@ d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F
 z AS (SELECT DISTINCT size FROM g),
 o AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS k, unnest(list_transform(range(1, len(w) - size + 2), lambda k: array_to_string(list_slice(w, k, k + size - 1), ' '))) AS g FROM d JOIN z ON len(w) >= size),
 m AS (SELECT DISTINCT o.doc_id, o.k, o.size, g.item_id FROM o JOIN g ON g.g = o.g AND g.size = o.size),
-h AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS at FROM m) GROUP BY doc_id),
+h AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS spot FROM m) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
