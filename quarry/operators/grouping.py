@@ -14,20 +14,20 @@ def _number(groups: DataFrame, first: str) -> DataFrame:
     return with_dense_order(groups, [first], "_n").withColumn("docid", F.col("_n").cast("string")).drop("_n")
 
 
-def group_by_key(rows: DataFrame, key: Column, order: Column, source: Column, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+def group_by_key(rows: DataFrame, key: Column, order: Column, source: Column, carry: list[str], sources: bool = True) -> tuple[DataFrame, DataFrame]:
     """(documents, queries) of a stream of examples in which the first example of a key makes its document.
 
     documents: docid, source_ids (distinct, in order of arrival), n_examples, the first example's `carry` columns. queries: every
     example with the docid of its key. Large groups never gather their texts: only the first example's are picked, by a combiner.
+    source_ids is a list in one row; where groups may be too large for that, `sources=False` leaves it out, and the queries, which
+    hold the same pairs one by one, take its place.
     """
     keyed = rows.withColumn("_key", key).withColumn(ORD, order).withColumn("_source", source.cast("string"))
-    groups = keyed.groupBy("_key").agg(
-        F.min(ORD).alias("_first"), F.count("*").alias("n_examples"), F.min_by(F.struct(*carry), F.col(ORD)).alias("_row"),
-        F.array_sort(F.collect_list(F.struct(F.col(ORD).alias("o"), F.col("_source").alias("s")))).alias("_sources"),
-    )
+    listed = [F.array_sort(F.collect_list(F.struct(F.col(ORD).alias("o"), F.col("_source").alias("s")))).alias("_sources")] if sources else []
+    groups = keyed.groupBy("_key").agg(F.min(ORD).alias("_first"), F.count("*").alias("n_examples"), F.min_by(F.struct(*carry), F.col(ORD)).alias("_row"), *listed)
     numbered = _number(groups, "_first")
-    sources = F.array_distinct(F.transform("_sources", lambda s: s["s"]))
-    documents = numbered.select("docid", sources.alias("source_ids"), "n_examples", F.col("_row.*"))
+    distinct = [F.array_distinct(F.transform("_sources", lambda s: s["s"])).alias("source_ids")] if sources else []
+    documents = numbered.select("docid", *distinct, "n_examples", F.col("_row.*"))
     queries = keyed.join(numbered.select("_key", "docid"), "_key").drop("_key", ORD, "_source")
     return documents, queries
 

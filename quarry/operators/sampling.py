@@ -83,9 +83,18 @@ def one_query_per_document(rows: DataFrame, epoch: int, seed: int, key: str) ->
     The result carries `_shuffle`, the order of the epoch.
     """
     queries = rows.where("kind = 'query'").withColumn("_o", shuffle_key(seed, "per-document", "docid", key))
+    # The order is by a hash, so its first two digits cut a docid's queries into 256 ordered parts of like size. Counts of the
+    # parts, made by a combiner, say which part holds the wanted row, and only that part is ranked: a docid that has a third of
+    # all queries is never one task's.
+    queries = queries.withColumn("_part", F.substring("_o", 1, 2))
+    counts = queries.groupBy("docid", "_part").agg(F.count("*").alias("_c"))
     mine = Window.partitionBy("docid")
-    ranked = queries.withColumn("_r", F.row_number().over(mine.orderBy("_o", key)) - 1).withColumn("_n", F.count("*").over(mine))
-    picked = ranked.where(F.col("_r") == F.lit(epoch) % F.col("_n")).drop("_o", "_r", "_n")
+    upto = F.sum("_c").over(mine.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = counts.withColumn("_upto", upto).withColumn("_want", F.lit(epoch) % F.sum("_c").over(mine))
+    part = wanted.where((F.col("_want") < F.col("_upto")) & (F.col("_want") >= F.col("_upto") - F.col("_c")))
+    part = part.select("docid", "_part", (F.col("_want") - F.col("_upto") + F.col("_c")).alias("_place"))
+    ranked = queries.join(part, ["docid", "_part"]).withColumn("_r", F.row_number().over(mine.orderBy("_o", key)) - 1)
+    picked = ranked.where(F.col("_r") == F.col("_place")).select(*rows.columns)
     both = rows.where("kind = 'document'").unionByName(picked)
     return shuffled(both, seed + EPOCH_STEP * (epoch + 1), key, "epoch")
 
