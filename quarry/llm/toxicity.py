@@ -19,7 +19,7 @@ from quarry.llm.common import is_held_out, labelled_sample
 from quarry.llm.words import byte_class, hash_spans, mix, text_slices, words_of
 
 #: Most labelled rows that a fit reads (twice that where hashes are uneven): the documented bound of the fit.
-SAMPLE = 10_000
+SAMPLE = 8_000
 THRESHOLD = 0.5
 #: Words within this distance of a second-person pronoun count as addressed.
 NEAR = 5
@@ -107,8 +107,9 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> Cut:
     np.cumsum(_IS_DISGUISE[low], out=odd[1:])
     n_odd = odd[ends] - odd[starts]
     disguised = (n_odd > 0) & (letters[ends] - letters[starts] >= 2)
-    clear = words.copy()
+    clear = words
     if disguised.any():
+        clear = words.copy()
         clear[disguised] = hash_spans(_UNDISGUISE[low], starts[disguised], ends[disguised])
     size = np.maximum(np.diff(offsets), 1)
     capital = (data - np.uint8(65)) < 26
