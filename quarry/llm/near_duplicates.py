@@ -2,14 +2,16 @@
 
 Every different text gets a signature of COORDINATES minima. It is posted under each (coordinate, value) pair; pairs that no other
 text has cannot collide and fall away. Two texts of the wanted similarity agree in at least MATCHES coordinates but for a chance of
-about one in a million, so it is enough to meet under a prefix: a text's postings are ordered by how common they are, and only the
-rarest ones, all but MATCHES - 1 of its coordinates, are joined. Values that very many texts share stand last and are skipped
-by all texts that have enough else. Agreements of the pairs met are then counted over all coordinates, pairs below MATCHES are
-dropped, and the rest are confirmed on the full shingle sets.
-
-A posting list of very many copies is not expanded into all its pairs. Its members are first compared with its least one. Only
-where a list still spans several components are the pairs between different components compared; those within one cannot add
-anything. So no link between different texts that could join two groups is left out.
+1.3 in a hundred thousand (at 0.85: 7 in a hundred million), so it is enough to meet under a prefix: a text's postings are ordered
+by how common they are, and only the rarest ones, all but MATCHES - 1 of its coordinates, are joined. Values that very many texts
+share stand last and are skipped by all texts that have enough else. Of the pairs met, agreements are counted over SKETCH further
+coordinates of one byte each; pairs below SKETCH_MATCHES are dropped, and the rest are confirmed on the full shingle sets.
+
+A posting list of very many copies is not expanded into all its pairs. Lists with the same members count once. The members are
+first compared with the list's leader, the one whose coordinates are most common: in a group of copies with small changes that is the
+text they come from. Only where a list still spans several components are pairs between different components compared, block
+against block, and only those survive as rows whose longer sketches leave the similarity possible. Pairs within one component cannot
+add anything. So no link between different texts that could join two groups is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import batch_rows, fresh, materialise
 from quarry.llm.components import components
 from quarry.llm.words import NOT_SPACE, Words, batch_words, mix
 
@@ -29,11 +31,18 @@ COORDINATES, MATCHES = 48, 26
 WORDS = 5
 #: Similarity from which texts are linked, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
+#: Coordinates of the longer sketch, one byte each, and the agreements below which it rules the similarity out: the mean of two
+#: texts at the similarity less five standard deviations.
+SKETCH, SKETCH_MATCHES = 1024, 756
+#: Members of a posting list that are compared with each other at a time.
+BLOCK = 256
 #: Bits of the filter that says which texts a confirmation needs: its size is fixed, whatever the input.
 FILTER_BITS = 1 << 23
 
 _A = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(np.arange(101, COORDINATES + 101, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+_SKETCH_A = (mix(np.arange(1001, 1001 + SKETCH, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_SKETCH_B = (mix(np.arange(5001, 5001 + SKETCH, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _ROW = mix(np.arange(11, 43, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 SIGNED = "doc_id long, c1 long, c2 long, n_shingles long, signature binary"
@@ -83,6 +92,16 @@ def signatures(s: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """SKETCH further minima of one set, one byte of each."""
+    low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    values = (s >> np.uint64(32)).astype(np.uint32)
+    for lo in range(0, values.size, 2048):
+        part = values[lo : lo + 2048]
+        np.minimum(low, (part[None, :] * _SKETCH_A[:, None] + _SKETCH_B[:, None]).min(axis=1), out=low)
+    return (low & np.uint32(0xFF)).astype(np.uint8).tobytes()
+
+
 def _binary(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() if v else None for r, v in zip(rows, valid.tolist())], pa.binary())
 
@@ -120,29 +139,92 @@ def post(classes: DataFrame) -> DataFrame:
 
 
 def prefixes(postings: DataFrame) -> DataFrame:
-    """(key, rep) of the rarest postings of each text that can meet another in MATCHES coordinates at all."""
-    common = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = postings.join(common, "key")
+    """(key, rep, common) of the rarest postings of each text that can meet another in MATCHES coordinates at all.
+
+    common: how often the text's coordinates stand in other texts, all together.
+    """
+    shared_keys = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = postings.join(shared_keys, "key")
     mine = Window.partitionBy("rep")
-    ranked = shared.withColumn("rank", F.row_number().over(mine.orderBy("n", "key"))).withColumn("left", F.count("*").over(mine))
+    ranked = shared.select(
+        "key", "rep", F.row_number().over(mine.orderBy("n", "key")).alias("rank"), F.count("*").over(mine).alias("left"), F.sum("n").over(mine).alias("common")
+    )
     # Of all COORDINATES postings those that nobody shares are rarest, and already passed over.
-    return ranked.where(F.col("rank") <= F.col("left") - (MATCHES - 1)).select("key", "rep")
+    return ranked.where(F.col("rank") <= F.col("left") - (MATCHES - 1)).select("key", "rep", "common")
+
 
+def lists_of(met: DataFrame) -> DataFrame:
+    """(key, rep, leader) of the posting lists of two members at least; of lists with the same members only one."""
+    sums = [F.sum(F.xxhash64("rep", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)]
+    every = met.groupBy("key").agg(F.count("*").alias("n"), *sums, F.min_by("rep", F.struct(-F.col("common"), F.col("rep"))).alias("leader")).where("n > 1")
+    once = every.groupBy("n", "h0", "h1").agg(F.min(F.struct("key", "leader")).alias("k")).select("k.key", "k.leader")
+    return met.select("key", "rep").join(once, "key")
 
-def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in at least MATCHES coordinates."""
+
+def _agree(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return (one == two).sum(axis=-1) >= SKETCH_MATCHES
+
+
+def agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches leave the similarity possible."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((one == two).sum(axis=1) >= MATCHES))
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3))
+                yield batch.select(["a", "b"]).filter(pa.array(_agree(one, two)))
 
-    one, two = (signed.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
+    one, two = (sets.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(counted, "a long, b long")
 
 
+def across(members: DataFrame) -> DataFrame:
+    """(a, b): pairs of members of one list in different components whose sketches leave the similarity possible.
+
+    members: key, rep, component, sketch, keys (all lists of the text). A list is dealt into blocks by hash, each a row; blocks of a
+    list meet in a join, and each pair of blocks is compared in place, so that pairs that are no candidates are never rows. Of the
+    lists that two texts share only the first one, by key, gives the pair.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    packed = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "component", "sketch", "keys")).alias("members"))
+    one, two = packed.select("key", F.col("block").alias("i"), F.col("members").alias("mi")), packed.select("key", F.col("block").alias("j"), F.col("members").alias("mj"))
+
+    def unpacked(rows: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        m = rows[k].values
+        keys = m.field(3).to_pylist()
+        table = np.full((len(keys), COORDINATES), -1, np.int64)
+        for row, own in zip(table, keys):
+            row[: len(own)] = own
+        return m.field(0).to_numpy(zero_copy_only=False), m.field(1).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(m.field(2).to_pylist()), np.uint8).reshape(-1, SKETCH), table
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, none = SKETCH // 8, np.iinfo(np.int64).max
+        # Of the first eighth, as many agreements less as five of its own standard deviations allow.
+        least = int(0.8008 * head - 5 * (0.8008 * 0.1992 * head) ** 0.5)
+        for batch in batches:
+            left, right = [], []
+            for k, key in enumerate(batch.column(0).to_pylist()):
+                ra, ca, sa, ka = unpacked(batch.column(1), k)
+                rb, cb, sb, kb = unpacked(batch.column(2), k)
+                for x in range(ra.size):
+                    maybe = np.flatnonzero(cb != ca[x])
+                    maybe = maybe[(sb[maybe, :head] == sa[x, :head]).sum(axis=1) >= least]
+                    maybe = maybe[_agree(sb[maybe], sa[x])]
+                    if maybe.size:
+                        theirs = kb[maybe]
+                        shared = np.where(np.isin(theirs, ka[x][ka[x] >= 0]), theirs, none)
+                        maybe = maybe[shared.min(axis=1) == key]
+                        left.append(np.full(maybe.size, ra[x]))
+                        right.append(rb[maybe])
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+
+    return one.join(two, "key").where("i <= j").select("key", "mi", "mj").mapInArrow(compared, "a long, b long")
+
+
 def _filter_words(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of these ids, FILTER_BITS long: aggregated on the executors, its words come to the driver."""
     bits = F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)) for k in range(3)])
@@ -154,7 +236,7 @@ def _filter_words(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles) of the documents in ids: the full sorted set as 64-bit numbers."""
+    """(rep, shingles, sketch) of the documents in ids, and of few others: the full sorted set as 64-bit numbers, and its sketch."""
     spark = docs.sparkSession
     mask = _filter_words(ids)
     table = spark.sparkContext.broadcast(np.unpackbits(mask.view(np.uint8), bitorder="little"))
@@ -170,13 +252,14 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             for w in batch_words(wanted.column(1), NOT_SPACE):
                 s, borders, _ = shingle_sets(w, words)
                 sets = pa.array([s[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([wanted.column(0)[w.lo : w.hi], sets], names=["rep", "shingles"])
+                sketches = pa.array([sketch(s[a:b]) for a, b in zip(borders[:-1], borders[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([wanted.column(0)[w.lo : w.hi], sets, sketches], names=["rep", "shingles", "sketch"])
 
     hashed = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"),
         *[F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(k)), F.lit(FILTER_BITS)).alias(f"h{k}") for k in range(3)],
     )
-    return hashed.mapInArrow(cut, "rep long, shingles binary")
+    return hashed.mapInArrow(cut, "rep long, shingles binary, sketch binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -200,11 +283,11 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(checked, "a long, b long")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, signed: DataFrame, words: int) -> DataFrame:
-    pairs = materialise(agreeing(pairs, signed), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(sets_of(docs, ids, words), "sets")
-    return materialise(confirm(pairs, sets).distinct(), "links")
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    pairs = materialise(pairs, "pairs")
+    # A row holds two whole sets, of texts of any length.
+    with batch_rows(pairs.sparkSession, 500):
+        return materialise(confirm(pairs, sets).distinct(), "links")
 
 
 def group(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -219,23 +302,22 @@ def group(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # Exact copies fold into one class before anything is joined; the combiner does most of it ahead of the shuffle.
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
     classes = materialise(classes, "classes")
-    met = materialise(prefixes(post(classes)), "prefixes")
-    reps = classes.select("rep", "signature").join(met.select("rep").distinct(), "rep", "left_semi")
-    reps = materialise(reps, "reps")
+    lists = materialise(lists_of(materialise(prefixes(post(classes)), "prefixes")), "lists")
+    sets = materialise(sets_of(docs, lists.select(F.col("rep").alias("id")).distinct(), words), "sets")
 
-    leaders = met.groupBy("key").agg(F.min("rep").alias("a"))
-    first = met.join(leaders, "key").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct()
-    links = _links(docs, first, reps, words)
+    first = lists.where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+    links = _confirmed(agreeing(first, sets), sets)
     found = materialise(components(links), "components")
 
     # Lists that span several components: only pairs of different ones can still add anything.
-    placed = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = lists.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = materialise(placed.join(spread, "key", "left_semi"), "open")
-    one = open_.select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    two = open_.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"))
-    apart = one.join(two, "key").where(F.col("cx") < F.col("cy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _links(docs, apart.join(first, ["a", "b"], "left_anti"), reps, words)
+    own = lists.groupBy("rep").agg(F.collect_list("key").alias("keys"))
+    members = placed.join(spread, "key", "left_semi").join(sets.select("rep", "sketch"), "rep").join(own, "rep")
+    # Rows of the comparison are whole blocks, so a batch holds few of them.
+    with batch_rows(docs.sparkSession, 16):
+        apart = materialise(across(members), "apart")
+    more = _confirmed(apart.distinct().join(first, ["a", "b"], "left_anti"), sets)
 
     home = found.select("node", "component")
     joined = more.join(home.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(home.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -259,7 +341,10 @@ def placed_components(found: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of docs, with their own columns, that are the kept one of their group; of repeated rows one stays."""
-    drop = group(docs, words).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_dropped")).distinct()
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti").select(*own)
+    """The rows of docs, with their own columns whatever these are called, that are the kept one of their group.
+
+    Rows that repeat an id are one document and stay or go together; rows without an id stay.
+    """
+    gone = fresh("_gone", docs.columns)
+    drop = group(docs, words).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(drop, F.col("doc_id").cast("long") == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
