@@ -30,8 +30,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Open windows that one packer holds before it pours them together: a bound of its memory.
 MOST_OPEN = 4096
-#: Words and word pieces that one worker remembers.
-MOST_WORDS = 1_000_000
+#: Words and word pieces that one worker remembers, about 150 MB of them: workers live on and keep that.
+MOST_WORDS = 500_000
 ROWS_OUT = 20_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -76,52 +76,56 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.keys, self.slots = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.pool, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.start, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            got = self.pieces[piece] = [t.id for t in self.merge(shown)]
+            got = self.pieces[piece] = array("I", [t.id for t in self.merge(shown)]).tobytes()
         return got
 
-    def ids_of(self, texts: list[str]) -> tuple[list[int], list[int]]:
-        """The ids of these words in turn, and where the ids of each end."""
-        ids: list[int] = []
-        ends: list[int] = []
-        plain = self.split is not None and self.PLAIN_LINES.fullmatch(lines := "\n".join(texts))
-        if plain and len(texts) > 1:
+    def ids_of(self, texts: list[str], parts: list[bytes], counts: list[int]) -> None:
+        """Append the ids of these words, in pieces, and how many bytes of ids each word has."""
+        known = self.pieces
+        if len(texts) > 1 and self.split is not None and self.PLAIN_LINES.fullmatch(lines := "\n".join(texts)):
+            n = 0
             for piece in self.split_lines.findall(lines.lower()):
                 if piece == "\n":
-                    ends.append(len(ids))
+                    counts.append(n)
+                    n = 0
                 else:
-                    ids += self.pieces.get(piece) or self.piece(piece)
-            ends.append(len(ids))
-            return ids, ends
-        if len(texts) > 64:
+                    ids = known.get(piece) or self.piece(piece)
+                    parts.append(ids)
+                    n += len(ids)
+            counts.append(n)
+        elif len(texts) > 64:
             half = len(texts) // 2
-            (ids, ends), (more, later) = self.ids_of(texts[:half]), self.ids_of(texts[half:])
-            ends += [len(ids) + e for e in later]
-            return ids + more, ends
-        for text in texts:
-            if self.split is not None and self.PLAIN.fullmatch(text):
-                for piece in self.split.findall(text.lower()):
-                    ids += self.piece(piece)
-            else:
-                ids += self.tokenizer.encode(text, add_special_tokens=False).ids
-            ends.append(len(ids))
-        return ids, ends
+            self.ids_of(texts[:half], parts, counts)
+            self.ids_of(texts[half:], parts, counts)
+        else:
+            for text in texts:
+                if self.split is not None and self.PLAIN.fullmatch(text):
+                    mine = [self.piece(piece) for piece in self.split.findall(text.lower())]
+                else:
+                    mine = [array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()]
+                parts += mine
+                counts.append(sum(map(len, mine)))
 
     def learn(self, keys: np.ndarray, place: np.ndarray, texts: list[str]) -> None:
         """Add new words; `place` is where their keys belong among the sorted ones."""
-        ids, ends = self.ids_of(texts)
+        parts: list[bytes] = []
+        counts: list[int] = []
+        self.ids_of(texts, parts, counts)
+        ids = np.frombuffer(b"".join(parts), np.uint32)
+        ends = np.cumsum(counts) // 4
         while self.used + len(ids) > self.pool.size:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
-        bounds = np.array([0, *ends], dtype=np.int64)
+        bounds = np.concatenate([[0], ends]).astype(np.int64)
         self.slots = np.insert(self.slots, place, np.arange(self.start.size, self.start.size + len(texts)))
         self.keys = np.insert(self.keys, place, keys)
         self.start = np.concatenate([self.start, self.used + bounds[:-1]])
