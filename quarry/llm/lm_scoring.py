@@ -1,18 +1,22 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A bidirectional window network predicts every word of a text from the two words on either side: position tables feed a hidden layer,
-which feeds a softmax over word classes; within its class a word has its share of the corpus count. The score of a document is the
-sum of the logarithms of these conditional probabilities over all its words.
-
-Everything is gathered from all documents. Words are counted over the whole corpus. The network is trained where the data lies: each
-task masks one word in MASK of each of its documents, runs gradient descent in numpy from the common start, and hands over its
+which feeds a softmax over word classes in two steps, first the group of the class, then the class in its group. The most frequent
+words are classes of their own, the others share classes by hash; both kinds grow with the square root of the number of different
+words. Within a shared class a word has its share of the corpus count. The score of a document is the sum of the logarithms of
+these conditional probabilities over all its words.
+
+Everything is gathered from all documents. Words are counted by their spelling in a table of the shared folder, one row a word,
+which no process holds: scores meet it in a join with the words of each block of texts. The network is trained where the data lies:
+each task masks one word in MASK of each of its documents, runs gradient descent in numpy from the common start, and hands over its
 weights, which are averaged by the number of words behind them, first in groups on the executors and then on the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +24,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import materialise, new_path
 from quarry.llm.words import NOT_SPACE, Words, batch_words, mix
 
-#: Hashed vocabulary; its most frequent entries are classes of their own, the others share classes by hash.
+#: Slots by which words share classes; no count is kept by slot.
 BUCKETS = 1 << 17
+#: Least numbers of classes, for words of their own and shared; above, so many times the root of the number of different words.
 OWN, SHARED = 96, 32
+OWN_ROOTS, SHARED_ROOTS = 4, 1
 CLASSES = OWN + SHARED
-EDGE = CLASSES
+#: The last row of a position table.
+EDGE = -1
 SIDES = (-2, -1, 1, 2)
 HIDDEN = 24
 MASK = 16
 BATCH, CHUNK = 512, 8192
+#: Bytes of text whose different words are listed together.
+BLOCK = 2 << 20
 #: Groups in which weights are averaged before the driver sees them: bounds what it receives.
-GROUPS = 32
-SHAPES = {"tables": (len(SIDES), CLASSES + 1, HIDDEN), "out": (HIDDEN, CLASSES), "bias": (CLASSES,)}
+GROUPS = 8
 
 SCORES = "doc_id long, n_words long, log_likelihood double, mean_log_probability double, pseudo_perplexity double"
 
@@ -42,100 +51,190 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(47)).astype(np.int64)
 
 
-def count(docs: DataFrame) -> np.ndarray:
-    """How often each bucket's words stand in all documents."""
+def spelled(w: Words, at: np.ndarray) -> pa.Array:
+    """The bytes of some words."""
+    offsets = np.zeros(at.size + 1, np.int64)
+    np.cumsum(w.ends[at] - w.starts[at], out=offsets[1:])
+    data = w.data[np.repeat(w.starts[at] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.binary(), at.size, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+@dataclass
+class Counts:
+    """table: word (its bytes, lower case), hash, n; a row for every different word of the corpus."""
+
+    table: DataFrame
+
+    def sum(self) -> int:
+        return self.table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def count(docs: DataFrame) -> Counts:
+    """How often each word stands in all documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for w in batch_words(batch.column(0), NOT_SPACE):
-                total += np.bincount(bucket_of(w.hashes()), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+            for w in batch_words(batch.column(0), NOT_SPACE, most=BLOCK):
+                some, at, n = np.unique(w.hashes(), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([spelled(w, at), pa.array(some.view(np.int64)), pa.array(n)], names=["word", "hash", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(BUCKETS, np.int64)
-    for r in rows.collect():  # at most BUCKETS rows
-        out[r[0]] = r[1]
-    return out
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(counted, "word binary, hash long, n long")
+    return Counts(materialise(rows.groupBy("word", "hash").agg(F.sum("n").alias("n")), "words"))
 
 
 @dataclass
 class Vocabulary:
-    """cls: class of each bucket. within: log of a bucket's share of its class (one count more than seen)."""
+    """cls: class of each slot. weight: counts of each slot's words and one more for each. total: logarithm of each class's weight
+    (0 for a word of its own). hashes, ids: words of their own, by hash, and their classes. counts: the table of all words."""
 
     cls: np.ndarray
-    within: np.ndarray
+    weight: np.ndarray
+    total: np.ndarray
     prior: np.ndarray
-
-
-def vocabulary(counts: np.ndarray) -> Vocabulary:
-    top = np.argsort(-counts, kind="stable")[:OWN]
-    cls = OWN + np.arange(BUCKETS) % SHARED
-    cls[top] = np.arange(OWN)
-    more = counts + 1.0
-    total = np.bincount(cls, more, CLASSES)
-    return Vocabulary(cls.astype(np.int64), np.log(more / total[cls]), np.log(total / total.sum()))
+    hashes: np.ndarray
+    ids: np.ndarray
+    counts: DataFrame | None = None
+
+    @property
+    def within(self) -> np.ndarray:
+        """Logarithm of each slot's share of its class."""
+        return np.log(self.weight) - self.total[self.cls]
+
+
+def vocabulary(counts: np.ndarray, kinds: np.ndarray | int = 1, hashes: np.ndarray | None = None, own: np.ndarray | None = None, shared: int = SHARED) -> Vocabulary:
+    """counts, kinds: occurrences and number of words that share each slot. hashes, own: words of their own and their occurrences."""
+    hashes = np.zeros(0, np.uint64) if hashes is None else hashes
+    own = np.zeros(hashes.size) if own is None else own
+    cls = hashes.size + np.arange(BUCKETS) % shared
+    weight = counts + kinds + 0.0
+    sums = np.bincount(cls, weight, hashes.size + shared)
+    total = np.log(np.where(np.arange(sums.size) < hashes.size, 1, sums))
+    sums[: hashes.size] = own
+    order = np.argsort(hashes)
+    return Vocabulary(cls.astype(np.int64), weight, total, np.log(sums / sums.sum()), hashes[order], order.astype(np.int64))
+
+
+def classes(counts: Counts) -> Vocabulary:
+    """The classes of a corpus. The driver sees the words of their own and one row for each slot."""
+    table = counts.table
+    root = math.isqrt(table.count())
+    top = table.orderBy(F.desc("n"), "word").limit(max(OWN, OWN_ROOTS * root)).select("hash", "n").collect()
+    hashes = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    own = np.array([r[1] for r in top], np.float64)
+    n, kinds = np.zeros(BUCKETS), np.ones(BUCKETS)  # one more word in each slot: that which the corpus never had
+    for r in table.groupBy(F.shiftrightunsigned("hash", 47).alias("slot")).agg(F.sum("n"), F.count("*")).collect():
+        n[r[0]] += r[1]
+        kinds[r[0]] += r[2]
+    np.subtract.at(n, bucket_of(hashes), own)
+    np.subtract.at(kinds, bucket_of(hashes), 1)
+    return replace(vocabulary(n, kinds, hashes, own, max(SHARED, SHARED_ROOTS * root)), counts=table)
 
 
 @dataclass
 class Network:
+    """A class is place c % n of group c // n, n being the places of a group."""
+
     tables: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    inner: np.ndarray
+    inner_bias: np.ndarray
+
+    @staticmethod
+    def shapes(n: int) -> list[tuple[int, ...]]:
+        places = math.isqrt(n - 1) + 1
+        groups = -(-n // places)
+        return [(len(SIDES), n + 1, HIDDEN), (HIDDEN, groups), (groups,), (groups, HIDDEN, places), (groups, places)]
 
     @classmethod
     def start(cls, prior: np.ndarray, seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
-        return cls(*(rng.normal(0, s, SHAPES[k]).astype(np.float32) for k, s in (("tables", 0.3), ("out", 0.2))), prior.astype(np.float32))
+        tables, out, bias, inner, inner_bias = cls.shapes(prior.size)
+        full = np.full(inner_bias, -1e9)  # places without a class stay impossible
+        full.reshape(-1)[: prior.size] = prior
+        most = full.max(axis=1, keepdims=True)
+        group = most[:, 0] + np.log(np.exp(full - most).sum(axis=1))
+        parts = (rng.normal(0, 0.3, tables), rng.normal(0, 0.2, out), group, rng.normal(0, 0.2, inner), np.maximum(full - group[:, None], -1e9))
+        return cls(*(x.astype(np.float32) for x in parts))
 
     @classmethod
-    def unpack(cls, flat: np.ndarray) -> Network:
+    def unpack(cls, flat: np.ndarray, n: int) -> Network:
         parts, at = [], 0
-        for shape in SHAPES.values():
-            n = int(np.prod(shape))
-            parts.append(flat[at : at + n].reshape(shape).astype(np.float32))
-            at += n
+        for shape in cls.shapes(n):
+            size = math.prod(shape)
+            parts.append(flat[at : at + size].reshape(shape).astype(np.float32))
+            at += size
         return cls(*parts)
 
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.tables, self.out, self.bias, self.inner, self.inner_bias
+
     def pack(self) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for x in (self.tables, self.out, self.bias)]).astype(np.float64)
+        return np.concatenate([x.reshape(-1) for x in self.parts()])
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         return np.tanh(sum(self.tables[j][around[:, j]] for j in range(len(SIDES))))
 
+    def runs(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """(group, place, runs of equal groups) of targets in the order of their groups."""
+        group, place = np.divmod(target, self.inner_bias.shape[1])
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), target.size]
+        return group, place, [(int(group[a]), a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target class between its neighbours."""
         out = np.empty(target.size)
         for lo in range(0, target.size, CHUNK):
-            z = self.hidden(around[lo : lo + CHUNK]) @ self.out + self.bias
+            order = lo + np.argsort(target[lo : lo + CHUNK])
+            h = self.hidden(around[order])
+            group, place, runs = self.runs(target[order])
+            z = h @ self.out + self.bias
             z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), target[lo : lo + CHUNK]]
-            out[lo : lo + CHUNK] = own - np.log(np.exp(z).sum(axis=1))
+            logs = (z[np.arange(len(z)), group] - np.log(np.exp(z).sum(axis=1))).astype(np.float64)
+            for k, a, b in runs:
+                y = h[a:b] @ self.inner[k] + self.inner_bias[k]
+                y -= y.max(axis=1, keepdims=True)
+                logs[a:b] += y[np.arange(b - a), place[a:b]] - np.log(np.exp(y).sum(axis=1))
+            out[order] = logs
         return out
 
     def descend(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
+        order = np.argsort(target)
+        around = around[order]
+        group, place, runs = self.runs(target[order])
         h = self.hidden(around)
-        z = h @ self.out + self.bias
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(target.size), target] -= 1
-        z /= target.size
-        back = (z @ self.out.T) * (1 - h * h)
+
+        def slope(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            z /= z.sum(axis=1, keepdims=True)
+            z[np.arange(own.size), own] -= 1
+            z /= target.size
+            return z
+
+        z = slope(h @ self.out + self.bias, group)
+        back = z @ self.out.T
         self.out -= rate * (h.T @ z)
         self.bias -= rate * z.sum(axis=0)
-        one = np.zeros((target.size, CLASSES + 1), np.float32)
-        rows = np.arange(target.size)
+        for k, a, b in runs:
+            y = slope(h[a:b] @ self.inner[k] + self.inner_bias[k], place[a:b])
+            back[a:b] += y @ self.inner[k].T
+            self.inner[k] -= rate * (h[a:b].T @ y)
+            self.inner_bias[k] -= rate * y.sum(axis=0)
+        back *= 1 - h * h
         for j in range(len(SIDES)):
-            one[rows, around[:, j]] = 1
-            self.tables[j] -= rate * (one.T @ back)
-            one[rows, around[:, j]] = 0
-
-
-def contexts(w: Words, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, classes, neighbours' classes, row) of every word; beyond its text's edge a word's neighbour is EDGE."""
-    buckets = bucket_of(w.hashes())
-    own = cls[buckets]
+            order = np.argsort(around[:, j])
+            rows = around[order, j]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            self.tables[j][rows[first]] -= rate * np.add.reduceat(back[order], first, axis=0)
+
+
+def contexts(w: Words, cls: np.ndarray, words: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, classes, neighbours' classes, row) of every word; beyond its text's edge a word's neighbour is EDGE."""
+    hashes = w.hashes()
+    own = cls[bucket_of(hashes)]
+    if words is not None and words.hashes.size:
+        at = np.minimum(np.searchsorted(words.hashes, hashes), words.hashes.size - 1)
+        own = np.where(words.hashes[at] == hashes, words.ids[at], own)
     row = np.repeat(np.arange(w.hi - w.lo), np.diff(w.first))
     around = np.full((own.size, len(SIDES)), EDGE, np.int64)
     for j, side in enumerate(SIDES):
@@ -143,26 +242,26 @@ def contexts(w: Words, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
         if own.size > abs(side):
             same = row[a] == row[b]
             around[a, j] = np.where(same, own[b], EDGE)
-    return buckets, own, around, row
+    return hashes, own, around, row
 
 
 def train(docs: DataFrame, words: Vocabulary, rate: float = 1.0) -> Network:
     """Average of networks trained by all tasks on the masked words of their documents."""
     spark = docs.sparkSession
     begin = Network.start(words.prior)
-    shared = spark.sparkContext.broadcast((words.cls, begin))
+    shared = spark.sparkContext.broadcast((replace(words, counts=None), begin))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, first = shared.value
-        net, seen = Network(first.tables.copy(), first.out.copy(), first.bias.copy()), 0
+        words, first = shared.value
+        net, seen = Network(*(x.copy() for x in first.parts())), 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
         for batch in batches:
             for w in batch_words(batch.column(0), NOT_SPACE):
-                buckets, own, around, row = contexts(w, cls)
+                hashes, own, around, row = contexts(w, words.cls, words)
                 # Which words are masked depends on the text alone.
                 place = (np.arange(own.size) - np.repeat(w.first[:-1], np.diff(w.first))).astype(np.uint64)
-                masked = np.flatnonzero(mix(buckets.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place) % np.uint64(MASK) == 0)
+                masked = np.flatnonzero(mix(bucket_of(hashes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place) % np.uint64(MASK) == 0)
                 held.append((around[masked], own[masked]))
                 waiting += masked.size
                 if waiting >= 8 * BATCH:
@@ -188,9 +287,9 @@ def train(docs: DataFrame, words: Vocabulary, rate: float = 1.0) -> Network:
             for g, n, weights in zip(*(c.to_pylist() for c in batch.columns)):
                 held = totals.setdefault(g, [0, 0.0])
                 held[0] += n
-                held[1] = held[1] + n * np.frombuffer(weights)
+                held[1] = held[1] + n * np.frombuffer(weights, np.float32).astype(np.float64)
         for g, (n, total) in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).tobytes()], pa.binary())], names=["g", "n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["g", "n", "weights"])
 
     layout = "g int, n long, weights binary"
     parts = docs.select(F.col("text").cast("string")).mapInArrow(local, layout).repartition(GROUPS, "g").mapInArrow(averaged, layout)
@@ -198,28 +297,50 @@ def train(docs: DataFrame, words: Vocabulary, rate: float = 1.0) -> Network:
     if not got:
         return begin
     n = sum(r[1] for r in got)
-    return Network.unpack(sum(r[1] / n * np.frombuffer(r[2]) for r in got))
+    return Network.unpack(sum(r[1] / n * np.frombuffer(r[2], np.float32) for r in got), words.prior.size)
+
 
+#: A block of texts: its rows, and for each row in packed numbers its words, those in shared classes, and the logarithms that the
+#: network and the classes give; then the different words of shared classes, and for each occurrence which of them it is.
+BLOCKS = "block long, ids array<long>, n binary, rare binary, logs binary, words array<binary>, codes binary"
 
-def _scored(batches: Iterator[pa.RecordBatch], words: Vocabulary, net: Network) -> Iterator[pa.RecordBatch]:
+
+def _blocks(batches: Iterator[pa.RecordBatch], words: Vocabulary, net: Network) -> Iterator[pa.RecordBatch]:
+    context, block = TaskContext.get(), 0
+    part = context.partitionId() if context else 0
     for batch in batches:
-        total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-        for w in batch_words(batch.column(1), NOT_SPACE):
-            buckets, own, around, row = contexts(w, words.cls)
-            if own.size:
-                logs = net.log_probability(around, own) + words.within[buckets]
-                total[w.lo : w.hi] = np.bincount(row, logs, w.hi - w.lo)
-            n[w.lo : w.hi] = np.diff(w.first)
-        some = n > 0
-        mean = total / np.maximum(n, 1)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(total), pa.array(mean, mask=~some), pa.array(np.exp(np.minimum(-mean, 700)), mask=~some)],
-            names=["doc_id", "n_words", "log_likelihood", "mean_log_probability", "pseudo_perplexity"],
-        )
+        for w in batch_words(batch.column(1), NOT_SPACE, most=BLOCK):
+            rows = w.hi - w.lo
+            hashes, own, around, row = contexts(w, words.cls, words)
+            logs = np.bincount(row, net.log_probability(around, own) - words.total[own], rows)
+            rare = np.flatnonzero(own >= words.hashes.size)
+            _, at, codes = np.unique(hashes[rare], return_index=True, return_inverse=True)
+            packed = [np.diff(w.first).astype(np.int64), np.bincount(row[rare], minlength=rows).astype(np.int64), logs.astype(np.float64), codes.astype(np.int32)]
+            n, few, logs, codes = (pa.array([x.tobytes()], pa.binary()) for x in packed)
+            ids = pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), batch.column(0)[w.lo : w.hi])
+            spellings = pa.ListArray.from_arrays(pa.array([0, at.size], pa.int32()), spelled(w, rare[at]))
+            yield pa.RecordBatch.from_arrays([pa.array([part << 33 | block], pa.int64()), ids, n, few, logs, spellings, codes], names=["block", "ids", "n", "rare", "logs", "words", "codes"])
+            block += 1
+
+
+def _scored(block: pa.Table, counts: pa.Table) -> pa.Table:
+    """The scores of a block's rows. counts: (at, place, n) of its words of shared classes."""
+    more = np.zeros(counts.num_rows)
+    if counts.num_rows:
+        more[counts["place"].to_numpy()] = np.log(counts["n"].to_numpy() + 1.0)
+    ids, *packed = (block[k][0].as_py() for k in ("ids", "n", "rare", "logs", "codes"))  # one row a block
+    n, rare, logs, codes = (np.frombuffer(x, t) for x, t in zip(packed, (np.int64, np.int64, np.float64, np.int32)))
+    logs = logs + np.bincount(np.repeat(np.arange(rare.size), rare), more[codes], rare.size)
+    some = n > 0
+    mean = logs / np.maximum(n, 1)
+    return pa.table({
+        "doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "log_likelihood": pa.array(logs, pa.float64()),
+        "mean_log_probability": pa.array(mean, mask=~some), "pseudo_perplexity": pa.array(np.exp(np.minimum(-mean, 700)), mask=~some),
+    })
 
 
 def learn(docs: DataFrame) -> tuple[Vocabulary, Network]:
-    words = vocabulary(count(docs))
+    words = classes(count(docs))
     return words, train(docs, words)
 
 
@@ -227,9 +348,15 @@ def score(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
     """doc_id, n_words, log_likelihood (natural logarithms, summed), its mean over words, and the pseudo-perplexity.
 
     Null and empty texts have no words, likelihood 0 and null means. Words that the corpus never had are scored like others of
-    their class. Equal texts get equal scores up to rounding, repeated rows stay repeated and count in training, an empty table
-    gives no row. Only doc_id and text are read. Texts are read whole.
+    their class with a count of 0. Equal texts get equal scores up to rounding, repeated rows stay repeated and count in training,
+    an empty table gives no row. Only doc_id and text are read. Texts are read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((words, net))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((replace(words, counts=None), net))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _scored(batches, *shared.value), SCORES)
+    path = new_path(spark, "blocks")
+    rows.mapInArrow(lambda batches: _blocks(batches, *shared.value), BLOCKS).write.option("parquet.block.size", 16 << 20).parquet(path)
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    places = blocks.select(F.col("block").alias("at"), F.posexplode("words").alias("place", "word"))
+    counted = places.join(words.counts.select("word", "n"), "word", "left").select("at", "place", F.coalesce("n", F.lit(0)).alias("n"))
+    return blocks.drop("words").groupBy("block").cogroup(counted.groupBy("at")).applyInArrow(_scored, SCORES)

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from quarry.llm import html_text, lm_scoring, media
 from quarry.llm.words import NOT_SPACE, batch_words
@@ -52,6 +53,33 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(np.bincount(words.cls, np.exp(words.within)), 1)
 
 
+def test_words_that_share_a_class_keep_their_counts(spark):
+    """More words than slots: each has its own count, and the classes grow with their number."""
+    n = lm_scoring.BUCKETS + 20_000
+    texts = [" ".join(f"r{k}" for k in range(lo, min(lo + 2000, n))) for lo in range(0, n, 2000)]
+    counts = lm_scoring.count(documents(spark, [*texts, "R7 r8 r7"]).repartition(3))
+    assert counts.table.count() == n and counts.sum() == n + 3
+    assert {bytes(r.word): r.n for r in counts.table.where("n > 1").collect()} == {b"r7": 3, b"r8": 2}
+    words = lm_scoring.classes(counts)
+    assert words.prior.size > 4 * lm_scoring.CLASSES and abs(np.exp(words.prior).sum() - 1) < 1e-3
+
+
+def test_scores_equal_those_of_counts_in_memory(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"v{int(rng.paretovariate(0.4)) % 5000}" for _ in range(300)) for _ in range(40)]
+    docs = documents(spark, [*texts, "never seen before"])
+    words, net = lm_scoring.learn(documents(spark, texts).repartition(3))
+    seen = {}
+    for word in " ".join(texts).split():
+        seen[word] = seen.get(word, 0) + 1
+    got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs.repartition(2), words, net).collect()}
+    for k, text in enumerate([*texts, "never seen before"]):
+        w = next(batch_words(pa.array([text]), NOT_SPACE))
+        _, own, around, _ = lm_scoring.contexts(w, words.cls, words)
+        within = [0 if c < words.hashes.size else math.log(seen.get(x, 0) + 1) - words.total[c] for x, c in zip(text.split(), own)]
+        assert math.isclose(got[k], net.log_probability(around, own).sum() + sum(within), rel_tol=1e-6)
+
+
 def test_contexts_stay_in_their_text():
     import pyarrow as pa
 
