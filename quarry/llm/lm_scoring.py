@@ -8,7 +8,7 @@ these conditional probabilities over all its words.
 
 Everything is gathered from all documents. Words are counted by their spelling in a table of the shared folder, one row a word,
 which no process holds: scores meet it in a join with the words of each block of texts. The network is trained where the data lies:
-each task masks one word in MASK of each of its documents, runs gradient descent in numpy from the common start, and hands over its
+each task masks every word of each of its documents once, runs gradient descent in numpy from the common start, and hands over its
 weights, which are averaged by the number of words behind them, first in groups on the executors and then on the driver.
 """
 
@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, new_path
-from quarry.llm.words import NOT_SPACE, Words, batch_words, mix
+from quarry.llm.common import batch_rows, materialise, new_path
+from quarry.llm.words import NOT_SPACE, Words, batch_words
 
 #: Slots by which words share classes; no count is kept by slot.
 BUCKETS = 1 << 17
@@ -37,10 +37,9 @@ CLASSES = OWN + SHARED
 EDGE = -1
 SIDES = (-2, -1, 1, 2)
 HIDDEN = 24
-MASK = 16
 BATCH, CHUNK = 512, 8192
-#: Bytes of text whose different words are listed together.
-BLOCK = 2 << 20
+#: Bytes of text whose different words are listed together, and rows handed to Python at a time: both bound a task's memory.
+BLOCK, ROWS = 1 << 20, 1000
 #: Groups in which weights are averaged before the driver sees them: bounds what it receives.
 GROUPS = 8
 
@@ -79,7 +78,8 @@ def count(docs: DataFrame) -> Counts:
                 yield pa.RecordBatch.from_arrays([spelled(w, at), pa.array(some.view(np.int64)), pa.array(n)], names=["word", "hash", "n"])
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(counted, "word binary, hash long, n long")
-    return Counts(materialise(rows.groupBy("word", "hash").agg(F.sum("n").alias("n")), "words"))
+    with batch_rows(docs.sparkSession, ROWS):
+        return Counts(materialise(rows.groupBy("word", "hash").agg(F.sum("n").alias("n")), "words"))
 
 
 @dataclass
@@ -181,6 +181,14 @@ class Network:
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), target.size]
         return group, place, [(int(group[a]), a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
+    def within(self, h: np.ndarray, group: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """What the places of each target's group have before the softmax."""
+        y = np.empty((len(h), self.inner_bias.shape[1]), np.float32)
+        for k, a, b in runs:
+            np.matmul(h[a:b], self.inner[k], out=y[a:b])
+        y += self.inner_bias[group]
+        return y
+
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target class between its neighbours."""
         out = np.empty(target.size)
@@ -191,11 +199,9 @@ class Network:
             z = h @ self.out + self.bias
             z -= z.max(axis=1, keepdims=True)
             logs = (z[np.arange(len(z)), group] - np.log(np.exp(z).sum(axis=1))).astype(np.float64)
-            for k, a, b in runs:
-                y = h[a:b] @ self.inner[k] + self.inner_bias[k]
-                y -= y.max(axis=1, keepdims=True)
-                logs[a:b] += y[np.arange(b - a), place[a:b]] - np.log(np.exp(y).sum(axis=1))
-            out[order] = logs
+            y = self.within(h, group, runs)
+            y -= y.max(axis=1, keepdims=True)
+            out[order] = logs + y[np.arange(len(y)), place] - np.log(np.exp(y).sum(axis=1))
         return out
 
     def descend(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
@@ -215,11 +221,12 @@ class Network:
         back = z @ self.out.T
         self.out -= rate * (h.T @ z)
         self.bias -= rate * z.sum(axis=0)
+        y = slope(self.within(h, group, runs), place)
         for k, a, b in runs:
-            y = slope(h[a:b] @ self.inner[k] + self.inner_bias[k], place[a:b])
-            back[a:b] += y @ self.inner[k].T
-            self.inner[k] -= rate * (h[a:b].T @ y)
-            self.inner_bias[k] -= rate * y.sum(axis=0)
+            back[a:b] += y[a:b] @ self.inner[k].T
+            self.inner[k] -= rate * (h[a:b].T @ y[a:b])
+        if runs:
+            self.inner_bias[[k for k, _, _ in runs]] -= rate * np.add.reduceat(y, [a for _, a, _ in runs], axis=0)
         back *= 1 - h * h
         for j in range(len(SIDES)):
             order = np.argsort(around[:, j])
@@ -246,7 +253,7 @@ def contexts(w: Words, cls: np.ndarray, words: Vocabulary | None = None) -> tupl
 
 
 def train(docs: DataFrame, words: Vocabulary, rate: float = 1.0) -> Network:
-    """Average of networks trained by all tasks on the masked words of their documents."""
+    """Average of networks trained by all tasks, with every word of their documents as target once."""
     spark = docs.sparkSession
     begin = Network.start(words.prior)
     shared = spark.sparkContext.broadcast((replace(words, counts=None), begin))
@@ -258,12 +265,9 @@ def train(docs: DataFrame, words: Vocabulary, rate: float = 1.0) -> Network:
         waiting = 0
         for batch in batches:
             for w in batch_words(batch.column(0), NOT_SPACE):
-                hashes, own, around, row = contexts(w, words.cls, words)
-                # Which words are masked depends on the text alone.
-                place = (np.arange(own.size) - np.repeat(w.first[:-1], np.diff(w.first))).astype(np.uint64)
-                masked = np.flatnonzero(mix(bucket_of(hashes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place) % np.uint64(MASK) == 0)
-                held.append((around[masked], own[masked]))
-                waiting += masked.size
+                _, own, around, _ = contexts(w, words.cls, words)
+                held.append((around, own))
+                waiting += own.size
                 if waiting >= 8 * BATCH:
                     around, own = (np.concatenate(x) for x in zip(*held))
                     full = waiting - waiting % BATCH
@@ -293,7 +297,8 @@ def train(docs: DataFrame, words: Vocabulary, rate: float = 1.0) -> Network:
 
     layout = "g int, n long, weights binary"
     parts = docs.select(F.col("text").cast("string")).mapInArrow(local, layout).repartition(GROUPS, "g").mapInArrow(averaged, layout)
-    got = sorted((r[0], r[1], bytes(r[2])) for r in parts.collect())  # at most GROUPS rows
+    with batch_rows(spark, ROWS):
+        got = sorted((r[0], r[1], bytes(r[2])) for r in parts.collect())  # at most GROUPS rows
     if not got:
         return begin
     n = sum(r[1] for r in got)
@@ -355,7 +360,8 @@ def score(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
     shared = spark.sparkContext.broadcast((replace(words, counts=None), net))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     path = new_path(spark, "blocks")
-    rows.mapInArrow(lambda batches: _blocks(batches, *shared.value), BLOCKS).write.option("parquet.block.size", 16 << 20).parquet(path)
+    with batch_rows(spark, ROWS):
+        rows.mapInArrow(lambda batches: _blocks(batches, *shared.value), BLOCKS).write.option("parquet.block.size", 16 << 20).parquet(path)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     places = blocks.select(F.col("block").alias("at"), F.posexplode("words").alias("place", "word"))
     counted = places.join(words.counts.select("word", "n"), "word", "left").select("at", "place", F.coalesce("n", F.lit(0)).alias("n"))

@@ -80,6 +80,21 @@ def test_scores_equal_those_of_counts_in_memory(spark):
         assert math.isclose(got[k], net.log_probability(around, own).sum() + sum(within), rel_tol=1e-6)
 
 
+def test_every_word_is_a_target_once(spark):
+    """One task's weights are averaged by the words behind them: as many as the texts have, in batches that hold each once."""
+    texts = ["one", "two words", None, "", " ".join(f"m{k % 700}" for k in range(9001))]
+    docs = documents(spark, texts).coalesce(1)
+    words = lm_scoring.classes(lm_scoring.count(docs))
+    net = lm_scoring.train(docs, words)
+    once = lm_scoring.Network.start(words.prior)
+    w = next(batch_words(pa.array(texts), NOT_SPACE))
+    _, own, around, _ = lm_scoring.contexts(w, words.cls, words)
+    assert own.size == 9004
+    for lo in range(0, own.size, lm_scoring.BATCH):
+        once.descend(around[lo : lo + lm_scoring.BATCH], own[lo : lo + lm_scoring.BATCH], 1 / (1 + lo / 200_000))
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(net.parts(), once.parts()))
+
+
 def test_contexts_stay_in_their_text():
     import pyarrow as pa
 
