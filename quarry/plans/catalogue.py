@@ -141,6 +141,14 @@ def first_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where(F.least(F.length("x"), F.length("y")) < 300).select("doc_id", text.first_difference("x", "y").alias("first_difference"))
 
 
+@query()
+def first_differences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As first_differences, for pairs of any length; its SQL would be too slow on whole texts."""
+    docs = table(spark, sf_dir, "documents")
+    pairs = docs.select("doc_id", F.col("text").alias("x")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("y")), "doc_id")
+    return pairs.select("doc_id", text.first_difference("x", "y").alias("first_difference"))
+
+
 @query("SELECT 'all' AS split_set, (SELECT count(*) FROM customer) AS documents, (SELECT count(*) FROM orders WHERE o_orderkey % 10 <> 0) AS train_pairs, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS validation_pairs")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.corpus_stats({"all": tables.customers(spark, sf_dir)})

@@ -298,3 +298,17 @@ def test_streams(spark, tmp_path):
 def test_stats_table(spark):
     shown = grouping.render_stats(grouping.corpus_stats({"full": corpus(spark)}))
     assert "20" in shown and "48" in shown and "12" in shown
+
+
+def test_whole_queries_cut_nothing(spark):
+    from quarry.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    expected = {}
+    for k, x in texts.items():
+        if k + 1 in texts:
+            y = texts[k + 1]
+            expected[k] = None if x == y else next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    got = {r.doc_id: r.first_difference for r in catalogue.QUERIES["first_differences_whole"](spark, sf).collect()}
+    assert got == expected and any(min(len(texts[k]), len(texts[k + 1])) >= 300 for k in got)
