@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,33 @@ def top_k(scores: Column, ids: Column, k: int) -> Column:
     pairs = F.zip_with(ids, scores, lambda i, s: F.struct(s.cast("double").alias("s"), i.alias("i")))
     order = lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)
     return F.transform(F.slice(F.array_sort(pairs, order), 1, k), lambda p: p["i"])
+
+
+def nearest_products(queries: DataFrame, rows: DataFrame, k: int, block: int = 256, chunk: int = 2048) -> DataFrame:
+    """qid and the ids (array, best first, ties to the smaller) of the k rows with the largest products, for every query against all
+    rows. queries, rows: id long, v array. Blocks of queries meet chunks of rows, each pair hands on its k best for a query.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def packed(df: DataFrame, size: int, name: str) -> DataFrame:
+        n = -(-df.count() // size) or 1
+        group = F.pmod(F.xxhash64("id"), F.lit(n))
+        return df.groupBy(group.alias("g")).agg(F.collect_list(F.struct("id", F.col("v").cast("array<double>").alias("v"))).alias(name)).drop("g")
+
+    def best(batches):
+        for batch in batches:
+            for q, r in zip(batch.column(0), batch.column(1)):
+                q, r = q.as_py(), r.as_py()
+                r.sort(key=lambda x: x["id"])
+                a, b = (np.array([x["v"] for x in side]) for side in (q, r))
+                ids, total = np.array([x["id"] for x in r]), np.zeros((len(q), len(r)))
+                for j in range(a.shape[1]):  # in the order of the dimensions, so that equal vectors have equal products
+                    total += a[:, j, None] * b[None, :, j]
+                top = np.argsort(-total, axis=1, kind="stable")[:, :k]
+                qid = np.repeat([x["id"] for x in q], top.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ids[top].reshape(-1)), pa.array(np.take_along_axis(total, top, 1).reshape(-1))], names=["qid", "id", "s"])
+
+    pairs = packed(queries, block, "q").crossJoin(packed(rows, chunk, "r")).select("q", "r").repartition(F.xxhash64("q", "r"))
+    found = pairs.mapInArrow(best, "qid long, id long, s double").groupBy("qid").agg(F.collect_list("id").alias("ids"), F.collect_list("s").alias("s"))
+    return found.select("qid", top_k(F.col("s"), F.col("ids"), k).alias("ids"))

@@ -201,6 +201,17 @@ def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.select("example_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"), "title", F.col("source_ids")[0].alias("source_id"), F.col("question_text").alias("question"))
 
 
+@query("""
+SELECT doc_id AS example_id, md5(lower(substr(text, 1, 4000))) AS text_md5, length(lower(substr(text, 1, 4000))) AS n_chars, '' AS title, CAST(doc_id AS VARCHAR) AS source_id,
+       split_part(text, chr(10), 1) AS question FROM documents
+""")
+def question_rows_4000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_rows with the text limit of the questions plugin."""
+    rows = tables.examples(spark, sf_dir)
+    document = rows.select("example_id", "question_text", *projections.question_document("document_text", "document_url", "example_id", 4000))
+    return document.select("example_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"), "title", F.col("source_ids")[0].alias("source_id"), F.col("question_text").alias("question"))
+
+
 @query("SELECT CAST(p_partkey AS VARCHAR) AS docid, concat_ws(' ', nullif(lower(trim(p_name)), ''), nullif(lower(trim(substr(p_type, 1, 8))), '')) AS text, lower(trim(p_name)) AS title FROM part")
 def ranking_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
@@ -373,6 +384,13 @@ def task_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokens.add_task_prefix(ids, F.lit("document")).cast("array<string>"), ",").alias("ids"))
 
 
+@query(f"SELECT doc_id, array_to_string(list_append(list_concat({_IDS.format(x=chr(39) + 'index:' + chr(39))}, list_slice({_IDS.format(x='text')}, 1, 32)), 1), ',') AS ids FROM documents")
+def task_prefix_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """task_prefix with the tokenizer's limit, on whole texts."""
+    ids = tokens.text_tokens(F.col("text"), F.lit("document"), document_max=32)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokens.add_task_prefix(ids, F.lit("document")).cast("array<string>"), ",").alias("ids"))
+
+
 @query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 + 259 AS INTEGER) AS label, CAST(2 AS INTEGER) AS n, '<doc_' || lpad(CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS VARCHAR), CAST(length(CAST((SELECT count(*) FROM customer) - 1 AS VARCHAR)) AS INTEGER), '0') || '>' AS docid FROM customer")
 def added_token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = identifiers.atomic_ids(tables.customers(spark, sf_dir)[DOCUMENTS])
@@ -474,6 +492,19 @@ def topk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("qid", F.array_join(vectors.top_k(F.col("scores"), F.col("ids"), 5).cast("array<string>"), ",").alias("top"))
 
 
+@query("""
+WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT q.qid, v.vec_id AS t, list_sum(list_transform(range(1, 65), lambda i: CAST(v.embedding[i] AS DOUBLE) * q.e[i])) AS s FROM embeddings v CROSS JOIN q),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, t) AS r FROM s)
+SELECT qid, string_agg(CAST(t AS VARCHAR), ',' ORDER BY r) AS top FROM r WHERE r <= 5 GROUP BY qid
+""")
+def topk_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors with the largest products, of all vectors, for every fiftieth one."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("v"))
+    found = vectors.nearest_products(rows.where("id % 50 = 0"), rows, 5)
+    return found.select(F.col("qid"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("top"))
+
+
 @query("SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) * (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]))), 4) AS distance FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
 def squared_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")

@@ -312,3 +312,24 @@ def test_whole_queries_cut_nothing(spark):
             expected[k] = None if x == y else next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
     got = {r.doc_id: r.first_difference for r in catalogue.QUERIES["first_differences_whole"](spark, sf).collect()}
     assert got == expected and any(min(len(texts[k]), len(texts[k + 1])) >= 300 for k in got)
+
+
+def test_limits_of_the_reference(spark):
+    from quarry.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    assert max(r.n_chars for r in catalogue.QUERIES["question_rows_4000"](spark, sf).collect()) > 500
+    assert max(len(r.ids.split(",")) for r in catalogue.QUERIES["task_prefix_32"](spark, sf).collect()) == len("index:") + 32 + 1
+
+
+def test_products_meet_all_rows_in_blocks(spark):
+    import numpy as np
+
+    from quarry.functions import vectors
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 6))
+    x[70] = x[3]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    got = {r.qid: r.ids for r in vectors.nearest_products(rows.where("id % 7 = 0"), rows, 4, block=5, chunk=11).collect()}
+    assert got == {k: sorted(range(90), key=lambda t: (-sum(a * b for a, b in zip(x[k], x[t])), t))[:4] for k in range(0, 90, 7)}
