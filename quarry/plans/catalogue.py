@@ -466,7 +466,7 @@ def semantic_ids_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def semantic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("docid"), F.col("vec_id").alias(ORD), F.col("embedding").alias("vector"))
-    return identifiers.semantic_ids(rows, max_leaf=50, restarts=2, most_steps=30)
+    return identifiers.semantic_ids(rows)
 
 
 # --- vectors

@@ -333,3 +333,14 @@ def test_products_meet_all_rows_in_blocks(spark):
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
     got = {r.qid: r.ids for r in vectors.nearest_products(rows.where("id % 7 = 0"), rows, 4, block=5, chunk=11).collect()}
     assert got == {k: sorted(range(90), key=lambda t: (-sum(a * b for a, b in zip(x[k], x[t])), t))[:4] for k in range(0, 90, 7)}
+
+
+def test_large_nodes_are_clustered_on_all_rows(spark):
+    """A large node of equal vectors is dealt; one far row in a thousand gets a branch of its own, which a sample would miss."""
+    rows = [(f"d{k}", k, [1.0, 0.001 * (k % 3)] if k != 617 else [-1.0, 0.0]) for k in range(1000)]
+    v = spark.createDataFrame(rows, f"docid string, {ORD} long, vector array<double>")
+    ids = {r.old_docid: r.new_docid for r in identifiers.semantic_ids(v, 2, 100, small=600, restarts=2, most_steps=5).collect()}
+    assert len(set(ids.values())) == 1000
+    assert sum(x[0] == ids["d617"][0] for x in ids.values()) == 1
+    same = v.where("_ord < 200").withColumn("vector", F.array(F.lit(1.0), F.lit(2.0)))
+    assert identifiers.semantic_ids(same, 3, 5, small=20, restarts=1, most_steps=2).select("new_docid").distinct().count() == 200
