@@ -159,6 +159,20 @@ def test_differencing_of_pages_without_an_article(spark):
     assert html_text.extract(table.where("false")).collect() == []
 
 
+def test_pairs_do_not_depend_on_ranges(spark):
+    pages = [(k, f"https://h.example/{k // 5:02d}/{k}", f"<p>Welcome</p><p>story {k}</p><p>Section {k // 5}</p>") for k in range(60)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = []
+    for n in ("1", "7", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found.append(sorted(tuple(r) for r in html_text.extract(table).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0] == found[1] == found[2] and len(found[0]) == 60
+    assert all("Welcome" not in r[2] and "story" in r[2] for r in found[0])
+
+
 def test_media_round_trip(spark):
     texts = [*AWKWARD, "a" * 64, "b" * 63, "ü" * 32]
     rows = {r.doc_id: r for r in media.document_media(documents(spark, texts).repartition(3)).collect()}
