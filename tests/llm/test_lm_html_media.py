@@ -120,6 +120,16 @@ def test_article_of_a_page():
     assert html_text.main_text(html_text.blocks("<p class=ad>x<p>y"), None) == "y"
 
 
+def test_names_that_only_contain_a_frame_word_hide_nothing():
+    for name in ("layout has-sidebar", "wrapper with-sidebar", "single post comments-open", "content side-by-side", "sidebar"):
+        page = f'<body><div class="{name}"><nav>menu</nav><article><p>the story</p><div class="ad">buy</div></article></div></body>'
+        assert html_text.main_text(html_text.blocks(page), None) == "the story", name
+    assert html_text.blocks('<form><div class="sidebar">x</div><main><p>y</p></main></form>') == [("y", 1)]
+    for name in ("ad", "cookie-notice", "site-header", "nav2", "widget_area left", "x related-posts"):
+        assert html_text.blocks(f'<div class="{name}">frame</div><p>text</p>') == [("text", 0)], name
+    assert html_text.main_text(html_text.blocks('<article>a</article><div id="comments"><article>first!</article></div>'), None) == "a"
+
+
 def lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
