@@ -183,6 +183,13 @@ def test_pairs_do_not_depend_on_ranges(spark):
     assert all("Welcome" not in r[2] and "story" in r[2] for r in found[0])
 
 
+def test_a_copy_does_not_empty_a_page(spark):
+    page = "<p>Welcome</p><p>story {}</p>".format
+    pages = [(1, "https://h.example/a/1", page(1)), (2, "https://h.example/a/1", page(1)), (3, "https://h.example/a/3", page(3))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(f"story {1 if k < 3 else 3}" in t for k, t in got.items()) and len(got) == 3
+
+
 def test_media_round_trip(spark):
     texts = [*AWKWARD, "a" * 64, "b" * 63, "ü" * 32]
     rows = {r.doc_id: r for r in media.document_media(documents(spark, texts).repartition(3)).collect()}
