@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.storage import materialise, new_path  # noqa: F401
+
 #: Folds of the hold-out rule; fold 0 is held out.
 FOLDS = 5
 
@@ -41,63 +40,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Only a local master without that setting gets a temporary folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir names no shared folder")
-    path = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _remove_written() -> None:
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may be gone at exit; the folder is then the cluster's to clean
-            return
-
-
-atexit.register(_remove_written)
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark).rstrip('/')}/quarry-{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove one such path now, when nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it back.
-
-    Unlike a cached or locally checkpointed frame it survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like this one that no column in `taken` has, whatever its case."""
     used = {t.lower() for t in taken}
@@ -118,30 +60,24 @@ def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame | None, target: str, bound: int, seed: int = 17
-) -> list[tuple[int, str, object]]:
+def highest_rank(n: int, bound: int) -> int:
+    """The signed 64-bit hash below which about 2 * bound of n rows lie: never fewer than bound, but for a negligible chance."""
+    return min((1 << 63) - 1, -(1 << 63) + (2 * bound << 64) // max(n, 1))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, target: str, bound: int, seed: int = 17) -> list[tuple[int, str, object]]:
     """At most `bound` training rows (id, text, target), the same for any partitioning.
 
-    Rows of the held-out fold, rows without text and rows without a target never take part. The rows with the lowest keyed
-    hash of their id are taken, so that a fit sees all sources and sizes; `bound` is the documented limit of the fit.
+    Rows of the held-out fold, rows without text and rows without a target never take part. The ids with the lowest keyed hash are
+    taken, so that a fit sees all sources and sizes; `bound` is the documented limit of the fit. An id with several targets has the
+    least one, an id with several texts the least one. Two passes over the ids and one over the texts, whatever the partitions.
     """
-    ids = docs if labels is None else labels
-    ids = ids.where(~is_held_out(F.col("doc_id")) & F.col(target).isNotNull()).select("doc_id", F.col(target).alias("_target"))
     rank = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    ids = (docs if labels is None else labels).where(~is_held_out(F.col("doc_id")) & F.col(target).isNotNull()).select("doc_id", F.col(target).alias("_target"))
     n = ids.count()
-    if n == 0:
-        return []
-    if n > bound:
-        # A hash is uniform: this share keeps about `bound` rows without a sort; the list below is then cut to the bound.
-        share = bound / n
-        ids = ids.where(F.pmod(rank, F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
-    rows = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull())
-        .join(F.broadcast(ids.dropDuplicates(["doc_id"]).limit(2 * bound)), "doc_id")
-        .select("doc_id", "text", "_target")
-    )
-    got = [(r[0], r[1], r[2]) for r in rows.toLocalIterator()]
-    got.sort(key=lambda r: (r[0], r[1]))
-    return got[: 2 * bound]
+    if n > 4 * bound:
+        ids = ids.where(rank <= F.lit(highest_rank(n, bound)))
+    chosen = ids.groupBy("doc_id").agg(F.min("_target").alias("_target")).orderBy(rank, "doc_id").limit(bound)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_target").alias("_target")).collect()
+    return sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: r[0])

@@ -20,7 +20,7 @@ from quarry.llm.common import is_held_out, labelled_sample
 from quarry.llm.words import mix, text_slices
 
 BUCKETS = 1 << 15
-#: Most labelled rows that a fit reads (twice that where hashes are uneven): the documented bound of the fit.
+#: Most labelled rows that a fit reads: the documented bound of the fit.
 SAMPLE = 3_000
 UNDETERMINED = "und"
 
@@ -172,7 +172,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most about `sample` rows of docs that are not held out and have a language."""
+    """Fit on at most `sample` rows of docs that are not held out and have a language."""
     return fit(labelled_sample(docs, None, "lang", sample))
 
 

@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from quarry.llm.common import is_held_out, labelled_sample
 from quarry.llm.words import NOT_SPACE, text_slices, words_of
 
-#: Most labelled rows (twice that where hashes are uneven) that a fit reads and broadcasts: the documented bound.
+#: Most labelled rows that a fit reads and broadcasts: the documented bound.
 SAMPLE = 2_500
 DIMENSIONS = 48
 NEIGHBOURS = 25
 THRESHOLD = 0.3
-#: Documents whose products with all labelled vectors are held at a time.
-BLOCK = 512
+#: Documents whose terms and products with all labelled vectors are held at a time: bounds a task's memory, however short the texts.
+BLOCK = 256
+#: Decimals to which similarities are compared: equal texts tie, whatever block they stand in.
+TIES = 5
 
 WORD_TERMS, SHAPE_TERMS, BINS = 2048, 2048, 8
 RATIOS = 7
@@ -121,14 +123,16 @@ class Model:
             return out
         for lo in range(0, len(mine), BLOCK):
             block = mine[lo : lo + BLOCK]
-            cosine = block @ self.vectors.T
-            # Of equal similarities any choice is as good: their labels are averaged in by weight.
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.tile(np.arange(k), (len(block), 1))
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0) ** 8
-            total = weight.sum(axis=1)
-            vote = (weight * self.labels[near]).sum(axis=1)
+            cosine = np.round(block @ self.vectors.T, TIES)
+            # All that are as near as the last neighbour vote, so that ties need no choice.
+            least = np.partition(cosine, -k, axis=1)[:, -k]
+            weight = np.where(cosine >= np.maximum(least, 0.0)[:, None], cosine, 0.0)
+            weight *= weight
+            weight *= weight
+            weight *= weight
+            total = weight.sum(axis=1, dtype=np.float64)
             some = total > 1e-9
-            out[lo : lo + len(block)][some] = vote[some] / total[some]
+            out[lo : lo + len(block)][some] = (weight @ self.labels)[some] / total[some]
         return np.clip(out, 0.0, 1.0)
 
 
@@ -156,21 +160,21 @@ def fit(rows: list[tuple[int, str, int]], dimensions: int = DIMENSIONS, seed: in
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         score = np.zeros(batch.num_rows)
-        for lo, hi, data, offsets in text_slices(batch.column(2)):
+        for lo, hi, data, offsets in text_slices(batch.column(2), rows=BLOCK):
             score[lo:hi] = model.score(data, offsets)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most about `sample` labelled rows that are not held out."""
+    """Fit on at most `sample` labelled rows that are not held out."""
     return fit(labelled_sample(docs, labels, "quality", sample))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from a score of 0.3 on).
 
-    Null and empty texts and texts without words get the share of label 1 among the labelled rows. Equal texts get equal scores
-    up to rounding, repeated rows stay repeated, an empty table gives no row. Only doc_id and text are read, whatever other
+    Null and empty texts and texts without words get the share of label 1 among the labelled rows. Labelled rows as near as the last
+    neighbour, to five decimals, all vote. Equal texts get equal scores up to rounding, repeated rows stay repeated, an empty table gives no row. Only doc_id and text are read, whatever other
     columns are called. Texts are read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

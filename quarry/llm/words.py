@@ -94,15 +94,15 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
-def text_slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(lo, hi, bytes, offsets) of runs of rows of at most `most` bytes, or of one longer row."""
+def text_slices(column: pa.Array, most: int = SLICE, rows: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, bytes, offsets) of runs of at most `rows` rows and `most` bytes, or of one longer row."""
     if not len(column):
         return
     offsets, data = _buffers(column)
     lo, n = 0, len(column)
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, lo + rows, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

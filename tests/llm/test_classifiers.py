@@ -2,11 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import language_id, quality, toxicity
-from quarry.llm.common import labelled_sample
+from quarry.llm.common import highest_rank, labelled_sample
+from quarry.llm.words import hash_spans
 from tests.llm.fixtures import AWKWARD, documents, empty
 
 LANGUAGES = {"aa": ["ba", "ke", "ti", "mo", "lu"], "bb": ["sch", "ung", "ein", "ver", "heit"], "cc": ["ción", "ñas", "que", "los", "rra"]}
@@ -48,10 +50,35 @@ def test_sample_is_bounded_and_skips_the_held_out_fold(spark):
     docs = documents(spark, [f"text {k}" for k in range(500)])
     labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
     rows = labelled_sample(docs, labels, "toxic", 100)
-    assert 0 < len(rows) <= 200 and not any(held(r[0]) for r in rows)
+    assert len(rows) == 100 and not any(held(r[0]) for r in rows)
     assert rows == labelled_sample(docs.repartition(7), labels.repartition(5), "toxic", 100)
 
 
+def test_sample_settles_conflicts_alike(spark):
+    docs = documents(spark, ["b", "c"]).unionByName(documents(spark, ["a", None]))
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (1, None)], "doc_id long, toxic int")
+    expected = [r for r in [(0, "a", 0), (1, "c", 1)] if not held(r[0])]
+    for n in (1, 7):
+        assert labelled_sample(docs.repartition(n), labels.repartition(n), "toxic", 10) == expected
+
+
+def test_sample_takes_as_many_jobs_for_any_partitioning(spark):
+    docs = documents(spark, [f"text {k}" for k in range(500)])
+    jobs = []
+    for n in (2, 40):
+        spark.sparkContext.setJobGroup(f"sample-{n}", "")
+        labelled_sample(docs.repartition(n), None, "lang", 10)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sample-{n}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] <= jobs[0] + 2
+
+
+def test_share_of_very_large_tables():
+    for n in (10_000, 10**9, 3 * 10**9, 10**11, 10**14):
+        share = (highest_rank(n, 3000) + (1 << 63)) / (1 << 64)
+        assert abs(share * n - 6000) < 1
+
+
 def labelled(spark, kind, n=600, seed=2):
     """kind 'toxic': insults mark label 1; 'quality': shouting and repetition mark label 0."""
     rng = random.Random(seed)
@@ -120,3 +147,109 @@ def test_neighbours_are_exact():
     weight = np.maximum(cosine[near], 0) ** 8
     expected = (weight * model.labels[near]).sum() / weight.sum()
     assert abs(model.score(data, np.array([0, data.size]))[0] - expected) < 1e-3
+
+
+def test_neighbours_that_tie_all_vote():
+    rows = [(k, f"words here {k % 3} and there" * 3, k // 3 % 2) for k in range(180)]
+    one, two = quality.fit(rows), quality.fit(rows)
+    order = np.random.default_rng(3).permutation(len(rows))
+    two.vectors, two.labels = two.vectors[order], two.labels[order]
+    data = np.frombuffer(rows[0][1].encode(), np.uint8)
+    assert abs(one.score(data, np.array([0, data.size]))[0] - two.score(data, np.array([0, data.size]))[0]) < 1e-6
+
+
+def test_many_short_texts_take_little_memory():
+    import tracemalloc
+
+    model = quality.fit([(k, f"some text {k}", k % 2) for k in range(60)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([False] * 10_000), pa.array(["word"] * 10_000)], names=["doc_id", "held_out", "text"])
+    tracemalloc.start()
+    out = list(quality._scored(iter([batch]), model))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out[0].num_rows == 10_000 and peak < 300e6
+
+
+def test_trailing_marks_are_cut_in_one_pass():
+    import time
+
+    text = ("plain words " * 20_000 + "end" + "!" * 1_000_000).encode()
+    data = np.frombuffer(text, np.uint8)
+    began = time.perf_counter()
+    c = toxicity.cut(data, np.array([0, data.size]))
+    assert time.perf_counter() - began < 5 and c.words[-1] == toxicity.hash_words(["end"])[0]
+
+
+def slow_words(text):
+    """The words of a text as the toxicity features count them, one character after the other."""
+    words, word = [], b""
+    for b in text.lower().encode() + b" ":
+        if b in b" \t\n\v\f\r.,;:?\"()[]{}<>/\\|":
+            if word:
+                while len(word) > 1 and not (97 <= word[-1] <= 122 or 48 <= word[-1] <= 57 or word[-1] >= 128):
+                    word = word[:-1]
+                words.append(word)
+            word = b""
+        else:
+            word += bytes([b])
+    return words
+
+
+def test_toxicity_features_and_trees_against_loops():
+    rng = random.Random(6)
+    vocabulary = ["you", "Snargle!", "fr0bnit", "plain", "WORD", "it's", "a", "(quux)", "12", "***", "dich"]
+    rows = [(k, " ".join(rng.choices(vocabulary if k % 3 == 0 else vocabulary[3:], k=rng.randint(1, 30))), int(k % 3 == 0)) for k in range(300)]
+    model = toxicity.fit(rows)
+    weight = dict(zip(model.lexicon.words.keys.tolist(), model.lexicon.words.weights.tolist()))
+    stem_weight = dict(zip(model.lexicon.stems.keys.tolist(), model.lexicon.stems.weights.tolist()))
+    plain = bytes.maketrans(b"@$!013457", b"asioieast")
+    pronouns = {p.encode() for p in toxicity.PRONOUNS.split()}
+
+    def key(word):
+        return int(hash_spans(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
+
+    for _, text, _ in rows[:60]:
+        words = slow_words(text)
+        odd = [any(b in b"@$!013457*" for b in w) and sum(97 <= b <= 122 or b > 127 for b in w) >= 2 for w in words]
+        found = [max(weight.get(key(w.translate(plain) if o else w), 0), 0) for w, o in zip(words, odd)]
+        stems = [stem_weight.get(key(w[:5]), 0) if len(w) > 5 else 0 for w in words]
+        either = [f > 0 or s > 0 for f, s in zip(found, stems)]
+        near = sum(e and any(w in pronouns for w in words[max(0, k - 5) : k + 6]) for k, e in enumerate(either))
+        n = max(1, len(words))
+        hits, beginnings = sum(f > 0 for f in found), sum(s > 0 for s in stems)
+        expected = [hits, hits / n, beginnings, beginnings / n, sum(found), sum(found) / n, sum(stems), sum(stems) / n, max(found + stems, default=0), near, near / n, sum(w in pronouns for w in words) / n, sum(odd), sum(odd) / n, sum(o and e for o, e in zip(odd, either)), np.log1p(len(words))]
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = model.lexicon.features(toxicity.cut(data, np.array([0, data.size])))[0]
+        assert np.allclose(got[: len(expected)], expected, atol=1e-5), text
+        raw = model.trees.base
+        for feature, limit, leaf in zip(model.trees.features, model.trees.limits, model.trees.leaves):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if got[feature[node]] > limit[node] else 1)
+            raw += leaf[node - len(feature)]
+        assert abs(model.score(data, np.array([0, data.size]))[0] - np.clip(np.interp(raw, *model.curve), 0, 1)) < 1e-9
+
+
+def test_language_scores_against_loops():
+    rows = [(k, language_text(random.Random(k), n, 30), n) for k, n in enumerate(list(LANGUAGES) * 20)]
+    model = language_id.fit(rows)
+
+    def pieces(text):
+        folded = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        data = folded.encode()
+        letter = [b != 32 for b in data]
+        for n in (2, 3, 4):
+            for k in range(len(data) - n + 1):
+                inner = letter[k + 1 : k + n - 1]
+                if all(inner) and (letter[k] or letter[k + 1]) and (n > 2 or letter[k] or letter[k + 1]) and (n == 2 or letter[k + 1]):
+                    code = int.from_bytes(data[k : k + n], "big") & 0xFFFFFFFF
+                    yield (((code * 0x9E3779B1 + (n * 0x85EBCA6B & 0xFFFFFFFF)) & 0xFFFFFFFF) * 0x2C1B3C6D & 0xFFFFFFFF) >> 17
+
+    for _, text, _ in rows[:20]:
+        buckets = list(pieces(text))
+        logits = np.mean([model.scores[b] for b in buckets], axis=0) + model.bias
+        p = np.exp(logits / model.temperature - (logits / model.temperature).max())
+        p /= p.sum()
+        data = np.frombuffer(text.encode(), np.uint8)
+        best, sure = model.predict(data, np.array([0, data.size]))
+        assert best[0] == p.argmax() and abs(sure[0] - p.max()) < 1e-4
