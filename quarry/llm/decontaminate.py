@@ -1,238 +1,238 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-A benchmark item is cut into windows of 13 words. How often each word of a window stands in the training documents is counted over
-all of them; a window is then searched by its rarest terms only. One pass over the documents stores the postings of those terms
-(term, document, position); the posting of a window's very rarest term also keeps the words around it. Postings meet the windows in
-a join on the term, are moved by the term's offset in the window, and are intersected: a window may start only where all its
-searched terms agree. The kept words then decide whether it really stands there.
-
-Words are compared by their 64-bit hashes. The windows are searched in blocks of bounded size, so that the terms sent to every
-executor stay bounded whatever the size of the benchmark.
+`index` stores the postings of every word of the training documents. Documents are dealt to shards of bounded size; a shard is one row
+with its terms, and for each term the sorted positions at which it stands. A shard holds whole documents, so a phrase never needs the
+postings of two shards, no postings are shuffled, and the index serves any benchmark.
+
+`search` sends the words of the benchmark, in blocks of bounded size, to all shards. A window of 13 words lives in a shard only if all
+its terms do. Its terms are taken from the rarest one on: the rarest term's positions, moved by its offset in the window, are the starts
+that are possible, and each further list, moved by its own offset, is intersected with what is left. With `slack`, a term may stand so
+many words from its place.
+
+Words are compared by their 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quarry.llm.common import fresh, materialise
-from quarry.llm.words import ALNUM, batch_words, hash_spans
+from quarry.llm.common import batch_rows, fresh, materialise, new_path
+from quarry.llm.words import ALNUM, batch_words
 
 WINDOW = 13
-#: Terms whose posting lists are intersected for a window.
-RAREST = 2
-#: Different windows that are searched in one pass: bounds what is sent to the executors.
-BLOCK = 200_000
+#: Words of benchmark items that are sent to the executors at a time, 8 bytes each (an item of more words is a block of its own).
+BLOCK = 2_000_000
+#: Starts of windows that a shard checks at a time: bounds a task's memory.
+STARTS = 1 << 20
 #: A document is contaminated if one word in so many is hit.
 SHARE = 20
 
-POSTINGS = "doc_id long, text_hash long, n_words long, term long, position int, before int, context array<long>"
+#: terms: sorted 64-bit hashes; first: where each term's positions begin; positions: 32 bits each, running through the shard's documents
+#: with one place free behind each; base: where each document begins.
+SHARD = "ids array<long>, keys array<long>, n_words array<long>, base binary, terms binary, first binary, positions binary"
+MATCHES = "doc_id long, text_key long, item_id string, start long, length long"
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _packed(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([a.tobytes()], pa.binary()) for a in arrays]
 
 
-def windows(items: DataFrame) -> DataFrame:
-    """(item_id, key, terms) of every window: 13 consecutive words, or all words of a shorter item that has any."""
+def index(docs: DataFrame) -> DataFrame:
+    """The index of docs, written to the shared folder: a row for each shard. Null texts are documents without words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0)
-            for w in batch_words(batch.column(1), ALNUM):
-                h = _signed(w.hashes())
-                ids, keys, terms = [], [], []
-                for k in range(w.hi - w.lo):
-                    words = h[w.first[k] : w.first[k + 1]]
-                    for a in range(max(1, words.size - WINDOW + 1) if words.size else 0):
-                        part = words[a : a + WINDOW]
-                        ids.append(names[w.lo + k].as_py())
-                        keys.append(hashlib.md5(part.tobytes()).hexdigest())
-                        terms.append(part)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.string()), pa.array(terms, pa.list_(pa.int64()))], names=["item_id", "key", "terms"])
-
-    return items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(cut, "item_id string, key string, terms array<long>").distinct()
-
-
-class _Wanted:
-    """Sorted term hashes with a fast way past the many words that are none of them."""
-
-    def __init__(self, terms: np.ndarray):
-        self.terms = np.unique(terms.view(np.uint64))
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(where such a term stands, which one it is)."""
-        at = np.flatnonzero(self.maybe[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
-        if not self.terms.size or not at.size:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.minimum(np.searchsorted(self.terms, hashes[at]), self.terms.size - 1)
-        hit = self.terms[place] == hashes[at]
-        return at[hit], place[hit]
-
-
-def term_counts(docs: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """How often each of these terms stands in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(_Wanted(terms))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        total = np.zeros(wanted.terms.size, np.int64)
-        for batch in batches:
-            for w in batch_words(batch.column(0), ALNUM):
-                total += np.bincount(wanted.find(w.hashes())[1], minlength=total.size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(wanted.terms)[some]), pa.array(total[some])], names=["term", "n"])
-
-    found = docs.select(F.col("text").cast("string")).mapInArrow(count, "term long, n long")
-    return {r[0]: r[1] for r in found.groupBy("term").agg(F.sum("n")).collect()}
-
-
-def postings(docs: DataFrame, terms: np.ndarray, first: np.ndarray) -> DataFrame:
-    """One row for each document (term null), and one for each place of a term; those in `first` keep the words around them."""
-    shared = docs.sparkSession.sparkContext.broadcast((_Wanted(terms), _Wanted(first)))
+            for w in batch_words(batch.column(2), ALNUM):
+                h = w.hashes()
+                n = np.diff(w.first)
+                base = w.first[:-1] + np.arange(n.size)
+                order = np.argsort(h, kind="stable")
+                position = np.arange(h.size) + np.repeat(np.arange(n.size), n)
+                h = h[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if h.size else np.zeros(0, np.int64)
+                whole = pa.array([0, n.size], pa.int32())
+                lists = [pa.ListArray.from_arrays(whole, x) for x in (batch.column(0)[w.lo : w.hi], batch.column(1)[w.lo : w.hi], pa.array(n.astype(np.int64)))]
+                rest = _packed(base.astype(np.int64), h[first], np.append(first, h.size).astype(np.int32), position[order].astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([*lists, *rest], names=["ids", "keys", "n_words", "base", "terms", "first", "positions"])
+
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
+    path = new_path(spark, "postings")
+    # A row is about as large as its texts: few of them make a group of rows.
+    rows.mapInArrow(cut, SHARD).write.option("parquet.block.size", 16 << 20).parquet(path)
+    return spark.read.schema(SHARD).parquet(path)
+
+
+def text_key(text):
+    """Tells apart texts of rows that share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+@dataclass
+class Asked:
+    """Some items: their names, words (as numbers of `terms`, the sorted hashes), and windows (start, length, item)."""
+
+    names: list[str]
+    terms: np.ndarray
+    words: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    item: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[tuple[str, np.ndarray]]) -> Asked:
+        n = np.array([h.size for _, h in items], np.int64)
+        terms, words = np.unique(np.concatenate([h for _, h in items]), return_inverse=True)
+        many = np.maximum(n - WINDOW + 1, 1)
+        item = np.repeat(np.arange(n.size), many)
+        place = np.arange(item.size) - np.repeat(np.cumsum(many) - many, many)
+        return cls([name for name, _ in items], terms, words, (np.cumsum(n) - n)[item] + place, np.minimum(n, WINDOW)[item], item)
+
+
+def blocks(items: DataFrame) -> Iterator[Asked]:
+    """The benchmark in blocks of about BLOCK words; items without words have no window and fall away."""
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, rarest = shared.value
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids = batch.column(0)
             for w in batch_words(batch.column(1), ALNUM):
                 h = w.hashes()
-                n = w.hi - w.lo
-                text_hash = _signed(hash_spans(w.data, w.offsets[:-1], w.offsets[1:]))
-                ids = doc_ids[w.lo : w.hi]
-                none = pa.nulls(n, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(text_hash), pa.array(np.diff(w.first).astype(np.int64)), pa.nulls(n, pa.int64()), none, none, pa.nulls(n, pa.list_(pa.int64()))], schema=schema
-                )
-                at, _ = wanted.find(h)
-                if not at.size:
-                    continue
-                row = np.searchsorted(w.first, at, side="right") - 1
-                full = np.isin(at, rarest.find(h)[0], assume_unique=True)
-                lo = np.where(full, np.maximum(at - WINDOW + 1, w.first[row]), at)
-                hi = np.where(full, np.minimum(at + WINDOW, w.first[row + 1]), at)
-                bounds = np.concatenate([[0], np.cumsum(hi - lo)])
-                flat = np.repeat(lo - bounds[:-1], hi - lo) + np.arange(bounds[-1])
-                context = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(_signed(h)[flat]))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row)), pa.array(text_hash[row]), pa.nulls(at.size, pa.int64()), pa.array(_signed(h)[at]), pa.array((at - w.first[row]).astype(np.int32)), pa.array((at - lo).astype(np.int32)), context], schema=schema
-                )
-
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("term", pa.int64()), ("position", pa.int32()), ("before", pa.int32()), ("context", pa.list_(pa.int64()))])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(index, POSTINGS)
-
-
-def anchors(block: list[tuple[str, list[int]]], counts: dict[int, int]) -> list[tuple[int, str, int, int, int, list[int]]]:
-    """(term, key, offset, bit, all bits, words of the window) for the rarest terms of each window.
-
-    The very rarest term, bit 1, carries the words. A window with a term that no document has stands nowhere and is left out.
+                own = [h[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[w.lo : w.hi], pa.array(own, pa.binary())], names=["item_id", "words"])
+
+    rows = items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(hashed, "item_id string, words binary")
+    held, size = [], 0
+    for name, words in materialise(rows.where(F.octet_length("words") > 0).distinct(), "items").toLocalIterator():
+        h = np.frombuffer(bytes(words), np.uint64)
+        if held and size + h.size > BLOCK:
+            yield Asked.of(held)
+            held, size = [], 0
+        held.append((name, h))
+        size += h.size
+    if held:
+        yield Asked.of(held)
+
+
+def _found(shard: dict, asked: Asked, slack: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, starts) of the matches of asked windows in a shard."""
+    terms, first = np.frombuffer(shard["terms"], np.uint64), np.frombuffer(shard["first"], np.int32).astype(np.int64)
+    positions, base = np.frombuffer(shard["positions"], np.uint32).astype(np.int64), np.frombuffer(shard["base"], np.int64)
+    if not terms.size:
+        return
+    place = np.minimum(np.searchsorted(terms, asked.terms), terms.size - 1)
+    here = terms[place] == asked.terms
+    lists = np.where(here, np.diff(first)[place], 0)[asked.words]
+    missing = np.concatenate([[0], np.cumsum(lists == 0)])
+    alive = np.flatnonzero(missing[asked.start + asked.length] == missing[asked.start])
+    if not alive.size:
+        return
+    # All postings in one ordered row: the number of the term above, the position below.
+    postings = (np.repeat(np.arange(terms.size), np.diff(first)) << 32) | positions
+
+    def in_list(term: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the term stands within slack of these places."""
+        least = (term << 32) | np.maximum(at - slack, 0)
+        k = np.minimum(np.searchsorted(postings, least), postings.size - 1)
+        return (postings[k] >= least) & (postings[k] <= ((term << 32) | (at + slack))) & (at + slack >= 0)
+
+    for length in np.unique(asked.length[alive]).tolist():
+        same = alive[asked.length[alive] == length]
+        for some in np.array_split(same, -(-same.size // (STARTS // 64))):
+            words = asked.start[some][:, None] + np.arange(length)
+            offsets = np.argsort(lists[words], axis=1, kind="stable")
+            codes = place[asked.words[words]]
+            rarest = codes[np.arange(some.size), offsets[:, 0]]
+            n = first[rarest + 1] - first[rarest]
+            edges = np.cumsum(n)
+            lo = 0
+            while lo < some.size:
+                # As many windows as give STARTS starts, or one of more.
+                hi = max(lo + 1, int(np.searchsorted(edges, (edges[lo - 1] if lo else 0) + STARTS, side="right")))
+                mine, many = np.arange(lo, hi), n[lo:hi]
+                row = np.repeat(mine, many)
+                at = positions[np.repeat(first[rarest[lo:hi]] - (np.cumsum(many) - many), many) + np.arange(row.size)] - offsets[row, 0]
+                for k in range(1, length):
+                    good = in_list(codes[row, offsets[row, k]], at + offsets[row, k])
+                    row, at = row[good], at[good]
+                if slack and row.size:
+                    # A match lies within one document, cut at its borders.
+                    stop = base[np.searchsorted(base, at + offsets[row, 0], side="right") - 1]
+                    at = np.maximum(at, stop)
+                yield some[row], at
+                lo = hi
+
+
+def search(shards: DataFrame, items: DataFrame, slack: int = 0) -> DataFrame:
+    """doc_id, text_key, item_id, start, length of every match of a window of the items in an index.
+
+    With slack 0 a match is a window that stands word for word; otherwise one whose terms all stand at most `slack` words from their
+    places, counted from the rarest one. start is the window's first word in the document; length the words of the window.
     """
-    found = []
-    for key, terms in block:
-        if any(t not in counts for t in terms):
-            continue
-        rare = sorted({t: k for k, t in reversed(list(enumerate(terms)))}.items(), key=lambda x: (counts[x[0]], x[1]))[:RAREST]
-        every = (1 << len(rare)) - 1
-        found += [(t, key, offset, 1 << k, every, terms if k == 0 else []) for k, (t, offset) in enumerate(rare)]
-    return found
-
-
-def _starts(index: DataFrame, block: list[tuple], slack: int) -> DataFrame:
-    """(doc_id, text_hash, key, start, length) where the searched terms of a window agree and, without slack, all words do."""
-    spark = index.sparkSession
-    schema = "term long, key string, shift int, bit int, every int, terms array<long>"
-    asked = spark.createDataFrame(block, schema) if block else spark.createDataFrame([], schema)
-    met = index.where(F.col("term").isNotNull()).join(asked, "term").withColumn("start", F.col("position") - F.col("shift"))
-    if slack:
-        pair = met.groupBy("doc_id", "text_hash", "key").agg(
-            F.collect_set(F.when(F.col("bit") == 1, F.col("start"))).alias("a"), F.collect_set(F.when(F.col("bit") > 1, F.col("start"))).alias("b"),
-            F.max(F.size("terms")).alias("length"), F.max("every").alias("every"),
-        )
-        near = F.filter("a", lambda s: (F.col("every") == 1) | F.exists("b", lambda t: F.abs(s - t) <= slack))
-        return pair.select("doc_id", "text_hash", "key", F.explode(near).alias("start"), "length")
-    stands = (F.size("terms") > 0) & (F.col("before") >= F.col("shift")) & (
-        F.slice("context", F.greatest(F.col("before") - F.col("shift") + 1, F.lit(1)), F.greatest(F.size("terms"), F.lit(1))) == F.col("terms")
-    )
-    agreed = met.groupBy("doc_id", "text_hash", "key", "start").agg(
-        F.bit_or("bit").alias("bits"), F.max("every").alias("every"), F.bool_or(stands).alias("stands"), F.max(F.size("terms")).alias("length")
-    )
-    return agreed.where((F.col("bits") == F.col("every")) & F.col("stands")).select("doc_id", "text_hash", "key", "start", "length")
-
-
-def search(docs: DataFrame, items: DataFrame, slack: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(documents, matches): doc_id, text_hash, n_words of every row; doc_id, text_hash, key, start, length, item_id of every match.
-
-    With slack 0 a match is a window that stands word for word; otherwise one whose two rarest terms stand at most `slack` words
-    from their places to each other.
-    """
-    cut = materialise(windows(items), "windows")
-    different = cut.select("key", "terms").dropDuplicates(["key"])
-    n_blocks = max(1, -(-different.count() // BLOCK))
-    rows, matches = None, None
-    for k in range(n_blocks):
-        block = [(r[0], list(r[1])) for r in different.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == k).collect()]
-        vocabulary = np.array(sorted({t for _, terms in block for t in terms}), np.int64)
-        counts = term_counts(docs, vocabulary) if vocabulary.size else {}
-        asked = anchors(block, counts)
-        terms = np.array([a[0] for a in asked], np.int64)
-        index = materialise(postings(docs, terms, np.array([a[0] for a in asked if a[3] == 1], np.int64)), "postings")
-        found = _starts(index, asked, slack)
-        matches = found if matches is None else matches.unionByName(found)
-        rows = index.where(F.col("term").isNull()).select("doc_id", "text_hash", "n_words") if rows is None else rows
-    return rows, matches.join(cut.select("key", "item_id"), "key")
+    spark = shards.sparkSession
+    every = None
+    for block in blocks(items):
+        shared = spark.sparkContext.broadcast(block)
+
+        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
+            names = pa.array(asked.names, pa.string())
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    shard = {f: batch.column(f)[k].as_py() for f in ("base", "terms", "first", "positions")}
+                    base = np.frombuffer(shard["base"], np.int64)
+                    ids, keys = batch.column("ids")[k].values, batch.column("keys")[k].values
+                    for window, start in _found(shard, asked, slack):
+                        doc = np.searchsorted(base, start, side="right") - 1
+                        found = np.unique(np.stack([doc, asked.item[window], start - base[doc], asked.length[window]], axis=1), axis=0)
+                        doc, item = pa.array(found[:, 0]), pa.array(found[:, 1])
+                        yield pa.RecordBatch.from_arrays([ids.take(doc), keys.take(doc), names.take(item), pa.array(found[:, 2]), pa.array(found[:, 3])], names=["doc_id", "text_key", "item_id", "start", "length"])
+
+        with batch_rows(spark, 16):
+            found = materialise(shards.select("ids", "keys", "base", "terms", "first", "positions").mapInArrow(look, MATCHES), "matches")
+        every = found if every is None else every.unionByName(found)
+    return spark.createDataFrame([], MATCHES) if every is None else every
 
 
 def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash for every row of docs.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key for every row of docs.
 
     Null texts and texts without words have n_words 0 and are never contaminated; items without words have no window. Repeated rows
-    get equal results, an empty documents table gives no row, an empty benchmark leaves every document clean. Ties among rarest
-    terms go to the earlier one and change no result. Only doc_id, text and item_id, text are read.
+    get equal results, an empty documents table gives no row, an empty benchmark leaves every document clean. Equally rare terms are
+    taken in the window's order, which changes no result. Only doc_id, text and item_id, text are read. Texts are read whole.
     """
-    rows, matches = search(docs, items)
+    shards = index(docs)
+    matches = search(shards, items)
 
     def add(so_far, span):
         fresh = F.greatest(F.lit(0), span["start"] + span["length"] - F.greatest(span["start"], so_far["at"]))
         return F.struct(F.greatest(so_far["at"], span["start"] + span["length"]).alias("at"), (so_far["n"] + fresh).alias("n"))
 
     spans = F.array_sort(F.collect_set(F.struct("start", "length")))
-    empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
-    hits = matches.groupBy("doc_id", "text_hash").agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    hits = hits.select(
-        F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.aggregate("spans", empty, add, lambda end: end["n"]).cast("long").alias("n_hit"),
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
+    hits = matches.groupBy("doc_id", "text_key").agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    hits = materialise(hits.select(
+        F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.aggregate("spans", empty, add, lambda end: end["n"]).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"),
-    )
-    both = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_d"]) & (rows["text_hash"] == hits["_t"]), "left")
+    ), "hits")
+    rows = shards.select(F.inline(F.arrays_zip("ids", "keys", "n_words"))).toDF("doc_id", "text_key", "n_words")
+    both = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_d"]) & (rows["text_key"] == hits["_t"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return both.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * SHARE >= F.col("n_words"))).alias("contaminated"), "text_hash",
+        ((n_hit > 0) & (n_hit * SHARE >= F.col("n_words"))).alias("contaminated"), "text_key",
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with their own columns whatever these are called, whose text is not contaminated."""
-    names = docs.columns
-    mark, bad_id, bad_hash = (fresh(n, names) for n in ("_text_hash", "_bad_id", "_bad_hash"))
-    bad = judge(docs, items).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
-    at_text = names.index("text")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [np.zeros(0, np.int64)]
-            for w in batch_words(batch.column(at_text), ALNUM):
-                hashes.append(_signed(hash_spans(w.data, w.offsets[:-1], w.offsets[1:])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(hashes))], names=[*names, mark])
-
-    mine = docs.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.col(mark) == F.col(bad_hash))
-    return mine.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    bad_id, bad_key = (fresh(n, docs.columns) for n in ("_bad_id", "_bad_key"))
+    bad = judge(docs, items).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (text_key(F.col("text").cast("string")) == F.col(bad_key))
+    return docs.join(materialise(bad, "contaminated"), same, "left_anti")

@@ -42,7 +42,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop("text_hash")
+    return decontaminate.judge(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop("text_key")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,8 +72,31 @@ def test_repeated_rows_empty_tables_and_filter(spark):
 
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "rareone common raretwo")], "item_id long, text string")
-    docs = documents(spark, ["x rareone y z raretwo", "rareone " + "x " * 30 + "raretwo", "rareone common raretwo", "common common common"])
-    _, exact = decontaminate.search(docs, bench)
-    assert [r.doc_id for r in exact.collect()] == [2]
-    _, near = decontaminate.search(docs, bench, slack=3)
-    assert sorted({r.doc_id for r in near.collect()}) == [0, 2]
+    docs = documents(spark, ["x rareone common y z raretwo", "rareone common " + "x " * 30 + "raretwo", "rareone common raretwo", "common common common", "raretwo", "rareone common"])
+    shards = decontaminate.index(docs)
+    assert [(r.doc_id, r.item_id, r.start, r.length) for r in decontaminate.search(shards, bench).collect()] == [(2, "1", 0, 3)]
+    assert sorted({r.doc_id for r in decontaminate.search(shards, bench, slack=3).collect()}) == [0, 2]
+
+
+def test_one_index_serves_several_benchmarks(spark):
+    texts, items, bench = tables(spark)
+    shards = decontaminate.index(documents(spark, texts).repartition(3))
+    found = decontaminate.search(shards, bench).select("doc_id", "item_id").distinct().count()
+    parts = [decontaminate.search(shards, bench.where(c)).select("doc_id", "item_id") for c in ("item_id % 2 = 0", "item_id % 2 = 1")]
+    assert 0 < found == parts[0].unionByName(parts[1]).distinct().count()
+
+
+def test_a_million_windows_are_one_block(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    items = [(str(k), rng.integers(0, 1 << 62, 1012).astype(np.uint64)) for k in range(1000)]
+    asked = decontaminate.Asked.of(items)
+    assert asked.start.size == 1_000_000 and asked.words.size <= decontaminate.BLOCK
+    hit = items[7][1][100:120]
+    h = np.concatenate([hit, hit[:5]])
+    order = np.argsort(h, kind="stable")
+    terms, first = np.unique(h, return_index=False), np.searchsorted(np.sort(h), np.unique(h))
+    shard = {"terms": terms.tobytes(), "first": np.append(first, h.size).astype(np.int32).tobytes(), "positions": order.astype(np.uint32).tobytes(), "base": np.zeros(1, np.int64).tobytes()}
+    found = [(asked.item[w], s) for ws, ss in decontaminate._found(shard, asked, 0) for w, s in zip(ws, ss)]
+    assert sorted(found) == [(7, k) for k in range(8)]
