@@ -4,14 +4,14 @@ Every different text gets a signature of COORDINATES minima. It is posted under
 text has cannot collide and fall away. Two texts of the wanted similarity agree in at least MATCHES coordinates but for a chance of
 1.3 in a hundred thousand (at 0.85: 7 in a hundred million), so it is enough to meet under a prefix: a text's postings are ordered
 by how common they are, and only the rarest ones, all but MATCHES - 1 of its coordinates, are joined. Values that very many texts
-share stand last and are skipped by all texts that have enough else. Of the pairs met, agreements are counted over SKETCH further
-coordinates of one byte each; pairs below SKETCH_MATCHES are dropped, and the rest are confirmed on the full shingle sets.
-
-A posting list of very many copies is not expanded into all its pairs. Lists with the same members count once. The members are
-first compared with the list's leader, the one whose coordinates are most common: in a group of copies with small changes that is the
-text they come from. Only where a list still spans several components are pairs between different components compared, block
-against block, and only those survive as rows whose longer sketches leave the similarity possible. Pairs within one component cannot
-add anything. So no link between different texts that could join two groups is left out.
+share stand last and are skipped by all texts that have enough else. Of the pairs met, the collisions over all coordinates are counted;
+pairs with MATCHES of them at least are candidates, and these are confirmed on the full shingle sets.
+
+A posting list of very many copies is not expanded into all its pairs. Its leader is the member whose coordinates are most common: in a
+group of copies with small changes that is the text they come from, and all lists of the group have the same one. Lists with one leader
+are one bucket, and first its members meet the leader alone. Only where a bucket then still spans several components, the members that
+are not in the leader's one are compared with the others, blocks with blocks, each pair of blocks on its own, so that one large bucket
+is dealt to as many tasks as it needs. Pairs within one component cannot add anything. So no link that could join two groups is left out.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ WORDS = 5
 #: Similarity from which texts are linked, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Coordinates of the longer sketch, one byte each, and the agreements below which it rules the similarity out: the mean of two
-#: texts at the similarity less five standard deviations.
+#: texts at the similarity less five standard deviations. Only members of spread buckets get one.
 SKETCH, SKETCH_MATCHES = 1024, 756
-#: Members of a posting list that are compared with each other at a time.
-BLOCK = 256
-#: Bits of the filter that says which texts a confirmation needs: its size is fixed, whatever the input.
-FILTER_BITS = 1 << 23
+#: Members of a bucket that make a block, about a megabyte.
+BLOCK = 768
+#: Bits for each text and most bits of the filter that says which texts a confirmation needs: beyond, it lets more texts pass.
+FILTER_SHARE, FILTER_MOST = 16, 1 << 27
 
 _A = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(np.arange(101, COORDINATES + 101, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -153,117 +153,131 @@ def prefixes(postings: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("left") - (MATCHES - 1)).select("key", "rep", "common")
 
 
-def lists_of(met: DataFrame) -> DataFrame:
-    """(key, rep, leader) of the posting lists of two members at least; of lists with the same members only one."""
-    sums = [F.sum(F.xxhash64("rep", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)]
-    every = met.groupBy("key").agg(F.count("*").alias("n"), *sums, F.min_by("rep", F.struct(-F.col("common"), F.col("rep"))).alias("leader")).where("n > 1")
-    once = every.groupBy("n", "h0", "h1").agg(F.min(F.struct("key", "leader")).alias("k")).select("k.key", "k.leader")
-    return met.select("key", "rep").join(once, "key")
+def buckets(met: DataFrame) -> DataFrame:
+    """(leader, rep): members of the posting lists of two members at least, under the list's leader; the leader is a member, too."""
+    leaders = met.groupBy("key").agg(F.count("*").alias("n"), F.min_by("rep", F.struct(-F.col("common"), F.col("rep"))).alias("leader")).where("n > 1")
+    return met.select("key", "rep").join(materialise(leaders.select("key", "leader"), "leaders"), "key").select("leader", "rep").distinct()
 
 
-def _agree(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return (one == two).sum(axis=-1) >= SKETCH_MATCHES
+def _rows(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """Packed rows of equal width as a table."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches leave the similarity possible."""
+def colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures collide in MATCHES coordinates at least. a may stand in very many pairs: it is joined last, so
+    that its signature is never shuffled with them."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array(_agree(one, two)))
+                one, two = (_rows(batch.column(k), np.uint32, COORDINATES) for k in (2, 3))
+                yield batch.select(["a", "b"]).filter(pa.array((one == two).sum(axis=1) >= MATCHES))
 
-    one, two = (sets.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(counted, "a long, b long")
+    one, two = (classes.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(counted, "a long, b long")
 
 
 def across(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of members of one list in different components whose sketches leave the similarity possible.
+    """(a, b): pairs of members of one bucket in different components that collide in MATCHES coordinates and whose sketches leave the
+    similarity possible.
 
-    members: key, rep, component, sketch, keys (all lists of the text). A list is dealt into blocks by hash, each a row; blocks of a
-    list meet in a join, and each pair of blocks is compared in place, so that pairs that are no candidates are never rows. Of the
-    lists that two texts share only the first one, by key, gives the pair.
+    members: leader, rep, component, home (the leader's component), signature, sketch. Those outside the home component meet all others.
+    Both kinds are dealt into blocks by hash; a pair of blocks is a row of its own, and pairs that are no candidates are never rows.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    packed = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "component", "sketch", "keys")).alias("members"))
-    one, two = packed.select("key", F.col("block").alias("i"), F.col("members").alias("mi")), packed.select("key", F.col("block").alias("j"), F.col("members").alias("mj"))
+    spark = members.sparkSession
+    members = members.withColumn("out", F.col("component") != F.col("home"))
+    blocks = lambda c: F.ceil(F.sum(F.when(c, 1).otherwise(0)) / BLOCK).cast("long")
+    sizes = materialise(members.groupBy("leader").agg(blocks(F.col("out")).alias("outer"), blocks(~F.col("out")).alias("inner")), "sizes")
+    n = F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))
+    dealt = members.join(sizes, "leader").select("leader", "out", F.pmod(F.xxhash64("rep"), n).alias("block"), F.struct("rep", "component", "signature", "sketch").alias("member"))
+    packed = materialise(dealt.groupBy("leader", "out", "block").agg(F.collect_list("member").alias("members")), "blocks")
+    first = sizes.select("leader", "outer", "inner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).alias("i"))
+    others = F.concat(
+        F.transform(F.sequence(F.col("i"), F.col("outer") - 1), lambda j: F.struct(F.lit(True).alias("out"), j.alias("block"))),
+        F.when(F.col("inner") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("inner") - 1), lambda j: F.struct(F.lit(False).alias("out"), j.alias("block")))).otherwise(F.array()),
+    )
+    tasks = materialise(first.select("leader", "i", F.inline(others)), "tasks")
+    one = packed.where("out").select("leader", F.col("block").alias("i"), F.col("members").alias("mi"))
+    two = packed.select("leader", "out", "block", F.col("members").alias("mj"))
 
-    def unpacked(rows: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def unpacked(rows: pa.Array, k: int) -> tuple[np.ndarray, ...]:
         m = rows[k].values
-        keys = m.field(3).to_pylist()
-        table = np.full((len(keys), COORDINATES), -1, np.int64)
-        for row, own in zip(table, keys):
-            row[: len(own)] = own
-        return m.field(0).to_numpy(zero_copy_only=False), m.field(1).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(m.field(2).to_pylist()), np.uint8).reshape(-1, SKETCH), table
+        return m.field(0).to_numpy(zero_copy_only=False), m.field(1).to_numpy(zero_copy_only=False), _rows(m.field(2), np.uint32, COORDINATES), _rows(m.field(3), np.uint8, SKETCH)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, none = SKETCH // 8, np.iinfo(np.int64).max
-        # Of the first eighth, as many agreements less as five of its own standard deviations allow.
-        least = int(0.8008 * head - 5 * (0.8008 * 0.1992 * head) ** 0.5)
         for batch in batches:
-            left, right = [], []
-            for k, key in enumerate(batch.column(0).to_pylist()):
-                ra, ca, sa, ka = unpacked(batch.column(1), k)
-                rb, cb, sb, kb = unpacked(batch.column(2), k)
+            for k in range(batch.num_rows):
+                left, right = [], []
+                ra, ca, sa, ka = unpacked(batch.column(0), k)
+                rb, cb, sb, kb = unpacked(batch.column(1), k)
                 for x in range(ra.size):
                     maybe = np.flatnonzero(cb != ca[x])
-                    maybe = maybe[(sb[maybe, :head] == sa[x, :head]).sum(axis=1) >= least]
-                    maybe = maybe[_agree(sb[maybe], sa[x])]
+                    maybe = maybe[(sb[maybe] == sa[x]).sum(axis=1) >= MATCHES]
+                    maybe = maybe[(kb[maybe] == ka[x]).sum(axis=1) >= SKETCH_MATCHES]
                     if maybe.size:
-                        theirs = kb[maybe]
-                        shared = np.where(np.isin(theirs, ka[x][ka[x] >= 0]), theirs, none)
-                        maybe = maybe[shared.min(axis=1) == key]
                         left.append(np.full(maybe.size, ra[x]))
                         right.append(rb[maybe])
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+                if left:
+                    a, b = np.concatenate(left), np.concatenate(right)
+                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
 
-    return one.join(two, "key").where("i <= j").select("key", "mi", "mj").mapInArrow(compared, "a long, b long")
+    met = tasks.join(one, ["leader", "i"]).join(two, ["leader", "out", "block"]).select("mi", "mj")
+    # A row is two whole blocks, so a batch holds few of them.
+    with batch_rows(spark, 4):
+        return materialise(met.mapInArrow(compared, "a long, b long"), "apart")
 
 
-def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of these ids, FILTER_BITS long: aggregated on the executors, its words come to the driver."""
-    bits = F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)) for k in range(3)])
+def _filter(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words) of a Bloom filter of these ids: aggregated on the executors, its words come to the driver."""
+    size = min(FILTER_MOST, max(1 << 16, 1 << (FILTER_SHARE * ids.count()).bit_length()))
+    bits = F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(size)) for k in range(3)])
     words = ids.select(F.explode(bits).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     for word, mask in words.toLocalIterator():
         out[word] = mask
-    return out
+    return size, out
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles, sketch) of the documents in ids, and of few others: the full sorted set as 64-bit numbers, and its sketch."""
+    """(rep, shingles) of the documents in ids, and of few others: the full sorted set as 64-bit numbers."""
     spark = docs.sparkSession
-    mask = _filter_words(ids)
-    table = spark.sparkContext.broadcast(np.unpackbits(mask.view(np.uint8), bitorder="little"))
+    size, mask = _filter(ids)
+    table = spark.sparkContext.broadcast(mask)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
+        mask = table.value
         for batch in batches:
             hit = np.ones(batch.num_rows, bool)
             for k in range(3):
                 at = batch.column(2 + k).to_numpy(zero_copy_only=False)
-                hit &= bits[at].astype(bool)
+                hit &= (mask[at >> 6] >> (at & 63)) & 1 == 1
             wanted = batch.filter(pa.array(hit))
             for w in batch_words(wanted.column(1), NOT_SPACE):
                 s, borders, _ = shingle_sets(w, words)
                 sets = pa.array([s[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:])], pa.binary())
-                sketches = pa.array([sketch(s[a:b]) for a, b in zip(borders[:-1], borders[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([wanted.column(0)[w.lo : w.hi], sets, sketches], names=["rep", "shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays([wanted.column(0)[w.lo : w.hi], sets], names=["rep", "shingles"])
 
     hashed = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"),
-        *[F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(k)), F.lit(FILTER_BITS)).alias(f"h{k}") for k in range(3)],
+        *[F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(k)), F.lit(size)).alias(f"h{k}") for k in range(3)],
     )
-    return hashed.mapInArrow(cut, "rep long, shingles binary, sketch binary")
+    return hashed.mapInArrow(cut, "rep long, shingles binary")
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(rep, sketch) of some sets."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(np.frombuffer(x.as_py(), np.uint64)) for x in batch.column(1)], pa.binary())], names=["rep", "sketch"])
+
+    return sets.select("rep", "shingles").mapInArrow(drawn, "rep long, sketch binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity. a may stand in very many pairs: it is joined last."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,14 +294,10 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     one, two = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(checked, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    pairs = materialise(pairs, "pairs")
+    met = pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb")
     # A row holds two whole sets, of texts of any length.
-    with batch_rows(pairs.sparkSession, 500):
-        return materialise(confirm(pairs, sets).distinct(), "links")
+    with batch_rows(pairs.sparkSession, 100):
+        return materialise(met.mapInArrow(checked, "a long, b long").distinct(), "links")
 
 
 def group(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -302,33 +312,28 @@ def group(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # Exact copies fold into one class before anything is joined; the combiner does most of it ahead of the shuffle.
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
     classes = materialise(classes, "classes")
-    lists = materialise(lists_of(materialise(prefixes(post(classes)), "prefixes")), "lists")
-    sets = materialise(sets_of(docs, lists.select(F.col("rep").alias("id")).distinct(), words), "sets")
-
-    first = lists.where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
-    links = _confirmed(agreeing(first, sets), sets)
-    found = materialise(components(links), "components")
-
-    # Lists that span several components: only pairs of different ones can still add anything.
-    placed = lists.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    own = lists.groupBy("rep").agg(F.collect_list("key").alias("keys"))
-    members = placed.join(spread, "key", "left_semi").join(sets.select("rep", "sketch"), "rep").join(own, "rep")
-    # Rows of the comparison are whole blocks, so a batch holds few of them.
-    with batch_rows(docs.sparkSession, 16):
-        apart = materialise(across(members), "apart")
-    more = _confirmed(apart.distinct().join(first, ["a", "b"], "left_anti"), sets)
-
-    home = found.select("node", "component")
-    joined = more.join(home.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(home.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    merged = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    merged = materialise(merged, "merged")
-    total = placed_components(found, merged)
-
-    # A class of very many copies is split by the adaptive skew join.
-    named = signed.join(classes.select("c1", "c2", "rep"), ["c1", "c2"], "left")
-    whole = named.join(total, named["rep"] == total["node"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    met = materialise(buckets(materialise(prefixes(post(classes)), "prefixes")), "buckets")
+    first = materialise(colliding(met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")), classes), "collisions")
+    sets = materialise(sets_of(docs, met.select(F.col("rep").alias("id")).distinct(), words), "sets")
+    found = materialise(components(confirmed(first, sets)), "components")
+
+    # Buckets that span several components: only pairs of different ones can still add anything.
+    homes = found.select(F.col("node").alias("rep"), "component")
+    placed = met.join(homes, "rep", "left").select("leader", "rep", F.coalesce("component", "rep").alias("component"))
+    spread = placed.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("rep") == F.col("leader"), F.col("component"))).alias("home")).where("lo < hi")
+    members = materialise(placed.join(materialise(spread.select("leader", "home"), "spread"), "leader"), "members")
+    drawn = materialise(sketches(sets.join(members.select("rep").distinct(), "rep", "left_semi")), "sketches")
+    apart = across(members.join(classes.select("rep", "signature"), "rep").join(drawn, "rep"))
+    more = confirmed(apart.distinct(), sets)
+
+    joined = more.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    merged = materialise(components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
+    total = placed_components(found, merged).select(F.col("node").alias("rep"), "component")
+    home = materialise(classes.select("c1", "c2", "rep").join(total, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component")), "homes")
+
+    # A class of very many copies is split by the adaptive skew join: the other side has one row for it.
+    whole = signed.select("doc_id", "c1", "c2", "n_shingles").join(home, ["c1", "c2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
@@ -347,4 +352,4 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     gone = fresh("_gone", docs.columns)
     drop = group(docs, words).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(materialise(drop, "gone"), F.col("doc_id").cast("long") == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

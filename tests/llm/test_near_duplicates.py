@@ -57,7 +57,8 @@ def test_groups_match_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
-def test_large_group_of_small_changes_without_its_original(spark):
+def test_large_group_of_small_changes_without_its_original(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
     rng = random.Random(5)
     base = prose(rng, 120)
     texts = [edited(rng, base, s) for s in (0.015, 0.02, 0.03) for _ in range(60)]
