@@ -2,9 +2,10 @@
 
 Every document is tokenised whole, closed with an end id and cut where it has to be: full windows first, then one rest that the
 online rule places. The rule keeps an array with the number of open windows at each fill level and puts a rest where the sum
-of the squared counts becomes least, which keeps the levels diverse and so leaves a partner for whatever comes next. Windows
-still open at the end of a partition are poured together; what stays in the last one is cut into lengths that are powers of
-two, which need no padding.
+of the squared counts becomes least, which keeps the levels diverse and so leaves a partner for whatever comes next. At the end of a
+partition the documents of the windows that are still open are placed once more, whole, largest first, each at the fullest level that
+has room for it. Only what room is then left is filled by cutting documents of the emptiest windows, and the last window is cut into
+lengths that are powers of two, which need no padding.
 
 Each input partition is packed on its own in one pass, without a shuffle: sequence ids carry the partition number, so a task
 that is run again after the loss of an executor gives the same rows.
@@ -24,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.words import NOT_SPACE, SLICE, batch_words
+from quarry.llm.words import NOT_SPACE, SLICE, batch_words, text_slices
 
 CAPACITY = 4096
 END_ID = 2
-#: Open windows that one packer holds before it pours them together: a bound of its memory.
+#: Open windows that one packer holds; beyond, the fullest one is filled from the emptiest one: a bound of its memory, 16 KB a window.
 MOST_OPEN = 4096
-#: Words and word pieces that one worker remembers, about 150 MB of them: workers live on and keep that.
-MOST_WORDS = 500_000
+#: Words and pieces of words that one worker remembers, about 60 MB of them: workers live on and keep that.
+MOST_WORDS, MOST_PIECES = 300_000, 100_000
 ROWS_OUT = 20_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -69,9 +70,13 @@ class WordIds:
         self.merge = self.tokenizer.model.tokenize
         self.most = most
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        shape = str(self.tokenizer.pre_tokenizer)
+        shape, normal = str(self.tokenizer.pre_tokenizer), str(self.tokenizer.normalizer)
+        # Words can be told apart beforehand only where white space is no part of any token and letters are lower-cased.
+        steps = regex.findall(r"(\w+)\(", normal.replace("Sequence(normalizers=", ""))
+        self.by_words = "Lowercase" in steps and set(steps) <= {"NFC", "Lowercase", "Replace", "Regex"} and normal.count("Replace(") == normal.count('Replace(pattern=Regex("\\s+"), content=" ")')
         found = regex.search(r'Regex\("((?:[^"\\]|\\.)*)"\)', shape)
-        self.split = regex.compile(found[1].replace("\\\\", "\\")) if found and "invert=True" in shape else None
+        self.split = regex.compile(found[1].replace("\\\\", "\\")) if found and "behavior=Removed, invert=True" in shape else None
+        self.by_words = self.by_words and self.split is not None and not self.split.search(" \t\n")
         self.split_lines = regex.compile(f"\n|{self.split.pattern}") if self.split else None
         self.forget()
 
@@ -134,9 +139,17 @@ class WordIds:
 
     def encode(self, column: pa.Array, most: int = 2 * SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of the rows in turn, where each row's ids start and the last ones end), slice by slice."""
+        if not self.by_words:
+            for lo, hi, data, offsets in text_slices(column, most):
+                texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])]
+                own = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+                yield lo, np.concatenate([np.zeros(0, np.uint32), *own]), np.cumsum([0, *(x.size for x in own)])
+            return
         for words in batch_words(column, NOT_SPACE, lower=False, most=most):
-            if self.keys.size > self.most or len(self.pieces) > self.most:
+            if self.keys.size > self.most:
                 self.forget()
+            if len(self.pieces) > MOST_PIECES:
+                self.pieces.clear()
             keys, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
             place = np.searchsorted(self.keys, keys)
             new = np.ones(keys.size, dtype=bool)
@@ -160,6 +173,40 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _size(window: list) -> int:
+    return sum(len(p[2]) for p in window) // 4
+
+
+def cut_off(window: list, size: int) -> list:
+    """Take ids of this number out of a window, from its largest document on; a document that is only partly taken keeps its end."""
+    taken = []
+    window.sort(key=lambda p: len(p[2]))
+    while size:
+        document, start, ids = window.pop()
+        took = ids[: 4 * size]
+        taken.append((document, start, took))
+        size -= len(took) // 4
+        if len(took) < len(ids):
+            window.append((document, start + len(took) // 4, ids[len(took) :]))
+    return taken
+
+
+def by_powers(window: list) -> list[list]:
+    """A window cut into windows whose lengths are powers of two; its small documents come first and so are rarely cut."""
+    closed, left = [], sorted(window, key=lambda p: -len(p[2]))
+    while left:
+        room, part = 1 << (_size(left).bit_length() - 1), []
+        while room:
+            document, start, ids = left.pop()
+            took = ids[: 4 * room]
+            part.append((document, start, took))
+            room -= len(took) // 4
+            if len(took) < len(ids):
+                left.append((document, start + len(took) // 4, ids[len(took) :]))
+        closed.append(part)
+    return closed
+
+
 class SumOfSquares:
     """Online packer of one partition. `add` and `finish` return closed windows: lists of (document, start, ids)."""
 
@@ -191,66 +238,58 @@ class SumOfSquares:
             closed.append([(document, start, ids[4 * start : 4 * (start + full)])])
         size = total - cut
         if size:
-            level = self.level_for(size)
-            piece = (document, cut, ids[4 * cut :])
-            if level:
-                window = self.open[level].pop()
-                self.levels[level] -= 1
-                self.n_open -= 1
-                window.append(piece)
-            else:
-                window = [piece]
-            if level + size == full:
-                closed.append(window)
-            else:
-                self.open.setdefault(level + size, []).append(window)
-                self.levels[level + size] += 1
-                self.n_open += 1
+            closed += self.place((document, cut, ids[4 * cut :]), self.level_for(size))
             if self.n_open > self.most_open:
-                poured, rest = self.pour()
-                closed += poured
-                if rest:
-                    level = sum(len(p[2]) for p in rest) // 4
-                    self.open[level] = [rest]
-                    self.levels[level] = self.n_open = 1
+                levels = np.flatnonzero(self.levels)
+                window, donor = self.take(int(levels[-1])), self.take(int(levels[0]))
+                closed.append(window + cut_off(donor, self.capacity - int(levels[-1])))
+                if donor:
+                    level = _size(donor)
+                    self.open.setdefault(level, []).append(donor)
+                    self.levels[level] += 1
+                    self.n_open += 1
         return closed
 
-    def pour(self) -> tuple[list[list], list]:
-        """Empty the open windows, fullest first, into full ones; the last, partly filled one comes apart."""
-        closed, window, room = [], [], self.capacity
-        for level in sorted(self.open, reverse=True):
-            for pieces in self.open[level]:
-                for document, start, ids in pieces:
-                    while ids:
-                        took = ids[: 4 * room]
-                        window.append((document, start, took))
-                        start += len(took) // 4
-                        room -= len(took) // 4
-                        ids = ids[len(took) :]
-                        if not room:
-                            closed.append(window)
-                            window, room = [], self.capacity
+    def take(self, level: int) -> list:
+        """An open window of this level, no longer open."""
+        self.levels[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def place(self, piece: tuple, level: int) -> list[list]:
+        """Put a piece into a window of this level (0: a new one), which is closed if it is full."""
+        window = [*self.take(level), piece] if level else [piece]
+        level += len(piece[2]) // 4
+        if level == self.capacity:
+            return [window]
+        self.open.setdefault(level, []).append(window)
+        self.levels[level] += 1
+        self.n_open += 1
+        return []
+
+    def finish(self) -> list[list]:
+        """Close what is open, after its documents were placed anew: largest first, each at the fullest level with room for it."""
+        pieces = sorted((p for windows in self.open.values() for w in windows for p in w), key=lambda p: -len(p[2]))
         self.open.clear()
         self.levels[:] = 0
         self.n_open = 0
-        return closed, window
-
-    def finish(self) -> list[list]:
-        closed, rest = self.pour()
-        left = sum(len(p[2]) for p in rest) // 4
-        pieces = rest[::-1]
-        while left:
-            room = 1 << (left.bit_length() - 1)
-            left -= room
-            window = []
-            while room:
-                document, start, ids = pieces.pop()
-                took = ids[: 4 * room]
-                window.append((document, start, took))
-                room -= len(took) // 4
-                if len(took) < len(ids):
-                    pieces.append((document, start + len(took) // 4, ids[len(took) :]))
-            closed.append(window)
+        closed, full = [], self.capacity
+        for piece in pieces:
+            fits = np.flatnonzero(self.levels[: self.capacity - len(piece[2]) // 4 + 1])
+            closed += self.place(piece, int(fits[-1]) if fits.size else 0)
+        windows = [w for level in sorted(self.open) for w in self.open[level]]
+        self.open.clear()
+        at = 0
+        for k in range(len(windows) - 1, -1, -1):
+            while at < k and (room := full - _size(windows[k])):
+                windows[k] += cut_off(windows[at], min(room, _size(windows[at])))
+                at += not windows[at]
+            if at < k or _size(windows[k]) == full:
+                closed.append(windows[k])
+            elif windows[k]:
+                return closed + by_powers(windows[k])
+            if at >= k:
+                break
         return closed
 
 
