@@ -6,17 +6,18 @@ words are classes of their own, the others share classes by hash; both kinds gro
 words. Within a shared class a word has its share of the corpus count. The score of a document is the sum of the logarithms of
 these conditional probabilities over all its words.
 
-Everything is gathered from all documents. Words are counted by their spelling in a table of the shared folder, one row a word,
-which no process holds: scores meet it in a join with the words of each block of texts. The network is trained where the data lies:
-each task masks every word of each of its documents once, runs gradient descent in numpy from the common start, and hands over its
-weights, which are averaged by the number of words behind them, first in groups on the executors and then on the driver.
+Everything is gathered from all documents, and no result depends on how they are partitioned. Words are counted by their 64-bit hashes
+in a table of the shared folder, one row a word (two of a billion words share a hash with a chance of 3 %). The most frequent words,
+a bounded number, are sent to all tasks with their counts; those of all others are joined. Documents are written once as numbers of
+classes. They are dealt by hash into groups of a size that follows from the corpus, and each group, in the order of its hashes, trains a
+network by gradient descent in numpy, with every word as a target once; the weights are averaged by the words behind them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,109 +26,117 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import batch_rows, materialise, new_path
-from quarry.llm.words import NOT_SPACE, Words, batch_words
+from quarry.llm.words import NOT_SPACE, batch_words
 
-#: Slots by which words share classes; no count is kept by slot.
-BUCKETS = 1 << 17
 #: Least numbers of classes, for words of their own and shared; above, so many times the root of the number of different words.
 OWN, SHARED = 96, 32
-OWN_ROOTS, SHARED_ROOTS = 4, 1
+OWN_ROOTS, SHARED_ROOTS = 2.0, 0.25
 CLASSES = OWN + SHARED
+#: Most words whose counts are sent to all tasks, 16 bytes each, the most frequent ones; the counts of all others are joined.
+KNOWN = 1 << 18
+#: Counts up to here are told apart one by one when the most frequent words are sought, larger ones by 64 steps an octave.
+FINE = 4096
 #: The last row of a position table.
 EDGE = -1
 SIDES = (-2, -1, 1, 2)
-HIDDEN = 24
-BATCH, CHUNK = 512, 8192
-#: Bytes of text whose different words are listed together, and rows handed to Python at a time: both bound a task's memory.
-BLOCK, ROWS = 1 << 20, 1000
-#: Groups in which weights are averaged before the driver sees them: bounds what it receives.
-GROUPS = 8
+HIDDEN = 16
+BATCH, CHUNK = 1024, 8192
+#: Words of a group of documents, at least; a network of many weights gets larger groups, so that weights stay few against words.
+GROUP_WORDS, WORDS_A_WEIGHT = 2_000_000, 8
+#: Networks that the driver averages; more of them are averaged on the executors before.
+AVERAGED = 8
+#: Rows handed to Python at a time: bounds a task's memory.
+ROWS = 1000
 
-SCORES = "doc_id long, n_words long, log_likelihood double, mean_log_probability double, pseudo_perplexity double"
+CODED = "row long, doc_id long, grp long, ord long, n long, base double, classes binary, rest array<long>"
+WEIGHTS = "grp long, n long, weights binary"
 
 
-def bucket_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(47)).astype(np.int64)
-
-
-def spelled(w: Words, at: np.ndarray) -> pa.Array:
-    """The bytes of some words."""
-    offsets = np.zeros(at.size + 1, np.int64)
-    np.cumsum(w.ends[at] - w.starts[at], out=offsets[1:])
-    data = w.data[np.repeat(w.starts[at] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])]
-    return pa.Array.from_buffers(pa.binary(), at.size, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-
-
-@dataclass
-class Counts:
-    """table: word (its bytes, lower case), hash, n; a row for every different word of the corpus."""
-
-    table: DataFrame
-
-    def sum(self) -> int:
-        return self.table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
-def count(docs: DataFrame) -> Counts:
-    """How often each word stands in all documents."""
+def count(docs: DataFrame) -> DataFrame:
+    """(hash, n): how often each lower-cased word stands in all documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in batch_words(batch.column(0), NOT_SPACE, most=BLOCK):
-                some, at, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([spelled(w, at), pa.array(some.view(np.int64)), pa.array(n)], names=["word", "hash", "n"])
+            for w in batch_words(batch.column(0), NOT_SPACE, most=1 << 22):
+                some, n = np.unique(w.hashes(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(counted, "word binary, hash long, n long")
-    with batch_rows(docs.sparkSession, ROWS):
-        return Counts(materialise(rows.groupBy("word", "hash").agg(F.sum("n").alias("n")), "words"))
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(counted, "hash long, n long")
+    return materialise(rows.groupBy("hash").agg(F.sum("n").alias("n")), "words")
 
 
 @dataclass
 class Vocabulary:
-    """cls: class of each slot. weight: counts of each slot's words and one more for each. total: logarithm of each class's weight
-    (0 for a word of its own). hashes, ids: words of their own, by hash, and their classes. counts: the table of all words."""
+    """hashes, counts: the most frequent words, by hash. ids: their classes. own: how many words are classes of their own; these come
+    first. total: logarithm of each shared class's weight, the counts of its words and one more for each, and one for words that the
+    corpus never had. prior: logarithm of each class's share of the corpus. size: words of the corpus. table: the counts of all words."""
 
-    cls: np.ndarray
-    weight: np.ndarray
-    total: np.ndarray
-    prior: np.ndarray
     hashes: np.ndarray
+    counts: np.ndarray
     ids: np.ndarray
-    counts: DataFrame | None = None
+    own: int
+    total: np.ndarray
+    prior: np.ndarray
+    size: int
+    table: DataFrame | None = None
+
+    def sent(self) -> Vocabulary:
+        return Vocabulary(self.hashes, self.counts, self.ids, self.own, self.total, self.prior, self.size)
 
     @property
-    def within(self) -> np.ndarray:
-        """Logarithm of each slot's share of its class."""
-        return np.log(self.weight) - self.total[self.cls]
-
-
-def vocabulary(counts: np.ndarray, kinds: np.ndarray | int = 1, hashes: np.ndarray | None = None, own: np.ndarray | None = None, shared: int = SHARED) -> Vocabulary:
-    """counts, kinds: occurrences and number of words that share each slot. hashes, own: words of their own and their occurrences."""
-    hashes = np.zeros(0, np.uint64) if hashes is None else hashes
-    own = np.zeros(hashes.size) if own is None else own
-    cls = hashes.size + np.arange(BUCKETS) % shared
-    weight = counts + kinds + 0.0
-    sums = np.bincount(cls, weight, hashes.size + shared)
-    total = np.log(np.where(np.arange(sums.size) < hashes.size, 1, sums))
-    sums[: hashes.size] = own
-    order = np.argsort(hashes)
-    return Vocabulary(cls.astype(np.int64), weight, total, np.log(sums / sums.sum()), hashes[order], order.astype(np.int64))
-
-
-def classes(counts: Counts) -> Vocabulary:
-    """The classes of a corpus. The driver sees the words of their own and one row for each slot."""
-    table = counts.table
-    root = math.isqrt(table.count())
-    top = table.orderBy(F.desc("n"), "word").limit(max(OWN, OWN_ROOTS * root)).select("hash", "n").collect()
-    hashes = np.array([r[0] for r in top], np.int64).view(np.uint64)
-    own = np.array([r[1] for r in top], np.float64)
-    n, kinds = np.zeros(BUCKETS), np.ones(BUCKETS)  # one more word in each slot: that which the corpus never had
-    for r in table.groupBy(F.shiftrightunsigned("hash", 47).alias("slot")).agg(F.sum("n"), F.count("*")).collect():
-        n[r[0]] += r[1]
-        kinds[r[0]] += r[2]
-    np.subtract.at(n, bucket_of(hashes), own)
-    np.subtract.at(kinds, bucket_of(hashes), 1)
-    return replace(vocabulary(n, kinds, hashes, own, max(SHARED, SHARED_ROOTS * root)), counts=table)
+    def kind(self) -> type:
+        """What holds the number of a class."""
+        return np.uint16 if self.prior.size < 1 << 16 else np.uint32
+
+    def code(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, logarithm of the share within it, whether the count has still to be joined) of each word. A share that lacks its
+        count is that of a word the corpus never had."""
+        some, which = np.unique(hashes, return_inverse=True)
+        cls = self.own + shared_class(some, self.total.size)
+        share = -self.total[cls - self.own]
+        known = np.zeros(some.size, bool)
+        if self.hashes.size:
+            at = np.minimum(np.searchsorted(self.hashes, some), self.hashes.size - 1)
+            known = self.hashes[at] == some
+            cls = np.where(known, self.ids[at], cls)
+            share = np.where(known, np.where(cls < self.own, 0.0, share + np.log(self.counts[at] + 1.0)), share)
+        return cls[which], share[which], ~known[which]
+
+
+def shared_class(hashes: np.ndarray, shared: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) % np.uint64(shared)).astype(np.int64)
+
+
+def vocabulary(table: DataFrame) -> Vocabulary:
+    """The classes of a corpus, given its counts. The driver sees at most KNOWN words and one row for each shared class."""
+    n = F.col("n")
+    step = F.when(n <= FINE, n).otherwise(FINE + F.floor(64 * F.log2(n / FINE))).cast("long")
+    found = sorted(((r[0], r[1]) for r in table.groupBy(step.alias("step")).agg(F.count("*")).collect()), reverse=True)
+    kinds, least, many = sum(c for _, c in found), None, 0
+    for s, c in found:
+        if many + c > KNOWN:
+            break
+        least, many = s, many + c
+    top = table.where(step >= least if least is not None else F.lit(False)).toArrow()
+    hashes, counts = top["hash"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.float64)
+    order = np.lexsort((hashes, -counts))
+    own = min(order.size, max(OWN, int(OWN_ROOTS * math.sqrt(kinds))))
+    shared = max(SHARED, int(SHARED_ROOTS * math.sqrt(kinds)))
+    ids = own + shared_class(hashes, shared)
+    ids[order[:own]] = np.arange(own)
+    sums = np.concatenate([counts[order[:own]], np.zeros(shared)])
+    weight = np.ones(shared)
+    slot = F.pmod(F.shiftrightunsigned("hash", 32), F.lit(shared))
+    for s, total, words in table.groupBy(slot.alias("slot")).agg(F.sum("n"), F.count("*")).collect():
+        sums[own + s] += total
+        weight[s] += total + words
+    at = shared_class(hashes[order[:own]], shared)
+    np.subtract.at(sums, own + at, counts[order[:own]])
+    np.subtract.at(weight, at, counts[order[:own]] + 1)
+    size = int(sums.sum())
+    sums[own:] += 1.0
+    sort = np.argsort(hashes)
+    return Vocabulary(hashes[sort], counts[sort], ids[sort], own, np.log(weight), np.log(sums / sums.sum()), size, table)
 
 
 @dataclass
@@ -209,6 +218,7 @@ class Network:
         around = around[order]
         group, place, runs = self.runs(target[order])
         h = self.hidden(around)
+        rate = np.float32(rate)
 
         def slope(z: np.ndarray, own: np.ndarray) -> np.ndarray:
             z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -235,55 +245,104 @@ class Network:
             self.tables[j][rows[first]] -= rate * np.add.reduceat(back[order], first, axis=0)
 
 
-def contexts(w: Words, cls: np.ndarray, words: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, classes, neighbours' classes, row) of every word; beyond its text's edge a word's neighbour is EDGE."""
-    hashes = w.hashes()
-    own = cls[bucket_of(hashes)]
-    if words is not None and words.hashes.size:
-        at = np.minimum(np.searchsorted(words.hashes, hashes), words.hashes.size - 1)
-        own = np.where(words.hashes[at] == hashes, words.ids[at], own)
-    row = np.repeat(np.arange(w.hi - w.lo), np.diff(w.first))
-    around = np.full((own.size, len(SIDES)), EDGE, np.int64)
+def contexts(classes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The classes of every word's neighbours; beyond its text's edge a word's neighbour is EDGE."""
+    around = np.full((classes.size, len(SIDES)), EDGE, np.int64)
     for j, side in enumerate(SIDES):
         a, b = (slice(-side, None), slice(None, side)) if side < 0 else (slice(None, -side), slice(side, None))
-        if own.size > abs(side):
-            same = row[a] == row[b]
-            around[a, j] = np.where(same, own[b], EDGE)
-    return hashes, own, around, row
+        if classes.size > abs(side):
+            around[a, j] = np.where(row[a] == row[b], classes[b], EDGE)
+    return around
 
 
-def train(docs: DataFrame, words: Vocabulary, rate: float = 1.0) -> Network:
-    """Average of networks trained by all tasks, with every word of their documents as target once."""
+def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """The documents as classes, written to the shared folder: a row for each, with its group, its place in it, the number of its words,
+    the logarithms that known counts give, its classes, and the hashes of the words whose counts have to be joined."""
     spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(words.sent())
+    groups = group_count(words)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, context, row = shared.value, TaskContext.get(), 0
+        part = (context.partitionId() if context else 0) << 40
+        for batch in batches:
+            for w in batch_words(batch.column(1), NOT_SPACE):
+                n = np.diff(w.first)
+                hashes = w.hashes()
+                cls, share, rest = words.code(hashes)
+                base = np.bincount(np.repeat(np.arange(n.size), n), share, n.size).astype(np.float64)
+                cls = cls.astype(words.kind)
+                packed = pa.array([cls[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:])], pa.binary())
+                left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rest)])[w.first], pa.int32()), pa.array(hashes[rest].view(np.int64)))
+                order = batch.column(2).to_numpy(zero_copy_only=False)[w.lo : w.hi]
+                numbers = part + row + np.arange(n.size)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column(0)[w.lo : w.hi], pa.array(order % groups), pa.array(order), pa.array(n.astype(np.int64)), pa.array(base), packed, left], names=["row", "doc_id", "grp", "ord", "n", "base", "classes", "rest"])
+                row += n.size
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("ord", F.xxhash64("doc_id", "text"))
+    path = new_path(spark, "classes")
+    with batch_rows(spark, ROWS):
+        rows.mapInArrow(coded, CODED).write.option("parquet.block.size", 16 << 20).parquet(path)
+    return spark.read.schema(CODED).parquet(path)
+
+
+def group_count(words: Vocabulary) -> int:
+    """Groups of documents, as the corpus has them whatever its partitions."""
+    weights = sum(math.prod(s) for s in Network.shapes(words.prior.size))
+    return max(1, -(-words.size // max(GROUP_WORDS, WORDS_A_WEIGHT * weights)))
+
+
+def _flat(packed: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, row) of the words of some documents."""
+    n = np.array([len(p) for p in packed], np.int64) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(packed), kind).astype(np.int64), np.repeat(np.arange(n.size), n)
+
+
+class Descent:
+    """Trains a network on one group of documents, which come in their order."""
+
+    def __init__(self, begin: Network, kind: type, rate: float):
+        self.net, self.kind, self.rate = Network(*(x.copy() for x in begin.parts())), kind, rate
+        self.seen, self.held = 0, (np.zeros((0, len(SIDES)), np.int64), np.zeros(0, np.int64))
+
+    def add(self, packed: list[bytes], end: bool = False) -> None:
+        classes, row = _flat(packed, self.kind)
+        around, own = np.concatenate([self.held[0], contexts(classes, row)]), np.concatenate([self.held[1], classes])
+        stop = own.size if end else own.size - own.size % BATCH
+        for lo in range(0, stop, BATCH):
+            self.net.descend(around[lo : lo + BATCH], own[lo : lo + BATCH], self.rate / (1 + self.seen / 200_000))
+            self.seen += min(BATCH, stop - lo)
+        self.held = (around[stop:], own[stop:])
+
+
+def train(coded: DataFrame, words: Vocabulary, rate: float = 1.0) -> Network:
+    """Average of the networks of all groups, with every word of their documents as target once."""
+    spark = coded.sparkSession
     begin = Network.start(words.prior)
-    shared = spark.sparkContext.broadcast((replace(words, counts=None), begin))
+    shared = spark.sparkContext.broadcast((begin, words.kind))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, first = shared.value
-        net, seen = Network(*(x.copy() for x in first.parts())), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
+        at, descent = None, None
+
+        def out() -> pa.RecordBatch:
+            descent.add([], end=True)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([descent.seen], pa.int64()), pa.array([descent.net.pack().tobytes()], pa.binary())], names=["grp", "n", "weights"])
+
         for batch in batches:
-            for w in batch_words(batch.column(0), NOT_SPACE):
-                _, own, around, _ = contexts(w, words.cls, words)
-                held.append((around, own))
-                waiting += own.size
-                if waiting >= 8 * BATCH:
-                    around, own = (np.concatenate(x) for x in zip(*held))
-                    full = waiting - waiting % BATCH
-                    for lo in range(0, full, BATCH):
-                        net.descend(around[lo : lo + BATCH], own[lo : lo + BATCH], rate / (1 + seen / 200_000))
-                        seen += BATCH
-                    held, waiting = [(around[full:], own[full:])], waiting - full
-        if waiting:
-            around, own = (np.concatenate(x) for x in zip(*held))
-            for lo in range(0, waiting, BATCH):
-                net.descend(around[lo : lo + BATCH], own[lo : lo + BATCH], rate / (1 + seen / 200_000))
-                seen += min(BATCH, waiting - lo)
-        if seen:
-            context = TaskContext.get()
-            group = (context.partitionId() if context else 0) % GROUPS
-            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen], pa.int64()), pa.array([net.pack().tobytes()], pa.binary())], names=["g", "n", "weights"])
+            groups = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), groups.size]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi == lo:
+                    continue
+                if groups[lo] != at:
+                    if descent:
+                        yield out()
+                    at, descent = int(groups[lo]), Descent(*shared.value, rate)
+                for k in range(lo, hi, 64):
+                    descent.add(batch.column(2)[k : min(k + 64, hi)].to_pylist())
+        if descent:
+            yield out()
 
     def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, list] = {}
@@ -293,60 +352,54 @@ def train(docs: DataFrame, words: Vocabulary, rate: float = 1.0) -> Network:
                 held[0] += n
                 held[1] = held[1] + n * np.frombuffer(weights, np.float32).astype(np.float64)
         for g, (n, total) in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["g", "n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["grp", "n", "weights"])
 
-    layout = "g int, n long, weights binary"
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(local, layout).repartition(GROUPS, "g").mapInArrow(averaged, layout)
+    n = group_count(words)
+    rows = coded.where("n > 0").select("grp", "ord", "classes").repartition(n, "grp").sortWithinPartitions("grp", "ord")
     with batch_rows(spark, ROWS):
-        got = sorted((r[0], r[1], bytes(r[2])) for r in parts.collect())  # at most GROUPS rows
+        parts = materialise(rows.mapInArrow(local, WEIGHTS), "weights")
+    with batch_rows(spark, 4):
+        while n > AVERAGED:
+            n = max(AVERAGED, n // 32)
+            dealt = parts.select(F.pmod("grp", F.lit(n)).alias("grp"), "n", "weights").repartition(n, "grp").sortWithinPartitions("grp", "n", F.xxhash64("weights"))
+            parts = materialise(dealt.mapInArrow(averaged, WEIGHTS), "weights")
+    got = sorted((r[0], r[1], bytes(r[2])) for r in parts.collect())  # at most AVERAGED rows
     if not got:
         return begin
-    n = sum(r[1] for r in got)
-    return Network.unpack(sum(r[1] / n * np.frombuffer(r[2], np.float32) for r in got), words.prior.size)
-
-
-#: A block of texts: its rows, and for each row in packed numbers its words, those in shared classes, and the logarithms that the
-#: network and the classes give; then the different words of shared classes, and for each occurrence which of them it is.
-BLOCKS = "block long, ids array<long>, n binary, rare binary, logs binary, words array<binary>, codes binary"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], words: Vocabulary, net: Network) -> Iterator[pa.RecordBatch]:
-    context, block = TaskContext.get(), 0
-    part = context.partitionId() if context else 0
-    for batch in batches:
-        for w in batch_words(batch.column(1), NOT_SPACE, most=BLOCK):
-            rows = w.hi - w.lo
-            hashes, own, around, row = contexts(w, words.cls, words)
-            logs = np.bincount(row, net.log_probability(around, own) - words.total[own], rows)
-            rare = np.flatnonzero(own >= words.hashes.size)
-            _, at, codes = np.unique(hashes[rare], return_index=True, return_inverse=True)
-            packed = [np.diff(w.first).astype(np.int64), np.bincount(row[rare], minlength=rows).astype(np.int64), logs.astype(np.float64), codes.astype(np.int32)]
-            n, few, logs, codes = (pa.array([x.tobytes()], pa.binary()) for x in packed)
-            ids = pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), batch.column(0)[w.lo : w.hi])
-            spellings = pa.ListArray.from_arrays(pa.array([0, at.size], pa.int32()), spelled(w, rare[at]))
-            yield pa.RecordBatch.from_arrays([pa.array([part << 33 | block], pa.int64()), ids, n, few, logs, spellings, codes], names=["block", "ids", "n", "rare", "logs", "words", "codes"])
-            block += 1
-
-
-def _scored(block: pa.Table, counts: pa.Table) -> pa.Table:
-    """The scores of a block's rows. counts: (at, place, n) of its words of shared classes."""
-    more = np.zeros(counts.num_rows)
-    if counts.num_rows:
-        more[counts["place"].to_numpy()] = np.log(counts["n"].to_numpy() + 1.0)
-    ids, *packed = (block[k][0].as_py() for k in ("ids", "n", "rare", "logs", "codes"))  # one row a block
-    n, rare, logs, codes = (np.frombuffer(x, t) for x, t in zip(packed, (np.int64, np.int64, np.float64, np.int32)))
-    logs = logs + np.bincount(np.repeat(np.arange(rare.size), rare), more[codes], rare.size)
-    some = n > 0
-    mean = logs / np.maximum(n, 1)
-    return pa.table({
-        "doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "log_likelihood": pa.array(logs, pa.float64()),
-        "mean_log_probability": pa.array(mean, mask=~some), "pseudo_perplexity": pa.array(np.exp(np.minimum(-mean, 700)), mask=~some),
-    })
+    total = sum(r[1] for r in got)
+    return Network.unpack(sum(r[1] / total * np.frombuffer(r[2], np.float32).astype(np.float64) for r in got), words.prior.size)
+
+
+def score_coded(coded: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
+    """The scores of documents that are written as classes."""
+    spark = coded.sparkSession
+    shared = spark.sparkContext.broadcast((net, words.kind))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, kind = shared.value
+        for batch in batches:
+            logs = batch.column(3).to_numpy(zero_copy_only=False).copy()
+            for lo in range(0, batch.num_rows, 64):
+                packed = batch.column(4)[lo : lo + 64].to_pylist()
+                classes, row = _flat(packed, kind)
+                logs[lo : lo + len(packed)] += np.bincount(row, net.log_probability(contexts(classes, row), classes), len(packed))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(logs)], names=["row", "doc_id", "n_words", "logs"])
+
+    few = coded.select("row", "doc_id", F.col("n").alias("n_words"), "base", "classes").mapInArrow(scored, "row long, doc_id long, n_words long, logs double")
+    # Only words that are rare in the corpus are joined: no key is hot.
+    rare = coded.select("row", F.explode("rest").alias("hash")).join(words.table, "hash").groupBy("row").agg(F.sum(F.log(F.col("n") + 1.0)).alias("more"))
+    some = F.col("n_words") > 0
+    logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(some, logs / F.col("n_words"))
+    return few.join(rare, "row", "left").select(
+        "doc_id", "n_words", logs.alias("log_likelihood"), mean.alias("mean_log_probability"), F.exp(F.least(-mean, F.lit(700.0))).alias("pseudo_perplexity")
+    )
 
 
 def learn(docs: DataFrame) -> tuple[Vocabulary, Network]:
-    words = classes(count(docs))
-    return words, train(docs, words)
+    """Classes and network of a corpus."""
+    words = vocabulary(count(docs))
+    return words, train(encode(docs, words), words)
 
 
 def score(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
@@ -354,15 +407,13 @@ def score(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
 
     Null and empty texts have no words, likelihood 0 and null means. Words that the corpus never had are scored like others of
     their class with a count of 0. Equal texts get equal scores up to rounding, repeated rows stay repeated and count in training,
-    an empty table gives no row. Only doc_id and text are read. Texts are read whole.
+    an empty table gives no row. Only doc_id and text are read. Texts are read whole. Scores are the same for any partitioning.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((replace(words, counts=None), net))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    path = new_path(spark, "blocks")
-    with batch_rows(spark, ROWS):
-        rows.mapInArrow(lambda batches: _blocks(batches, *shared.value), BLOCKS).write.option("parquet.block.size", 16 << 20).parquet(path)
-    blocks = spark.read.schema(BLOCKS).parquet(path)
-    places = blocks.select(F.col("block").alias("at"), F.posexplode("words").alias("place", "word"))
-    counted = places.join(words.counts.select("word", "n"), "word", "left").select("at", "place", F.coalesce("n", F.lit(0)).alias("n"))
-    return blocks.drop("words").groupBy("block").cogroup(counted.groupBy("at")).applyInArrow(_scored, SCORES)
+    return score_coded(encode(docs, words), words, net)
+
+
+def score_corpus(docs: DataFrame) -> DataFrame:
+    """`score` of the documents under a model learned from themselves; they are written as classes once."""
+    words = vocabulary(count(docs))
+    coded = encode(docs, words)
+    return score_coded(coded, words, train(coded, words))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quarry.llm import html_text, lm_scoring, media
 from quarry.llm.words import NOT_SPACE, batch_words
@@ -40,31 +41,51 @@ def test_pseudo_likelihood(spark):
     assert lm_scoring.score(empty(spark), *lm_scoring.learn(empty(spark))).collect() == []
 
 
+def word_hashes(text):
+    w = next(batch_words(pa.array([text]), NOT_SPACE))
+    return w.hashes()
+
+
 def test_counts_cover_all_words(spark):
-    counts = lm_scoring.count(documents(spark, ["a b a", None, "b c", ""]).repartition(2))
-    assert counts.sum() == 5
+    counts = lm_scoring.count(documents(spark, ["a b a", None, "B c", ""]).repartition(2))
+    a, b, c = word_hashes("a b c").view(np.int64).tolist()
+    assert {r.hash: r.n for r in counts.collect()} == {a: 2, b: 2, c: 1}
 
 
 def test_class_probabilities_sum_to_one():
     net = lm_scoring.Network.start(np.log(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES)))
     around = np.tile(np.array([[1, 2, 3, lm_scoring.EDGE]]), (lm_scoring.CLASSES, 1))
     assert abs(np.exp(net.log_probability(around, np.arange(lm_scoring.CLASSES))).sum() - 1) < 1e-5
-    words = lm_scoring.vocabulary(np.arange(lm_scoring.BUCKETS))
-    assert np.allclose(np.bincount(words.cls, np.exp(words.within)), 1)
 
 
-def test_words_that_share_a_class_keep_their_counts(spark):
-    """More words than slots: each has its own count, and the classes grow with their number."""
-    n = lm_scoring.BUCKETS + 20_000
-    texts = [" ".join(f"r{k}" for k in range(lo, min(lo + 2000, n))) for lo in range(0, n, 2000)]
-    counts = lm_scoring.count(documents(spark, [*texts, "R7 r8 r7"]).repartition(3))
-    assert counts.table.count() == n and counts.sum() == n + 3
-    assert {bytes(r.word): r.n for r in counts.table.where("n > 1").collect()} == {b"r7": 3, b"r8": 2}
-    words = lm_scoring.classes(counts)
-    assert words.prior.size > 4 * lm_scoring.CLASSES and abs(np.exp(words.prior).sum() - 1) < 1e-3
+def test_shares_within_classes_sum_to_one(spark):
+    texts = [" ".join(f"q{k % (k // 7 + 1)}" for k in range(3000))]
+    words = lm_scoring.vocabulary(lm_scoring.count(documents(spark, texts)))
+    hashes = np.unique(word_hashes(texts[0]))
+    cls, share, rest = words.code(hashes)
+    unseen = np.exp(-words.total)
+    sums = np.bincount(cls, np.exp(share), words.prior.size)[words.own :] + unseen
+    assert not rest.any() and np.allclose(sums, 1) and abs(np.exp(words.prior).sum() - 1) < 1e-9
 
 
-def test_scores_equal_those_of_counts_in_memory(spark):
+def test_words_that_share_a_class_keep_their_counts(spark, monkeypatch):
+    """Classes grow with the number of words; each word has its own count, whether it is sent to all tasks or joined."""
+    n = 150_000
+    texts = [" ".join(f"r{k}" for k in range(lo, min(lo + 2000, n))) for lo in range(0, n, 2000)]
+    counts = lm_scoring.count(documents(spark, [*texts, "R7 r8 r7"]).repartition(3))
+    r7, r8 = word_hashes("r7 r8").view(np.int64).tolist()
+    assert counts.count() == n and {r.hash: r.n for r in counts.where("n > 1").collect()} == {r7: 3, r8: 2}
+    words = lm_scoring.vocabulary(counts)
+    assert words.prior.size > 4 * lm_scoring.CLASSES and words.size == n + 3 and abs(np.exp(words.prior).sum() - 1) < 1e-3
+    monkeypatch.setattr(lm_scoring, "KNOWN", 100)
+    few = lm_scoring.vocabulary(counts)
+    assert few.hashes.size == 2 and few.code(word_hashes("r7 r9"))[2].tolist() == [False, True]
+
+
+@pytest.mark.parametrize("known", [1 << 18, 60])
+def test_scores_against_loops(spark, monkeypatch, known):
+    """Every scored document once more, word by word, from the spellings' counts and the network's weights."""
+    monkeypatch.setattr(lm_scoring, "KNOWN", known)
     rng = random.Random(3)
     texts = [" ".join(f"v{int(rng.paretovariate(0.4)) % 5000}" for _ in range(300)) for _ in range(40)]
     docs = documents(spark, [*texts, "never seen before"])
@@ -72,38 +93,64 @@ def test_scores_equal_those_of_counts_in_memory(spark):
     seen = {}
     for word in " ".join(texts).split():
         seen[word] = seen.get(word, 0) + 1
+    own_words = sorted(seen, key=lambda x: (-seen[x], int(word_hashes(x)[0])))[: words.own]
+    own = {w: k for k, w in enumerate(own_words)}
+    shared = words.total.size
+    cls = {w: own.get(w, words.own + int(word_hashes(w)[0] >> np.uint64(32)) % shared) for w in [*seen, "never", "before"]}
+    weight = [1.0] * shared
+    for w, n in seen.items():
+        if w not in own:
+            weight[cls[w] - words.own] += n + 1
+    places = net.inner_bias.shape[1]
+
+    def log_softmax(z, k):
+        z = z.astype(float)
+        return z[k] - z.max() - math.log(np.exp(z - z.max()).sum())
+
     got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs.repartition(2), words, net).collect()}
-    for k, text in enumerate([*texts, "never seen before"]):
-        w = next(batch_words(pa.array([text]), NOT_SPACE))
-        _, own, around, _ = lm_scoring.contexts(w, words.cls, words)
-        within = [0 if c < words.hashes.size else math.log(seen.get(x, 0) + 1) - words.total[c] for x, c in zip(text.split(), own)]
-        assert math.isclose(got[k], net.log_probability(around, own).sum() + sum(within), rel_tol=1e-6)
+    for k, text in [*enumerate(texts[:6]), (40, "never seen before")]:
+        line, total = text.split(), 0.0
+        ids = [cls.get(w, words.own + int(word_hashes(w)[0] >> np.uint64(32)) % shared) for w in line]
+        for i, c in enumerate(ids):
+            sides = [ids[i + d] if 0 <= i + d < len(ids) else lm_scoring.EDGE for d in (-2, -1, 1, 2)]
+            h = np.tanh(sum(net.tables[j][x] for j, x in enumerate(sides)))
+            total += log_softmax(h @ net.out + net.bias, c // places) + log_softmax(h @ net.inner[c // places] + net.inner_bias[c // places], c % places)
+            if c >= words.own:
+                total += math.log(seen.get(line[i], 0) + 1) - math.log(weight[c - words.own])
+        assert math.isclose(got[k], total, rel_tol=1e-5), k
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "GROUP_WORDS", 3000)
+    monkeypatch.setattr(lm_scoring, "WORDS_A_WEIGHT", 0)
+    monkeypatch.setattr(lm_scoring, "AVERAGED", 2)
+    rng = random.Random(4)
+    docs = documents(spark, [chain(rng, rng.choice([5, 300])) for _ in range(90)])
+    found = [{r.doc_id: r.mean_log_probability for r in lm_scoring.score_corpus(docs.repartition(n)).collect()} for n in (1, 8)]
+    assert max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-6
 
 
 def test_every_word_is_a_target_once(spark):
-    """One task's weights are averaged by the words behind them: as many as the texts have, in batches that hold each once."""
+    """A group's network has stepped through all words of its documents, in the order of their hashes, in batches that hold each once."""
     texts = ["one", "two words", None, "", " ".join(f"m{k % 700}" for k in range(9001))]
-    docs = documents(spark, texts).coalesce(1)
-    words = lm_scoring.classes(lm_scoring.count(docs))
-    net = lm_scoring.train(docs, words)
+    docs = documents(spark, texts)
+    words = lm_scoring.vocabulary(lm_scoring.count(docs))
+    coded = lm_scoring.encode(docs, words)
+    net = lm_scoring.train(coded, words)
     once = lm_scoring.Network.start(words.prior)
-    w = next(batch_words(pa.array(texts), NOT_SPACE))
-    _, own, around, _ = lm_scoring.contexts(w, words.cls, words)
-    assert own.size == 9004
+    rows = [np.frombuffer(bytes(r.classes), words.kind).astype(np.int64) for r in coded.where("n > 0").orderBy("ord").collect()]
+    own = np.concatenate(rows)
+    around = lm_scoring.contexts(own, np.repeat(np.arange(len(rows)), [r.size for r in rows]))
+    assert own.size == 9004 == words.size
     for lo in range(0, own.size, lm_scoring.BATCH):
         once.descend(around[lo : lo + lm_scoring.BATCH], own[lo : lo + lm_scoring.BATCH], 1 / (1 + lo / 200_000))
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(net.parts(), once.parts()))
 
 
 def test_contexts_stay_in_their_text():
-    import pyarrow as pa
-
-    w = next(batch_words(pa.array(["a b c", None, "d"]), NOT_SPACE))
-    cls = np.arange(lm_scoring.BUCKETS) % lm_scoring.CLASSES
-    _, own, around, row = lm_scoring.contexts(w, cls)
     edge = lm_scoring.EDGE
-    assert row.tolist() == [0, 0, 0, 2]
-    assert around.tolist() == [[edge, edge, own[1], own[2]], [edge, own[0], own[2], edge], [own[0], own[1], edge, edge], [edge] * 4]
+    around = lm_scoring.contexts(np.array([5, 6, 7, 8]), np.array([0, 0, 0, 2]))
+    assert around.tolist() == [[edge, edge, 6, 7], [edge, 5, 7, edge], [5, 6, edge, edge], [edge] * 4]
 
 
 PAGE = (
