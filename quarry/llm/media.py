@@ -190,13 +190,13 @@ def resolve(sequences: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Every item of every sequence with what its digest resolves to: doc_id, row_key, position, kind, text, caption, digest and the
     columns of `descriptions` (null for text and for a digest that is not stored).
 
-    References are joined by digest; a digest that very many rows name is split by the adaptive skew join, as the other side has
-    one row for it.
+    References are joined by digest; a digest that very many rows name is split by the adaptive skew join, as the other side is a
+    written table with one row for it.
     """
     # Written once: both branches below have to see the same row keys.
     items = materialise(sequences.select("doc_id", "row_key", F.inline("items")), "items")
     texts = items.where(F.col("kind") == "text")
-    media = items.where(F.col("kind") == "media").join(descriptions, "digest", "left")
+    media = items.where(F.col("kind") == "media").join(materialise(descriptions, "descriptions"), "digest", "left")
     return media.unionByName(texts, allowMissingColumns=True)
 
 
