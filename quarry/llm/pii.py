@@ -43,6 +43,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", True, 0.7, "card|visa|credit|karte|carte|tarjeta|payment", "[0-9]"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", True, 0.6, "phone|tel|call|mobile|fax|anruf", r"\+[0-9]"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", False, 0.9, "iban|bank|konto|compte|cuenta|account", "[A-Z]{2}[0-9]{2}"),
+    Kind("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[A-Za-z0-9+/_-]{40,88}={0,2})(?![A-Za-z0-9+/_=-])", False, 0.4, "token|secret|password|passwd|api.?key|credential|bearer", "[A-Za-z0-9+/_-]{32}"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", False, 0.4, "ssn|social|security", "[0-9]-[0-9]{2}-[0-9]"),
 )
 
@@ -130,7 +131,7 @@ def _shown(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores (one for each span, joined likewise).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores (one for each span, joined likewise), n_spans.
 
     A null text is an empty one: no spans, and the digest of the empty string. Repeated rows stay repeated; spans of different
     kinds may overlap and are all reported, those of one kind never do. An empty table gives no row. Only doc_id and text are
@@ -144,6 +145,7 @@ def find(docs: DataFrame) -> DataFrame:
         F.sha2(_shown(F.filter("_spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
         _shown(F.col("_spans")).alias("spans"),
         F.array_join(F.transform("_spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
+        F.size("_spans").cast("bigint").alias("n_spans"),
     )
 
 

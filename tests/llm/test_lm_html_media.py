@@ -165,6 +165,7 @@ def test_article_of_a_page():
     assert html_text.main_text(html_text.blocks(None), None) == "" == html_text.main_text(html_text.blocks("<nav>x</nav>"), None)
     assert html_text.main_text(html_text.blocks("plain a < b"), None) == "plain a < b"
     assert html_text.main_text(html_text.blocks("<p class=ad>x<p>y"), None) == "y"
+    assert html_text.main_text(html_text.blocks("<p>&am<b></b>p; &amp;lt; a&nbsp;b"), None) == "&amp; &lt; a b"
 
 
 def test_names_that_only_contain_a_frame_word_hide_nothing():

@@ -64,3 +64,10 @@ def test_redaction(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {0: ("mail [EMAIL] now", 16), 1: (None, None), 2: ("none", 4), 3: ("[IP] and [PHONE]", 16)}
     assert pii.redact(empty(spark)).collect() == [] and pii.find(empty(spark)).collect() == []
+
+
+def test_secrets_need_context_and_many_spans_are_found(spark):
+    key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    rows = {r.doc_id: r for r in pii.find(documents(spark, [f'a token = "{key}" b', f"commit {key}", "a@b.c " * 20_000])).collect()}
+    assert (rows[0].spans, rows[0].n_spans, rows[0].scores) == ("secret:11:51", 1, "0.70") and rows[1].spans == ""
+    assert rows[2].n_email == rows[2].n_spans == 20_000 and rows[2].spans.endswith("email:119994:119999")
