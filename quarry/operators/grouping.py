@@ -138,7 +138,7 @@ def longest_label(tables: list[DataFrame]) -> DataFrame:
 def atomic_targets(rows: DataFrame, added: DataFrame, eos: int, pad: int = -100) -> DataFrame:
     """One row is_atomic: some label was checked, and each is one added token with nothing but end ids behind it."""
     kept = rows.select(F.filter("labels", lambda x: x != pad).alias("ids"))
-    one = kept.select(F.try_element_at("ids", F.lit(1)).alias("token_id"), F.forall(F.slice("ids", 2, 1_000_000), lambda x: x == eos).alias("rest"))
+    one = kept.select(F.try_element_at("ids", F.lit(1)).alias("token_id"), F.forall(F.slice("ids", F.lit(2), F.greatest(F.size("ids"), F.lit(1))), lambda x: x == eos).alias("rest"))
     known = added.select("token_id", F.lit(True).alias("_added")).distinct()
     checked = one.join(known, "token_id", "left").select((F.coalesce("_added", F.lit(False)) & F.col("rest")).alias("ok"))
     return checked.agg((F.coalesce(F.bool_and("ok"), F.lit(False)) & (F.count("*") > 0)).alias("is_atomic"))

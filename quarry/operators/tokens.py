@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.corpus import DOCUMENTS, TRAIN_QUERIES, VALIDATION_QUERIES, Corpus
 from quarry.functions.ordinals import shuffle_key
-from quarry.functions.tokenizers import BYTES, Tokenizer, decode_column, encode_column
+from quarry.functions.tokenizers import BYTES, ByteTokenizer, Tokenizer, decode_column, encode_column
 from quarry.operators.projections import rename_token_columns
 from quarry.operators.sampling import repeat_rows
 
@@ -28,8 +28,10 @@ def text_tokens(text: Column, kind: Column, tokenizer: Tokenizer | None = None,
     """
     tokenizer = tokenizer or BYTES
     ids = encode_column(F.coalesce(text, F.lit("")), tokenizer)
+    # Every character is a byte at least, so of a document no more characters than ids need to be encoded.
+    start = encode_column(F.substring(F.coalesce(text, F.lit("")), 1, document_max), tokenizer) if isinstance(tokenizer, ByteTokenizer) else ids
     too_long = F.raise_error(F.concat(F.lit(f"a query has more than {query_max} tokens: "), F.coalesce(text, F.lit("")))).cast("array<int>")
-    cut = F.when(kind == "document", F.slice(ids, 1, document_max)).when(F.size(ids) > query_max, too_long).otherwise(ids)
+    cut = F.when(kind == "document", F.slice(start, 1, document_max)).when(F.size(ids) > query_max, too_long).otherwise(ids)
     if existing is not None:
         cut = F.when(F.size(F.coalesce(existing, F.array().cast("array<int>"))) > 0, existing).otherwise(cut)
     return ensure_eos(cut, tokenizer.eos_id)

@@ -131,19 +131,9 @@ def extreme_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "source", F.md5("text_a").alias("text_a"), F.md5("text_b").alias("text_b"))
 
 
-@query("""
-WITH p AS (SELECT a.doc_id, a.text AS x, b.text AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
-SELECT doc_id, CASE WHEN x = y THEN NULL ELSE CAST(coalesce(list_min(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) - 1, least(length(x), length(y))) AS INTEGER) END AS first_difference FROM p WHERE least(length(x), length(y)) < 300
-""")
-def first_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    pairs = docs.select("doc_id", F.col("text").alias("x")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("y")), "doc_id")
-    return pairs.where(F.least(F.length("x"), F.length("y")) < 300).select("doc_id", text.first_difference("x", "y").alias("first_difference"))
-
-
 @query()
 def first_differences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As first_differences, for pairs of any length; its SQL would be too slow on whole texts."""
+    """Of neighbouring documents, whole; its SQL would be too slow. difference_windows has SQL for the same operator."""
     docs = table(spark, sf_dir, "documents")
     pairs = docs.select("doc_id", F.col("text").alias("x")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("y")), "doc_id")
     return pairs.select("doc_id", text.first_difference("x", "y").alias("first_difference"))
@@ -191,22 +181,12 @@ def titles_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.titles_split(pages)
 
 
-@query("""
-SELECT doc_id AS example_id, md5(lower(substr(text, 1, 500))) AS text_md5, length(lower(substr(text, 1, 500))) AS n_chars, '' AS title, CAST(doc_id AS VARCHAR) AS source_id,
-       split_part(text, chr(10), 1) AS question FROM documents
-""")
-def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.examples(spark, sf_dir)
-    document = rows.select("example_id", "question_text", *projections.question_document("document_text", "document_url", "example_id", 500))
-    return document.select("example_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"), "title", F.col("source_ids")[0].alias("source_id"), F.col("question_text").alias("question"))
-
-
 @query("""
 SELECT doc_id AS example_id, md5(lower(substr(text, 1, 4000))) AS text_md5, length(lower(substr(text, 1, 4000))) AS n_chars, '' AS title, CAST(doc_id AS VARCHAR) AS source_id,
        split_part(text, chr(10), 1) AS question FROM documents
 """)
-def question_rows_4000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """question_rows with the text limit of the questions plugin."""
+def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under the text limit of the questions plugin."""
     rows = tables.examples(spark, sf_dir)
     document = rows.select("example_id", "question_text", *projections.question_document("document_text", "document_url", "example_id", 4000))
     return document.select("example_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"), "title", F.col("source_ids")[0].alias("source_id"), F.col("question_text").alias("question"))
@@ -373,20 +353,12 @@ _IDS = "list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: CAS
 @query(f"SELECT doc_id, array_to_string(list_append(list_slice({_IDS.format(x='text')}, 1, 32), 1), ',') AS ids FROM documents")
 def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    # Thirty-two characters hold the first 32 ids, whatever their bytes.
-    ids = tokens.text_tokens(F.substring("text", 1, 32), F.lit("document"), document_max=32)
+    ids = tokens.text_tokens(F.col("text"), F.lit("document"), document_max=32)
     return docs.select("doc_id", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_append(list_concat({_IDS.format(x=chr(39) + 'index:' + chr(39))}, list_slice({_IDS.format(x='text')}, 1, 8)), 1), ',') AS ids FROM documents")
-def task_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = tokens.text_tokens(F.substring("text", 1, 8), F.lit("document"), document_max=8)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokens.add_task_prefix(ids, F.lit("document")).cast("array<string>"), ",").alias("ids"))
-
-
 @query(f"SELECT doc_id, array_to_string(list_append(list_concat({_IDS.format(x=chr(39) + 'index:' + chr(39))}, list_slice({_IDS.format(x='text')}, 1, 32)), 1), ',') AS ids FROM documents")
-def task_prefix_32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """task_prefix with the tokenizer's limit, on whole texts."""
+def task_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tokens.text_tokens(F.col("text"), F.lit("document"), document_max=32)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokens.add_task_prefix(ids, F.lit("document")).cast("array<string>"), ",").alias("ids"))
 
@@ -399,9 +371,9 @@ def added_token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("docid", F.col("docid_tokens")[0].alias("label"), F.size("docid_tokens").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN length(encode(substr(text, 1, 40))) > 20 THEN 21 ELSE CAST(length(encode(substr(text, 1, 40))) + 1 AS INTEGER) END AS n FROM documents".replace("length(encode(substr(text, 1, 40)))", "octet_length(encode(substr(text, 1, 40)))"))
+@query("SELECT doc_id, CAST(least(octet_length(encode(text)), 20) + 1 AS INTEGER) AS n FROM documents")
 def query_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = tokens.text_tokens(F.substring("text", 1, 40), F.lit("query"), query_max=1000)
+    ids = tokens.text_tokens(F.col("text"), F.lit("query"), query_max=100_000_000)
     cut = projections.truncate_query_ids(F.col("ids"), None, 20, 1)
     return table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", F.size(cut).alias("n"))
 

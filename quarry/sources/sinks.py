@@ -52,7 +52,7 @@ def export(corpora: dict[str, Corpus] | Corpus, folder: str, fmt: str = "jsonl",
         write_text(spark, f"{target}/metadata.json", json.dumps(meta, indent=2, ensure_ascii=False))
 
 
-def write_package(corpus: Corpus, folder: str, metadata: dict | None = None, single_file: bool = True) -> None:
+def write_package(corpus: Corpus, folder: str, metadata: dict | None = None, single_file: bool = False) -> None:
     """Exactly documents and both query splits as gzipped JSON, and metadata.json last."""
     require_package(corpus)
     counts, spark = {}, corpus[DOCUMENTS].sparkSession

@@ -318,8 +318,8 @@ def test_limits_of_the_reference(spark):
     from quarry.plans import catalogue
 
     sf = "/root/testdata/sf0.001"
-    assert max(r.n_chars for r in catalogue.QUERIES["question_rows_4000"](spark, sf).collect()) > 500
-    assert max(len(r.ids.split(",")) for r in catalogue.QUERIES["task_prefix_32"](spark, sf).collect()) == len("index:") + 32 + 1
+    assert max(r.n_chars for r in catalogue.QUERIES["question_rows"](spark, sf).collect()) > 500
+    assert max(len(r.ids.split(",")) for r in catalogue.QUERIES["task_prefix"](spark, sf).collect()) == len("index:") + 32 + 1
 
 
 def test_products_meet_all_rows_in_blocks(spark):
