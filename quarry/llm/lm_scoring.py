@@ -355,7 +355,8 @@ def train(coded: DataFrame, words: Vocabulary, rate: float = 1.0) -> Network:
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["grp", "n", "weights"])
 
     n = group_count(words)
-    rows = coded.where("n > 0").select("grp", "ord", "classes").repartition(n, "grp").sortWithinPartitions("grp", "ord")
+    # A group is a partition of its own: hashing the few groups would put several of them into one task and none into another.
+    rows = coded.where("n > 0").select("grp", "ord", "classes").repartitionById(n, F.col("grp").cast("int")).sortWithinPartitions("grp", "ord")
     with batch_rows(spark, ROWS):
         parts = materialise(rows.mapInArrow(local, WEIGHTS), "weights")
     with batch_rows(spark, 4):
