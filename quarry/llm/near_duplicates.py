@@ -34,8 +34,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Coordinates of the longer sketch, one byte each, and the agreements below which it rules the similarity out: the mean of two
 #: texts at the similarity less five standard deviations. Only members of spread buckets get one.
 SKETCH, SKETCH_MATCHES = 1024, 756
-#: Members of a bucket that make a block, about a megabyte.
-BLOCK = 768
+#: Members of a bucket that make a block, a third of a megabyte.
+BLOCK = 256
 #: Bits for each text and most bits of the filter that says which texts a confirmation needs: beyond, it lets more texts pass.
 FILTER_SHARE, FILTER_MOST = 16, 1 << 27
 
