@@ -153,6 +153,10 @@ class Lexicon:
         ]).astype(np.float32)
 
 
+#: Where the ranges of hashes begin in which terms are counted.
+_RANGES = np.arange(16, dtype=np.uint64) << np.uint64(60)
+
+
 def induce(cuts: list[Cut], y: np.ndarray) -> Lexicon:
     """Words and beginnings that stand in at least three toxic texts and are at least e**2 times likelier there."""
 
@@ -160,10 +164,15 @@ def induce(cuts: list[Cut], y: np.ndarray) -> Lexicon:
         found: list[np.ndarray] = [np.unique(getattr(c, pick)) for c in cuts]
         if not found or not y.any():
             return Terms(np.zeros(0, np.uint64), np.zeros(0, np.float32))
-        keys, which = np.unique(np.concatenate(found), return_inverse=True)
-        label = np.repeat(y, [f.size for f in found])
-        toxic = np.bincount(which, weights=label, minlength=keys.size)
-        other = np.bincount(which, weights=1 - label, minlength=keys.size)
+        # The terms are counted in ranges of their hashes, one after another: a part of all at a time bounds the driver's memory.
+        edges = np.array([[*np.searchsorted(f, _RANGES), f.size] for f in found])
+        counts = []
+        for lo, hi in zip(edges.T[:-1], edges.T[1:]):
+            keys, which = np.unique(np.concatenate([f[a:b] for f, a, b in zip(found, lo, hi)]), return_inverse=True)
+            label = np.repeat(y, hi - lo)
+            toxic = np.bincount(which, weights=label, minlength=keys.size)
+            counts.append((keys, toxic, np.bincount(which, minlength=keys.size) - toxic))
+        keys, toxic, other = (np.concatenate(x) for x in zip(*counts))
         n1, n0 = y.sum(), max(1, (1 - y).sum())
         odds = np.log((toxic + 0.1) / (n1 + 0.2)) - np.log((other + 0.5) / (n0 + 1.0))
         good = (toxic >= 3) & (odds >= least) & (keys != 0)
