@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import batch_rows, fresh, materialise
 from quarry.llm.components import components
-from quarry.llm.words import NOT_SPACE, Words, batch_words, mix
+from quarry.llm.words import NOT_SPACE, Words, batch_words, give_back, mix
 
 COORDINATES, MATCHES = 48, 26
 WORDS = 5
@@ -34,6 +34,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Coordinates of the longer sketch, one byte each, and the agreements below which it rules the similarity out: the mean of two
 #: texts at the similarity less five standard deviations. Only members of spread buckets get one.
 SKETCH, SKETCH_MATCHES = 1024, 756
+#: Texts handed to Python at a time: bounds a task's memory.
+ROWS = 1000
 #: Members of a bucket that make a block, a third of a megabyte.
 BLOCK = 256
 #: Bits for each text and most bits of the filter that says which texts a confirmation needs: beyond, it lets more texts pass.
@@ -292,6 +294,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = int((large[at] == small).sum())
                 good[k] = both * DENOMINATOR >= (x.size + y.size - both) * NUMERATOR
             yield batch.select(["a", "b"]).filter(pa.array(good))
+        give_back()
 
     one, two = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     met = pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb")
@@ -308,13 +311,15 @@ def group(docs: DataFrame, words: int = WORDS) -> DataFrame:
     them is a link of all. A null id gets the component of its class and is never kept. An empty table gives no row. Only doc_id
     and text are read. component_id is the least id that can be reached; kept is true for that document.
     """
-    signed = materialise(sign(docs, words), "signatures")
+    with batch_rows(docs.sparkSession, ROWS):
+        signed = materialise(sign(docs, words), "signatures")
     # Exact copies fold into one class before anything is joined; the combiner does most of it ahead of the shuffle.
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
     classes = materialise(classes, "classes")
     met = materialise(buckets(materialise(prefixes(post(classes)), "prefixes")), "buckets")
     first = materialise(colliding(met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")), classes), "collisions")
-    sets = materialise(sets_of(docs, met.select(F.col("rep").alias("id")).distinct(), words), "sets")
+    with batch_rows(docs.sparkSession, ROWS):
+        sets = materialise(sets_of(docs, met.select(F.col("rep").alias("id")).distinct(), words), "sets")
     found = materialise(components(confirmed(first, sets)), "components")
 
     # Buckets that span several components: only pairs of different ones can still add anything.

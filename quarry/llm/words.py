@@ -6,6 +6,7 @@ is ever cut. A word's 64-bit hash depends on its bytes alone, not on the batch,
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -94,6 +95,16 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Workers outlive their tasks, and what one keeps is missing to its executor's other work."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def text_slices(column: pa.Array, most: int = SLICE, rows: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(lo, hi, bytes, offsets) of runs of at most `rows` rows and `most` bytes, or of one longer row."""
     if not len(column):
@@ -105,6 +116,8 @@ def text_slices(column: pa.Array, most: int = SLICE, rows: int = SLICE) -> Itera
         hi = min(hi, lo + rows, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    del offsets, data
+    give_back()
 
 
 def words_of(lo: int, hi: int, data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
