@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at a time: bounds the temporary arrays, whatever the size of a batch.
 SLICE = 1 << 20
+#: Bytes of text whose spans are hashed at a time.
+RUN = 1 << 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -61,11 +63,23 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The 64-bit hash of the bytes of each span."""
-    forward, back = _power_tables(data.size)
-    total = np.zeros(data.size + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * back[: data.size], out=total[1:])
-    return mix((total[ends] - total[starts]) * forward[starts] + (ends - starts).astype(np.uint64))
+    """The 64-bit hash of the bytes of each span; spans come in the order of their starts.
+
+    A hash does not depend on where its span stands, so runs of spans are worked out one after another, in little memory.
+    """
+    out = np.empty(starts.size, dtype=np.uint64)
+    lo = 0
+    while lo < starts.size:
+        base = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(starts, base + RUN)))
+        a, b = starts[lo:hi] - base, ends[lo:hi] - base
+        size = int(b.max())
+        forward, back = _power_tables(size)
+        total = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[base : base + size]] * back[:size], out=total[1:])
+        out[lo:hi] = mix((total[b] - total[a]) * forward[a] + (b - a).astype(np.uint64))
+        lo = hi
+    return out
 
 
 @dataclass
