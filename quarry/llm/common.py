@@ -40,6 +40,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like this one that no column in `taken` has, whatever its case."""
     used = {t.lower() for t in taken}

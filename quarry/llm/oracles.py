@@ -32,3 +32,52 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+_UNITS = "regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]')"
+
+FILL_IN_MIDDLE = rf"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, {_UNITS} AS u, sha256('1:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM u),
+b AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM b)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+LINE_DEDUP = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS place FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS k FROM l),
+g AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(g.k) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (g.k IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN g USING (k) GROUP BY doc_id
+"""
+
+
+def _vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Each round is a join of all parts with their codebook's entries; d(k) are the assignments to the entries of round k."""
+    steps = [f"""
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, q, list_slice(x, q * len(x) // {parts} + 1, (q + 1) * len(x) // {parts}) AS x FROM v, range({parts}) t(q)),
+c0 AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS (SELECT vec_id, label, q, x, c.e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c.c[i]) * (x[i] - c.c[i]))) AS d FROM p JOIN c{k} c USING (q)
+        QUALIFY row_number() OVER (PARTITION BY vec_id, q ORDER BY d, c.e) = 1)""")
+        if k < rounds:
+            steps.append(f"""
+s{k} AS (SELECT q, e, i, CAST(floor_div(sum(x), count(*)) AS BIGINT) AS m FROM (SELECT q, e, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS i FROM d{k}) GROUP BY q, e, i),
+m{k} AS (SELECT q, e, list(m ORDER BY i) AS c FROM s{k} GROUP BY q, e),
+c{k + 1} AS (SELECT c.q, c.e, coalesce(m.c, c.c) AS c FROM c{k} c LEFT JOIN m{k} m USING (q, e))""")
+    last = rounds
+    return f"""
+WITH {",".join(steps)},
+o AS (SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY q) AS code, CAST(sum(d) AS BIGINT) AS error FROM d{last} GROUP BY vec_id),
+z AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY q, e, i)) AS h FROM (SELECT q, e, unnest(c) AS x, unnest(range(1, len(c) + 1)) AS i FROM c{last}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, z.h AS codebooks_sha256 FROM o, z
+""".replace("floor_div(sum(x), count(*))", "((sum(x) - (((sum(x) % count(*)) + count(*)) % count(*))) // count(*))")
+
+
+VECTOR_CODES = _vector_codes()

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, html_text, language_id, lm_scoring, media, near_duplicates, oracles, packing, pii, quality, toxicity
-from quarry.llm.common import benchmark, documents, labels, pages
+from quarry.llm import decontaminate, fill_in_middle, html_text, language_id, line_dedup, lm_scoring, media, near_duplicates, oracles, packing, pii, quality, toxicity, vector_codes
+from quarry.llm.common import benchmark, documents, embeddings, labels, pages
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_corpus(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(documents(spark, sf_dir))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.drop_repeated(documents(spark, sf_dir)))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_duplicates": op2_near_duplicates,
@@ -64,6 +76,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_html_text": op9_html_text,
     "op10_media": op10_media,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {"op2_near_duplicates": oracles.NEAR_DUPLICATES, "op8_decontaminate": oracles.DECONTAMINATION}
+ORACLES: dict[str, str] = {
+    "op2_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op8_decontaminate": oracles.DECONTAMINATION,
+    "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
+    "op12_line_dedup": oracles.LINE_DEDUP,
+    "op13_vector_codes": oracles.VECTOR_CODES,
+}
