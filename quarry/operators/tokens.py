@@ -10,6 +10,7 @@ from quarry.functions.ordinals import shuffle_key
 from quarry.functions.tokenizers import BYTES, ByteTokenizer, Tokenizer, decode_column, encode_column
 from quarry.operators.projections import rename_token_columns
 from quarry.operators.sampling import repeat_rows
+from quarry.operators.subwords import Vocabulary, with_ids, with_text
 
 PREFIXES = {"document": "index:", "query": "query:"}
 
@@ -30,25 +31,35 @@ def text_tokens(text: Column, kind: Column, tokenizer: Tokenizer | None = None,
     ids = encode_column(F.coalesce(text, F.lit("")), tokenizer)
     # Every character is a byte at least, so of a document no more characters than ids need to be encoded.
     start = encode_column(F.substring(F.coalesce(text, F.lit("")), 1, document_max), tokenizer) if isinstance(tokenizer, ByteTokenizer) else ids
+    return _limited(ids, start, text, kind, document_max, query_max, existing, tokenizer.eos_id)
+
+
+def _limited(ids: Column, start: Column, text: Column, kind: Column, document_max: int, query_max: int, existing: Column | None, eos: int | None) -> Column:
     too_long = F.raise_error(F.concat(F.lit(f"a query has more than {query_max} tokens: "), F.coalesce(text, F.lit("")))).cast("array<int>")
     cut = F.when(kind == "document", F.slice(start, 1, document_max)).when(F.size(ids) > query_max, too_long).otherwise(ids)
     if existing is not None:
         cut = F.when(F.size(F.coalesce(existing, F.array().cast("array<int>"))) > 0, existing).otherwise(cut)
-    return ensure_eos(cut, tokenizer.eos_id)
+    return ensure_eos(cut, eos)
 
 
-def docid_tokens(df: DataFrame, tokenizer: Tokenizer | None = None, added: DataFrame | None = None, single_chars: dict[str, int] | None = None) -> DataFrame:
+def docid_tokens(df: DataFrame, tokenizer: Tokenizer | None = None, added: DataFrame | None = None, single_chars: dict[str, int] | None = None,
+                 ids: Column | None = None) -> DataFrame:
     """df and docid_tokens: one id for an added token; else an id for each character of a vocabulary, or the docid encoded.
 
     With single_chars, a character without an id is an error when the rows are read.
     """
     tokenizer = tokenizer or BYTES
     docid = F.col("docid")
-    if single_chars is not None:
+    if ids is not None:
+        pass
+    elif single_chars is not None:
         table = F.create_map(*[x for k, v in single_chars.items() for x in (F.lit(k), F.lit(v))])
         chars = F.filter(F.split(docid, ""), lambda c: c != "")
         one = lambda c: F.coalesce(F.try_element_at(table, c), F.raise_error(F.concat(F.lit("no single token for: "), c)).cast("int"))
         ids = F.transform(chars, one)
+    elif isinstance(tokenizer, Vocabulary):
+        df = with_ids(df, "docid", tokenizer, "_docid_ids")
+        return docid_tokens(df, tokenizer, added, None, F.col("_docid_ids")).drop("_docid_ids")
     else:
         ids = encode_column(docid, tokenizer)
     if added is None:
@@ -68,7 +79,16 @@ def tokenise(corpus: Corpus, tokenizer: Tokenizer | None = None, document_max: i
             return df
         kind = F.col("kind") if "kind" in df.columns else F.lit("document" if name == DOCUMENTS else "query")
         existing = F.col("text_tokens") if "text_tokens" in df.columns else None
-        out = docid_tokens(df.withColumn("text_tokens", text_tokens(F.col("text"), kind, tokenizer, document_max, query_max, existing)), tokenizer, added, single_chars)
+        if isinstance(tokenizer, Vocabulary):
+            # A word has an id at least, so no more words than ids, and one too many of a query, need to be encoded.
+            df = with_ids(df, "text", tokenizer, "_ids", most=max(document_max, query_max + 1))
+            made = _limited(F.col("_ids"), F.col("_ids"), F.col("text"), kind, document_max, query_max, existing, tokenizer.eos_id)
+            df = df.withColumn("text_tokens", made).drop("_ids")
+        else:
+            df = df.withColumn("text_tokens", text_tokens(F.col("text"), kind, tokenizer, document_max, query_max, existing))
+        out = docid_tokens(df, tokenizer, added, single_chars)
+        if rewrite_text and isinstance(tokenizer, Vocabulary):
+            return with_text(out, "text_tokens", tokenizer)
         if rewrite_text:
             return out.withColumn("text", decode_column(F.col("text_tokens"), tokenizer))
         return out.drop("text") if drop_text else out
