@@ -1,13 +1,28 @@
-"""Plugins: named implementations of a pipeline's steps with typed, checked parameters."""
+"""Plugins: named implementations of a pipeline's steps with typed, checked parameters.
+
+Plugins of other packages are found by entry points of the group GROUP. An entry point names a Plugin, several of them, or a
+function without parameters that returns such. `ship` sends a plugin's package to the executors, whose tasks then can import it.
+"""
 
 from __future__ import annotations
 
 import difflib
+import importlib
+import io
+import os
+import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from importlib.metadata import entry_points
 from typing import Any
 
+from pyspark.sql import SparkSession
+
+from quarry.storage import new_path, write_bytes
+
+GROUP = "quarry.plugins"
 KINDS = ("dataset", "identifier", "augmentation", "transformation", "export")
+# The names of parameter types.
 TYPES = {"str": str, "int": int, "bool": bool, "float": float, "list": list, "dict": dict}
 _MISSING: Any = object()
 
@@ -19,6 +34,8 @@ class Param:
     default: Any = _MISSING
     choices: tuple = ()
     help: str = ""
+    #: The value is a path; what lies there decides whether a step has to run again.
+    source: bool = False
 
     def __post_init__(self) -> None:
         if self.type not in TYPES:
@@ -47,6 +64,14 @@ class Plugin:
     name: str
     run: Callable
     params: tuple[Param, ...] = ()
+    #: Another version is another step: raise it where a plugin's results change.
+    version: str = "1"
+
+    def __post_init__(self) -> None:
+        if not isinstance(self.name, str) or not self.name or self.name == "none":
+            raise ValueError(f"{self.name!r} can't be a plugin's name")
+        if not all(isinstance(p, Param) for p in self.params) or len({p.name for p in self.params}) < len(self.params):
+            raise TypeError(f"plugin {self.name!r} needs different parameters of type Param")
 
     def resolve(self, given: dict[str, Any] | None) -> dict[str, Any]:
         """All parameters: given ones checked, others by default; unknown and missing ones are errors."""
@@ -109,3 +134,46 @@ class Registry:
                     note = "required" if p.required else f"default {p.default!r}"
                     lines.append(f"    {p.name}: {p.type}, {note}" + (f", one of {list(p.choices)}" if p.choices else "") + (f" - {p.help}" if p.help else ""))
         return "\n".join(lines)
+
+
+def _plugins_of(found: Any, where: str) -> list[Plugin]:
+    if callable(found) and not isinstance(found, Plugin):
+        found = found()
+    many = list(found) if isinstance(found, (list, tuple)) else [found]
+    if not many or not all(isinstance(p, Plugin) for p in many):
+        raise TypeError(f"{where} gives no Plugin but {type(found).__name__}")
+    return many
+
+
+def discover(registry: Registry, spark: SparkSession | None = None, group: str = GROUP) -> list[Plugin]:
+    """Registers the plugins of all installed packages; with a session, their packages go to the executors, each once.
+
+    A name that is registered already, by the library or by another package, is an error, as is an entry point of another shape.
+    """
+    found, packages = [], set()
+    for point in sorted(entry_points(group=group), key=lambda e: (e.name, e.value)):
+        for plugin in _plugins_of(point.load(), f"entry point {point.name!r} ({point.value})"):
+            found.append(registry.add(plugin))
+            packages.add(point.module.partition(".")[0])
+    for package in sorted(packages) if spark is not None else ():
+        ship(spark, package)
+    return found
+
+
+def ship(spark: SparkSession, package: str) -> str:
+    """Sends an importable package or module to the executors, by way of the shared folder; returns where it lies there."""
+    place = importlib.import_module(package)
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as out:
+        if hasattr(place, "__path__"):
+            for top in place.__path__:
+                for folder, _, names in os.walk(top):
+                    for name in sorted(names):
+                        if not name.endswith((".pyc", ".pyo")):
+                            out.write(os.path.join(folder, name), os.path.join(package, os.path.relpath(os.path.join(folder, name), top)))
+        else:
+            out.write(place.__file__, f"{package}.py")
+    path = f"{new_path(spark, 'plugin')}/{package}.zip"
+    write_bytes(spark, path, body.getvalue())
+    spark.sparkContext.addPyFile(path)
+    return path

@@ -14,6 +14,8 @@ from quarry.functions.ordinals import ORD, with_dense_order
 from quarry.operators.projections import preprocess_package, require_package
 
 TRAIN, VALIDATION = "train", "validation"
+#: How files name the splits.
+SHORT = {TRAIN: "train", VALIDATION: "dev"}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -69,7 +71,7 @@ class QuestionSource:
 
     def candidates(self, split: str) -> list[tuple[str, str, str]]:
         """(path, schema, layout) in the order in which they are tried."""
-        short = {"train": "train", "validation": "dev"}[split]
+        short = SHORT[split]
         out = []
         for gz in ("", ".gz"):
             out.append((f"{self.folder}/{short}-{self.style}.jsonl{gz}", schemas.PREPARED, "simple"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.corpus import DOCUMENTS, TOKENS, TRAIN_QUERIES, VALIDATION_QUERIES, Corpus
 from quarry.operators.projections import require_package
+from quarry.sources.fingerprints import content
 from quarry.sources.readers import exists, read_stage, write_text
 
 #: Export formats and the writer each uses. `hf_disk` has no Spark writer of its own and is a Parquet folder.
@@ -77,8 +78,8 @@ def cached_stage(spark: SparkSession, path: str, make, required: tuple[str, ...]
 
 
 def cache_key(version: str, plugin: str, params: dict, seed: int, split: str, inputs: dict[str, DataFrame]) -> str:
-    """SHA-256 over what an augmentation's result depends on, in a stable form."""
-    body = {"version": version, "plugin": plugin, "params": params, "seed": seed, "split": split, "inputs": {k: v.semanticHash() for k, v in sorted(inputs.items())}}
+    """SHA-256 over what an augmentation's result depends on, in a stable form; of its inputs, over what they hold now."""
+    body = {"version": version, "plugin": plugin, "params": params, "seed": seed, "split": split, "inputs": {k: content(v) for k, v in sorted(inputs.items())}}
     return hashlib.sha256(json.dumps(body, sort_keys=True, default=str).encode()).hexdigest()
 
 

@@ -46,6 +46,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
+    """One small file, wherever Spark can write it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(body))
+    finally:
+        out.close()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a table in the shared folder and read it back. Unlike a cached or locally checkpointed frame it survives the loss of any
     executor."""
