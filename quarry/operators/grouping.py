@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.corpus import DOCUMENTS, TRAIN_QUERIES, VALIDATION_QUERIES, Corpus
 from quarry.functions.ordinals import ORD, with_dense_order
+from quarry.storage import materialise
 
 
 def _number(groups: DataFrame, first: str) -> DataFrame:
@@ -14,13 +15,12 @@ def _number(groups: DataFrame, first: str) -> DataFrame:
     return with_dense_order(groups, [first], "_n").withColumn("docid", F.col("_n").cast("string")).drop("_n")
 
 
-def group_by_key(rows: DataFrame, key: Column, order: Column, source: Column, carry: list[str], sources: bool = True) -> tuple[DataFrame, DataFrame]:
+def group_by_key(rows: DataFrame, key: Column, order: Column, source: Column, carry: list[str], sources: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, queries) of a stream of examples in which the first example of a key makes its document.
 
-    documents: docid, source_ids (distinct, in order of arrival), n_examples, the first example's `carry` columns. queries: every
-    example with the docid of its key. Large groups never gather their texts: only the first example's are picked, by a combiner.
-    source_ids is a list in one row; where groups may be too large for that, `sources=False` leaves it out, and the queries, which
-    hold the same pairs one by one, take its place.
+    documents: docid, n_examples, the first example's `carry` columns. queries: every example with the docid of its key. Large groups
+    never gather their texts: only the first example's are picked, by a combiner. `sources=True` adds source_ids (distinct, in order
+    of arrival) as a list in one row, for layouts that want it; `source_id_pages` has them for groups of any size.
     """
     keyed = rows.withColumn("_key", key).withColumn(ORD, order).withColumn("_source", source.cast("string"))
     listed = [F.array_sort(F.collect_list(F.struct(F.col(ORD).alias("o"), F.col("_source").alias("s")))).alias("_sources")] if sources else []
@@ -32,6 +32,26 @@ def group_by_key(rows: DataFrame, key: Column, order: Column, source: Column, ca
     return documents, queries
 
 
+def source_id_pages(rows: DataFrame, key: list[str], order: str, source: str, size: int = 1000) -> DataFrame:
+    """key, page (0, 1, ...), source_ids: the distinct sources of each key in the order of their first row, `size` to a page.
+
+    A range sort over (key, order) numbers all sources; less the number of its key's first one, that is a source's place in its key.
+    A hot key is so cut over many tasks, and no row holds more than a page.
+    """
+    if size < 1:
+        raise ValueError("a page holds one source at least")
+    distinct = rows.select(*key, F.col(source).cast("string").alias("_source"), F.col(order).alias("_o")).groupBy(*key, "_source").agg(F.min("_o").alias("_o"))
+    placed = with_dense_order(distinct, [*key, "_o", "_source"], "_n")
+    starts = placed.groupBy(*key).agg(F.min("_n").alias("_start"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    on = same[0]
+    for more in same[1:]:
+        on = on & more
+    joined = placed.alias("a").join(starts.alias("b"), on).select(*[F.col(f"a.{k}").alias(k) for k in key], "_source", (F.col("_n") - F.col("_start")).alias("_place"))
+    paged = joined.groupBy(*key, F.floor(F.col("_place") / size).cast("long").alias("page")).agg(F.array_sort(F.collect_list(F.struct("_place", "_source"))).alias("_all"))
+    return paged.select(*key, "page", F.transform("_all", lambda x: x["_source"]).alias("source_ids"))
+
+
 def split_order(split: Column, order: Column, first: str = "validation") -> Column:
     """Arrival order of prepared examples: one split wholly ahead of the other. Validation examples claim documents first."""
     return F.struct(F.when(split == first, 0).otherwise(1).alias("s"), order.alias("o"))
@@ -80,15 +100,33 @@ def keys_with_many_texts(rows: DataFrame, key: list[str], text: str, n: int) ->
     return found.where("n_texts > 1").orderBy(F.desc("n_texts"), *key).limit(n)
 
 
-def extreme_texts(rows: DataFrame, key: list[str], text: str, order: str, mode: str = "extremes") -> DataFrame:
-    """Two texts of each key: the first two different ones, or the shortest and the longest (ties by the earlier)."""
-    first = rows.groupBy(*key, text).agg(F.min(order).alias("_o"))
+def extreme_texts(rows: DataFrame, key: list[str], text: str, order: str, mode: str = "extremes", most_winners: int = 100_000) -> DataFrame:
+    """Two texts of each key: the first two different ones, or the shortest and the longest (ties by the earlier).
+
+    Winners are chosen by digest, length and place alone; only then their texts are fetched. Two rows a key are sent to all tasks as
+    long as there are at most `most_winners`; beyond that they are joined by a shuffle. `order` tells the rows of a key apart.
+    """
+    first = rows.select(*key, F.md5(text).alias("_digest"), F.length(text).alias("_n"), F.col(order).alias("_o")).groupBy(*key, "_digest").agg(F.min_by("_n", "_o").alias("_n"), F.min("_o").alias("_o"))
     if mode == "extremes":
-        size = F.length(text)
-        return first.groupBy(*key).agg(F.min_by(text, F.struct(size, F.col("_o"))).alias("text_a"), F.min_by(text, F.struct(-size, F.col("_o"))).alias("text_b"))
-    least = first.groupBy(*key).agg(F.min("_o").alias("_o1"), F.min_by(text, "_o").alias("text_a"))
-    others = first.join(least, key).where(F.col("_o") > F.col("_o1")).groupBy(*key).agg(F.min_by(text, "_o").alias("text_b"))
-    return least.drop("_o1").join(others, key)
+        best = first.groupBy(*key).agg(F.min_by("_o", F.struct("_n", "_o")).alias("_a"), F.min_by("_o", F.struct(-F.col("_n"), F.col("_o"))).alias("_b"))
+    else:
+        # The two least places of each key, by two aggregates with combiners.
+        least = first.groupBy(*key).agg(F.min("_o").alias("_a"))
+        same = [F.col(f"f.{k}").eqNullSafe(F.col(f"l.{k}")) for k in key]
+        on = F.col("f._o") > F.col("l._a")
+        for more in same:
+            on = on & more
+        best = first.alias("f").join(least.alias("l"), on).groupBy(*[F.col(f"f.{k}").alias(k) for k in key], "_a").agg(F.min("f._o").alias("_b"))
+    numbered = materialise(best.withColumn("_row", F.monotonically_increasing_id()), "winners")
+    sides = F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"_{s}").alias("o")) for s in ("a", "b")])
+    winners = numbered.select("_row", *[F.col(k).alias(f"_of_{i}") for i, k in enumerate(key)], F.explode(sides).alias("_w"))
+    winners = F.broadcast(winners) if numbered.count() <= most_winners else winners
+    on = F.col(order) == F.col("_w.o")
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{i}"))
+    found = rows.select(*key, order, text).join(winners, on).select("_row", F.col("_w.s").alias("_s"), F.col(text).alias("_t"))
+    side = lambda s: F.max(F.when(F.col("_s") == s, F.col("_t"))).alias(f"text_{s}")
+    return numbered.select("_row", *key).join(found.groupBy("_row").agg(side("a"), side("b")), "_row").drop("_row")
 
 
 def judged_documents(qrels: DataFrame) -> DataFrame:

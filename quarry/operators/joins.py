@@ -82,20 +82,16 @@ def judgement_stats(qrels: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def query_rows(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-    """kind, query_id, text, docid: one row for each judged pair whose query is known, by query and document id as text."""
+    """kind, query_id, text, docid: one row for each judged pair whose query is known. `sinks.write_sorted` writes them in order."""
     rows = pairs.join(queries.select(F.col("qid"), F.col("query")), "qid")
-    return rows.select(F.lit("query").alias("kind"), F.col("qid").alias("query_id"), F.col("query").alias("text"), "docid").orderBy("query_id", "docid")
-
-
-def queries_without_text(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-    return pairs.select("qid").distinct().join(queries, "qid", "left_anti")
+    return rows.select(F.lit("query").alias("kind"), F.col("qid").alias("query_id"), F.col("query").alias("text"), "docid")
 
 
 def with_page_ids(df: DataFrame, revisions: DataFrame, oldid: Column, title: Column) -> DataFrame:
-    """pageid of the revision, else a stable hash of the title."""
+    """pageid of the revision, else a stable hash of the title: the first 15 hex digits of its MD5."""
     known = revisions.select(F.col("oldid").alias("_oldid"), F.col("pageid").alias("_pageid"))
     joined = df.withColumn("_rev", oldid).join(known, F.col("_rev") == F.col("_oldid"), "left")
-    return joined.withColumn("pageid", F.coalesce("_pageid", F.xxhash64(title))).drop("_rev", "_oldid", "_pageid")
+    return joined.withColumn("pageid", F.coalesce("_pageid", F.conv(F.substring(F.md5(title), 1, 15), 16, 10).cast("bigint"))).drop("_rev", "_oldid", "_pageid")
 
 
 def added_token_ids(tokens: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ SELECT d.docid, d.n AS n_examples, s.source_ids FROM d JOIN s USING (k)
 def _grouped(spark: SparkSession, sf_dir: str, method: str, validation_first: bool = False) -> DataFrame:
     rows = tables.examples(spark, sf_dir)
     order = grouping.split_order(F.col("split"), F.col(ORD)) if validation_first else F.col(ORD)
-    documents, _ = grouping.group_by_key(rows, keys.key_for(method, rows.columns), order, F.col("example_id"), ["question_text"])
+    documents, _ = grouping.group_by_key(rows, keys.key_for(method, rows.columns), order, F.col("example_id"), ["question_text"], sources=True)
     return documents.select("docid", "n_examples", F.array_join("source_ids", ",").alias("source_ids"))
 
 

@@ -208,7 +208,7 @@ def question_corpus(train: DataFrame, validation: DataFrame, method: str, limit:
         documents, queries = numbered.select("docid", *document, ORD), numbered
     else:
         order = grouping.split_order(F.col("split"), F.col(ORD))
-        groups, queries = grouping.group_by_key(both.withColumn("_in", F.col(ORD)), key, order, F.col("example_id"), ["document_text", "document_url"])
+        groups, queries = grouping.group_by_key(both.withColumn("_in", F.col(ORD)), key, order, F.col("example_id"), ["document_text", "document_url"], sources=True)
         documents = groups.select("docid", *[c for c in projections.question_document("document_text", "document_url", F.lit(""), limit, lowercase)][:3], "source_ids", F.col("docid").cast("bigint").alias(ORD))
         queries = queries.withColumnRenamed("_in", ORD)
     splits = {DOCUMENTS: documents}

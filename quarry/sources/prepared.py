@@ -63,8 +63,13 @@ def probe(spark: SparkSession, path: str) -> DataFrame:
             read = [_read_through(bytes(b), p.endswith(".gz")) for p, b in zip(batch["path"], batch["content"])]
             yield pd.DataFrame({"path": batch["path"], "length": batch["length"], "damage": [r[0] for r in read], "n_lines": [r[1] for r in read], "fields": [r[2] for r in read]})
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), "length", "content")
-    return files.mapInPandas(run, _PROBED)
+    path_of = F.col("_metadata.file_path").alias("path")
+    listed = spark.read.format("binaryFile").load(path).select(path_of, "length")
+    # A file that can't be read at all gives no row here, and is missed in the list.
+    bodies = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").load(path).select(path_of, "length", "content")
+    read = bodies.mapInPandas(run, _PROBED).withColumn("_read", F.lit(True)).drop("length")
+    damage = F.when(F.col("_read").isNull(), F.lit("unreadable")).otherwise(F.col("damage"))
+    return listed.join(read, "path", "left").select("path", "length", damage.alias("damage"), "n_lines", "fields")
 
 
 def fault(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> str | None:

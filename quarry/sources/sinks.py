@@ -7,7 +7,8 @@ import hashlib
 import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from quarry.corpus import DOCUMENTS, TOKENS, TRAIN_QUERIES, VALIDATION_QUERIES, Corpus
 from quarry.operators.projections import require_package
@@ -30,6 +31,42 @@ def write_split(df: DataFrame, folder: str, split: str, fmt: str = "jsonl", sing
     return path
 
 
+def write_sorted(df: DataFrame, path: str, keys: list[str], partitions: int = 0) -> DataFrame:
+    """Rows in the order of `keys` over many files, and a manifest: file, n, low, high (its first and last key), before (rows of the
+    files ahead). Sorted by ranges: no task sees all rows. `read_sorted` follows the manifest."""
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/rows")
+    key = F.struct(*keys)
+    written = spark.read.schema(df.schema).parquet(f"{path}/rows")
+    files = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    earlier = Window.orderBy("low", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    manifest = files.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def read_sorted(spark: SparkSession, path: str, low: tuple | None = None, high: tuple | None = None, into: str = "place") -> DataFrame:
+    """The rows that `write_sorted` wrote, each with its place in the order. Nothing is sorted: a row's place is its number in its file
+    and the manifest's count of the rows ahead. Of files whose bounds lie outside low..high (keys, both ends included) none is read,
+    but the files that are read are read whole."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    names = manifest.schema["low"].dataType.names
+    bound = lambda values: F.struct(*[F.lit(v).cast(manifest.schema["low"].dataType[k].dataType).alias(k) for k, v in zip(names, values)])
+    if low is not None:
+        manifest = manifest.where(F.col("high") >= bound(low))
+    if high is not None:
+        manifest = manifest.where(F.col("low") <= bound(high))
+    files = manifest.select("file", "before").collect()  # a row a file
+    if not files:
+        return spark.read.parquet(f"{path}/rows").where("false").withColumn(into, F.lit(None).cast("bigint"))
+    rows = spark.read.parquet(*[f"{path}/rows/{r['file']}" for r in files])
+    ahead = manifest.select(F.col("file").alias("_file"), "before")
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_index"))
+    joined = placed.join(F.broadcast(ahead), F.col("_name") == F.col("_file"))  # a row a file
+    return joined.withColumn(into, F.col("before") + F.col("_index")).drop("_name", "_index", "_file", "before")
+
+
 def split_metadata(df: DataFrame, path: str) -> dict:
     return {"rows": df.count(), "columns": df.columns, "features": {f.name: f.dataType.simpleString() for f in df.schema.fields}, "data_file": path}
 

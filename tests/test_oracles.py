@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quarry.plans import catalogue, catalogue_layouts, catalogue_subwords  # noqa: F401
+from quarry.plans import catalogue, catalogue_layouts, catalogue_runs, catalogue_subwords  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
