@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.corpus import DOCUMENTS, TRAIN_QUERIES, VALIDATION_QUERIES
 from quarry.functions import keys, ordinals, styles, text, vectors
 from quarry.functions.ordinals import ORD
-from quarry.operators import grouping, html_tree, identifiers, joins, metrics, projections, sampling, tokens
+from quarry.operators import grouping, html_tree, identifiers, joins, metrics, projections, sampling, semantic, tokens
 from quarry.plans import tables
 from quarry.plans.tables import table
 
@@ -438,7 +438,7 @@ def semantic_ids_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def semantic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("docid"), F.col("vec_id").alias(ORD), F.col("embedding").alias("vector"))
-    return identifiers.semantic_ids(rows)
+    return semantic.semantic_ids(rows)
 
 
 # --- vectors

@@ -16,6 +16,7 @@ from quarry.functions.ordinals import ORD
 from quarry.functions.text import url_parameter, url_title
 from quarry.functions.tokenizers import BYTES, Tokenizer
 from quarry.operators import grouping, identifiers, joins, projections, sampling, tokens
+from quarry.operators import semantic as tree
 from quarry.operators.subwords import Vocabulary
 from quarry.plans import graph
 from quarry.plans.plugins import Param, Registry
@@ -263,7 +264,7 @@ def hash_base_n(documents: DataFrame, seed: int, length: int, alphabet: str, cus
 def semantic(documents: DataFrame, seed: int, vectors: str, branching_factor: int, max_leaf_size: int, normalize_embeddings: bool, kmeans_max_iter: int, kmeans_n_init: int) -> tuple[DataFrame, dict]:
     """Documents bring their vectors in a column; how they were made is not this engine's business."""
     rows = documents.select("docid", ORD, F.col(vectors).alias("vector"))
-    return identifiers.semantic_ids(rows, branching_factor, max_leaf_size, seed, kmeans_n_init, kmeans_max_iter, normalize_embeddings), {}
+    return tree.semantic_ids(rows, branching_factor, max_leaf_size, seed, kmeans_n_init, kmeans_max_iter, normalize_embeddings), {}
 
 
 @REGISTRY.plugin("augmentation", "validation_index", Param("output_split_name", "str", "validation_index"))

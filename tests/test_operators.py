@@ -7,7 +7,7 @@ from quarry import schemas
 from quarry.corpus import DOCUMENTS, TOKENS, TRAIN_QUERIES, VALIDATION_QUERIES, Corpus
 from quarry.functions.ordinals import ORD, with_dense_order
 from quarry.functions.tokenizers import BYTES
-from quarry.operators import grouping, identifiers, joins, metrics, projections, sampling, tokens
+from quarry.operators import grouping, identifiers, joins, metrics, projections, sampling, semantic, tokens
 from quarry.plans.pipeline import REGISTRY, PipelineConfig, compose, run
 from quarry.plans.plugins import Param, Plugin, Registry
 from quarry.sources import readers, sinks
@@ -87,7 +87,7 @@ def test_identifier_limits(spark):
     with pytest.raises(ValueError):
         identifiers.naive_ids(docs(spark, 9), budget=3)
     with pytest.raises(ValueError):
-        identifiers.semantic_ids(docs(spark, 1).withColumn("vector", F.array(F.lit(1.0))), branching=11)
+        semantic.semantic_ids(docs(spark, 1).withColumn("vector", F.array(F.lit(1.0))), branching=11)
     assert identifiers.resolve_budget(10, 0, 1.25) == 13 and identifiers.resolve_budget(10, 0) == 10
     assert identifiers.atomic_ids(docs(spark, 0)).collect() == []
     assert sorted(r.new_docid for r in identifiers.atomic_ids(docs(spark, 11), start=95).collect())[-1] == "<doc_105>"
@@ -109,19 +109,6 @@ def test_exact_and_parallel_random_ids(spark):
     assert {k: str(int(v, 16)) for k, v in hexes.items()} == ints
 
 
-def test_semantic_tree(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    rows = [(str(k), k, (rng.normal(size=4) + 5 * np.eye(4)[k % 4]).tolist()) for k in range(200)]
-    v = spark.createDataFrame(rows, f"docid string, {ORD} long, vector array<double>")
-    for small in (20_000, 60):
-        ids = {r.old_docid: r.new_docid for r in identifiers.semantic_ids(v, 4, 30, small=small).collect()}
-        assert len(set(ids.values())) == len(ids) == 200
-    same = v.withColumn("vector", F.array(F.lit(1.0), F.lit(2.0)))
-    assert identifiers.semantic_ids(same, 3, 5).select("new_docid").distinct().count() == 200
-
-
 def test_samplers(spark):
     c = corpus(spark)
     out = sampling.split_set(c, sampling.SplitSpec("s", 10, 5, True), 1, ORD)
@@ -333,14 +320,3 @@ def test_products_meet_all_rows_in_blocks(spark):
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
     got = {r.qid: r.ids for r in vectors.nearest_products(rows.where("id % 7 = 0"), rows, 4, block=5, chunk=11).collect()}
     assert got == {k: sorted(range(90), key=lambda t: (-sum(a * b for a, b in zip(x[k], x[t])), t))[:4] for k in range(0, 90, 7)}
-
-
-def test_large_nodes_are_clustered_on_all_rows(spark):
-    """A large node of equal vectors is dealt; one far row in a thousand gets a branch of its own, which a sample would miss."""
-    rows = [(f"d{k}", k, [1.0, 0.001 * (k % 3)] if k != 617 else [-1.0, 0.0]) for k in range(1000)]
-    v = spark.createDataFrame(rows, f"docid string, {ORD} long, vector array<double>")
-    ids = {r.old_docid: r.new_docid for r in identifiers.semantic_ids(v, 2, 100, small=600, restarts=2, most_steps=5).collect()}
-    assert len(set(ids.values())) == 1000
-    assert sum(x[0] == ids["d617"][0] for x in ids.values()) == 1
-    same = v.where("_ord < 200").withColumn("vector", F.array(F.lit(1.0), F.lit(2.0)))
-    assert identifiers.semantic_ids(same, 3, 5, small=20, restarts=1, most_steps=2).select("new_docid").distinct().count() == 200
