@@ -79,9 +79,11 @@ def tally(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         label = gaps.argmin(axis=1)
         apart = (gaps[np.arange(len(mine)), label] + (mine**2).sum(axis=1)).astype(np.int64) >> INERTIA_SHIFT
         labels[lo : lo + BLOCK] = label
+        chosen = np.zeros((k, len(mine)))
+        chosen[label, np.arange(len(mine))] = 1.0
         n += np.bincount(label, minlength=k)
-        np.add.at(inertia, label, apart)
-        np.add.at(sums, label, mine.astype(np.int64))
+        inertia += (chosen @ apart).astype(np.int64)  # exact, too: a block has few rows
+        sums += (chosen @ mine).astype(np.int64)
     return labels, n, sums, inertia
 
 
@@ -315,6 +317,8 @@ def semantic_ids(
         raise ValueError("branching lies between 2 and 10, and a leaf holds one document at least")
     start, d = as_integers(vectors, normalise)
     rows = start.withColumns({"prefix": F.lit(""), "seed": F.lit(seed).cast("bigint")})
+    # Every step passes over all rows: deal them out once, however few files they came from.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
     finish, done = _finish(branching, max_leaf, restarts, most_steps), None
     for _ in range(max_depth):
         rows = materialise(rows.sortWithinPartitions("prefix"), "tree")
