@@ -3,6 +3,7 @@ import math
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -265,3 +266,87 @@ def test_sequences_keep_order_positions_and_captions(spark):
     assert full == [
         (0, "text", "Before", None, None), (1, "media", None, "First & best", 1), (2, "text", "Between", None, None), (3, "media", None, "second", 2), (4, "text", "after", None, None), (5, "media", None, None, None),
     ]
+
+
+def test_names_hide_no_text_of_an_article():
+    """Ids are often slugs of headings; only known blocks go, whole."""
+    shown = lambda page: html_text.main_text(html_text.blocks(page), None)
+    slugs = '<article><h1>T</h1><h2 id="discussion">Discussion</h2><p>a</p><h2 id="related-links">Related</h2><p>b</p><h3 id="search">Search</h3><p>c</p></article>'
+    assert shown(slugs) == "T\nDiscussion\na\nRelated\nb\nSearch\nc"
+    named = '<article><p id="alert">x</p><p id="navigation">n</p><div class="discussion">d</div><section id="related">r</section><section id="comments">s</section><li class="menu">l</li></article>'
+    assert shown(named) == "x\nn\nd\nr\ns\nl"
+    for gone in ('<div class="comments">no</div>', '<div id="comments">no</div>', '<ul class="share-buttons"><li>no</ul>', '<section class="newsletter-signup">no</section>', '<div class="ad-slot">no</div>', "<form>no</form>", "<aside>no</aside>", "<nav>no</nav>"):
+        assert shown(f"<article><p>yes</p>{gone}<p>too</p></article>") == "yes\ntoo"
+    assert shown("<main><p>intro</p><article>body</article><p>end</p></main><p>no</p>") == "intro\nbody\nend"
+
+
+def test_stray_end_tags_cost_no_more_than_their_number():
+    import time
+
+    html_text.blocks("<div>" * 100 + "</b>" * 100)
+    began = time.perf_counter()
+    html_text.blocks("<div>" * 40_000 + "</b>" * 40_000)
+    assert time.perf_counter() - began < 5  # a scan of all open elements for each would take minutes
+
+
+class _Plain(HTMLParser):
+    """The article of a page by the standard library's parser: the text of `article`, less elements that hold no text of it."""
+
+    DROP = frozenset("nav header footer aside form script style noscript button template svg head".split())
+    LINES = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol table tr td th blockquote pre section article br figure figcaption hr dl dt dd tbody thead".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.dropped = 0
+        self.stack, self.lines = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.LINES:
+            self.lines.append("")
+        if tag in html_text.VOID:
+            return
+        names = dict(attrs).get("class") or ""
+        drop = bool(self.dropped) or (tag in self.DROP and not (tag == "header" and self.inside)) or (tag in ("div", "section", "ul", "ol") and bool(re.search(r"comment|share|advert|newsletter|\bad\b|ad-|promo|cookie", names)))
+        self.stack.append((tag, drop, tag == "article" and not drop))
+        self.dropped += drop
+        self.inside += self.stack[-1][2]
+
+    def handle_endtag(self, tag):
+        if tag in self.LINES:
+            self.lines.append("")
+        if any(t == tag for t, _, _ in self.stack):
+            while self.stack:
+                t, drop, article = self.stack.pop()
+                self.dropped -= drop
+                self.inside -= article
+                if t == tag:
+                    break
+
+    def handle_data(self, data):
+        if self.inside and not self.dropped:
+            self.lines[-1] += data
+
+
+def test_whole_pages_against_an_independent_parser(spark):
+    """Words of the article, page by page, on all pages of the smallest tables."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(rows).collect()}
+    same = 0
+    for r in rows.collect():
+        p = _Plain()
+        p.feed(r.html)
+        p.close()
+        want = "\n".join(line for x in p.lines if (line := " ".join(x.split())))
+        same += got[r.page_id].split() == want.split()
+    assert same == rows.count()
+
+
+def test_only_hosts_with_undeclared_pages_are_sorted(spark):
+    frame = "<p>menu one</p><p>menu two</p>"
+    undeclared = [(k, f"http://a/x/{k}", f"<body>{frame}<p>text {k}</p></body>") for k in range(6)]
+    declared = [(10 + k, f"http://{'ab'[k % 2]}/y/{k}", f"<body>{frame}<article>own {k}</article></body>") for k in range(6)]
+    df = spark.createDataFrame(undeclared + declared, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert got == {**{k: f"text {k}" for k in range(6)}, **{10 + k: f"own {k}" for k in range(6)}}
+    some = spark.createDataFrame(declared, "page_id long, url string, html string")
+    assert "RANGE" not in html_text.extract(some)._jdf.queryExecution().optimizedPlan().toString().upper()
