@@ -3,12 +3,14 @@
 Every document is tokenised whole, closed with an end id and cut where it has to be: full windows first, then one rest that the
 online rule places. The rule keeps an array with the number of open windows at each fill level and puts a rest where the sum
 of the squared counts becomes least, which keeps the levels diverse and so leaves a partner for whatever comes next. At the end of a
-partition the documents of the windows that are still open are placed once more, whole, largest first, each at the fullest level that
+packer's documents those of the windows that are still open are placed once more, whole, largest first, each at the fullest level that
 has room for it. Only what room is then left is filled by cutting documents of the emptiest windows, and the last window is cut into
 lengths that are powers of two, which need no padding.
 
-Each input partition is packed on its own in one pass, without a shuffle: sequence ids carry the partition number, so a task
-that is run again after the loss of an executor gives the same rows.
+Texts are tokenised in as many tasks as the input has partitions, and the ids are written. Packers then read about PACKER_TOKENS of
+them each, whole partitions of the written table and no shuffle: so few windows are open at a packer's end beside those that the rule
+has filled, however finely the input was cut. Sequence ids carry the packer's number, so a task that is run again after the loss of an
+executor gives the same rows. A packer holds the ids of its open windows: some of the rule's levels have a few, 16 KB each at most.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.words import NOT_SPACE, SLICE, batch_words, text_slices
+from quarry.llm.common import materialise
+from quarry.llm.words import NOT_SPACE, SLICE, batch_words, give_back, text_slices
 
 CAPACITY = 4096
 END_ID = 2
-#: Open windows that one packer holds; beyond, the fullest one is filled from the emptiest one: a bound of its memory, 16 KB a window.
-MOST_OPEN = 4096
+#: Ids that one packer gets.
+PACKER_TOKENS = 1 << 25
 #: Words and pieces of words that one worker remembers, about 60 MB of them: workers live on and keep that.
 MOST_WORDS, MOST_PIECES = 300_000, 100_000
 ROWS_OUT = 20_000
@@ -208,14 +211,12 @@ def by_powers(window: list) -> list[list]:
 
 
 class SumOfSquares:
-    """Online packer of one partition. `add` and `finish` return closed windows: lists of (document, start, ids)."""
+    """Online packer. `add` and `finish` return closed windows: lists of (document, start, ids)."""
 
-    def __init__(self, capacity: int = CAPACITY, most_open: int = MOST_OPEN):
+    def __init__(self, capacity: int = CAPACITY):
         self.capacity = capacity
-        self.most_open = most_open
         self.levels = np.zeros(capacity + 1, dtype=np.int64)
         self.open: dict[int, list[list]] = {}
-        self.n_open = 0
 
     def level_for(self, size: int) -> int:
         """The level (0: a new window) at which adding `size` makes the sum of squared counts least; ties go to the fullest."""
@@ -239,21 +240,11 @@ class SumOfSquares:
         size = total - cut
         if size:
             closed += self.place((document, cut, ids[4 * cut :]), self.level_for(size))
-            if self.n_open > self.most_open:
-                levels = np.flatnonzero(self.levels)
-                window, donor = self.take(int(levels[-1])), self.take(int(levels[0]))
-                closed.append(window + cut_off(donor, self.capacity - int(levels[-1])))
-                if donor:
-                    level = _size(donor)
-                    self.open.setdefault(level, []).append(donor)
-                    self.levels[level] += 1
-                    self.n_open += 1
         return closed
 
     def take(self, level: int) -> list:
         """An open window of this level, no longer open."""
         self.levels[level] -= 1
-        self.n_open -= 1
         return self.open[level].pop()
 
     def place(self, piece: tuple, level: int) -> list[list]:
@@ -264,7 +255,6 @@ class SumOfSquares:
             return [window]
         self.open.setdefault(level, []).append(window)
         self.levels[level] += 1
-        self.n_open += 1
         return []
 
     def finish(self) -> list[list]:
@@ -272,7 +262,6 @@ class SumOfSquares:
         pieces = sorted((p for windows in self.open.values() for w in windows for p in w), key=lambda p: -len(p[2]))
         self.open.clear()
         self.levels[:] = 0
-        self.n_open = 0
         closed, full = [], self.capacity
         for piece in pieces:
             fits = np.flatnonzero(self.levels[: self.capacity - len(piece[2]) // 4 + 1])
@@ -293,12 +282,19 @@ class SumOfSquares:
         return closed
 
 
-def _packed(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, end: bytes) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: bytes) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, ids (little-endian) of every text, with the end id."""
     words = word_ids(tokenizer)
+    for batch in batches:
+        for lo, all_ids, bounds in words.encode(batch.column(1)):
+            ids = [all_ids[a:b].tobytes() + end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(ids)), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
     packer = SumOfSquares(capacity)
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 40
-    documents: list[tuple[int | None, int]] = []
     rows: list[tuple] = []
 
     def take(closed: list[list]) -> None:
@@ -317,18 +313,19 @@ def _packed(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, en
         return batch
 
     for batch in batches:
-        doc_ids = batch.column(0).to_pylist()
-        for lo, all_ids, bounds in words.encode(batch.column(1)):
-            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                ids = all_ids[a:b].tobytes() + end
-                take(packer.add((doc_ids[lo + k], len(ids) // 4), ids))
+        ids = batch.column(1)
+        for k, doc_id in enumerate(batch.column(0).to_pylist()):
+            mine = ids[k].as_py()
+            take(packer.add((doc_id, len(mine) // 4), mine))
             if len(rows) >= ROWS_OUT:
                 yield out()
+        del batch, ids
+        give_back()
     take(packer.finish())
     yield out()
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, packer_tokens: int = PACKER_TOKENS) -> DataFrame:
     """One row for each piece of a document: where it starts, its length, the checksum of its ids, its sequence and offset.
 
     Null and empty texts are the end id alone. Repeated rows are packed once for each row. An empty table gives no row. Ties of
@@ -337,4 +334,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """
     path, end = tokenizer or default_tokenizer(), array("I", [end_id]).tobytes()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _packed(batches, path, capacity, end), SCHEMA)
+    table = materialise(rows.mapInArrow(lambda batches: _encoded(batches, path, end), "doc_id long, n long, ids binary"), "token-ids")
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return table.select("doc_id", "ids").coalesce(max(1, -(-total // packer_tokens))).mapInArrow(lambda batches: _packed(batches, capacity), SCHEMA)

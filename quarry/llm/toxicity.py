@@ -24,8 +24,6 @@ THRESHOLD = 0.5
 #: Words within this distance of a second-person pronoun count as addressed.
 NEAR = 5
 STEM = 5
-#: Terms of a lexicon, the likeliest ones: with SAMPLE it bounds the model that is broadcast.
-MOST_TERMS = 4096
 #: Second-person pronouns of the corpus languages (fixed values).
 PRONOUNS = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros"
 #: What stands for a letter in a disguised word (fixed values).
@@ -179,7 +177,7 @@ def induce(cuts: list[Cut], y: np.ndarray) -> Lexicon:
         # Of a term as rare as this, so many toxic texts by chance would be a rare case.
         good &= toxic * np.log(n1 / (n1 + n0)) + (toxic + other) * np.log(2) * (other > 0) < -6.5
         best = np.flatnonzero(good)
-        best = best[np.argsort(-odds[best] * np.log1p(toxic[best]), kind="stable")[:MOST_TERMS]]
+        best = best[np.argsort(-odds[best] * np.log1p(toxic[best]), kind="stable")]
         return Terms(keys[best], odds[best].astype(np.float32))
 
     return Lexicon(terms("clear", 2.0), terms("stems", 2.5))

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,7 +77,7 @@ def test_level_minimises_squares():
 @pytest.mark.parametrize("capacity", [8, 64])
 def test_online_packer_conserves(capacity):
     rng = random.Random(capacity)
-    p, total, closed = packing.SumOfSquares(capacity, most_open=5), 0, []
+    p, total, closed = packing.SumOfSquares(capacity), 0, []
     for k in range(300):
         size = rng.randint(1, 3 * capacity)
         total += size
@@ -87,3 +88,36 @@ def test_online_packer_conserves(capacity):
     assert all(sum(len(x[2]) // 4 for x in w) == capacity for w in closed[:full])
     sizes = [sum(len(x[2]) // 4 for x in w) for w in closed[full:]]
     assert all(s & (s - 1) == 0 or s == capacity for s in sizes)
+
+
+def closed_by_the_rule(sizes, packers):
+    """(windows filled by the rule, by what follows at a packer's end, documents cut) of documents dealt to packers."""
+    rule, rest, cut = 0, 0, set()
+    for p in range(packers):
+        packer, windows = packing.SumOfSquares(), []
+        for k, size in enumerate(sizes[p::packers]):
+            windows += packer.add((p, k), b"\0\0\0\0" * size)
+        rule += len(windows)
+        windows += packer.finish()
+        rest += len(windows)
+        seen = Counter(piece[0] for w in windows for piece in w)
+        cut |= {d for d, n in seen.items() if n > 1}
+    return rule, rest - rule, len(cut)
+
+
+def test_the_rule_closes_windows_however_finely_the_input_is_cut(spark, monkeypatch):
+    """Documents of all 32 partitions meet in one packer, in which the rule closes most windows and few documents are cut."""
+    rng = random.Random(3)
+    texts = [prose(rng, rng.choice([1, 5, 40])) for _ in range(120)]
+    one = packing.pack(documents(spark, texts).repartition(32)).collect()
+    assert {r.sequence_id >> 40 for r in one} == {0}
+    many = packing.pack(documents(spark, texts).repartition(32), packer_tokens=400).collect()
+    assert len({r.sequence_id >> 40 for r in many}) > 3
+    assert check(many, dict(enumerate(texts)))[0] == 0
+    sizes = [min(40_000, int(rng.lognormvariate(5.8, 1.3)) + 1) for _ in range(12_000)]
+    long = sum(s > packing.CAPACITY for s in sizes)
+    rule, rest, cut = closed_by_the_rule(sizes, 1)
+    assert rule >= 0.8 * (rule + rest) and cut <= 1.2 * long
+    finely = closed_by_the_rule(sizes, 32)
+    assert finely[0] < rule
+    assert "MOST_OPEN" not in dir(packing)
