@@ -13,24 +13,42 @@ from quarry.llm import decontaminate, near_duplicates, packing, pii, toxicity
 from quarry.llm.common import benchmark, documents, labels, materialise
 
 
+#: Bytes of text that reach a Python worker at once, for all stages of a session: bounds what a batch takes on both sides.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """A setting of the session, since a stage's rows are made when its caller writes them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The model is fitted on the labelled rows of docs that are not held out."""
+    """Documents that the model finds toxic go; it is fitted on the labelled rows of docs that are not held out. A null text stays."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.learn(docs, labels(spark, sf_dir)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles and a similarity of 0.8 the document with the least id stays, in all its rows."""
+    small_batches(spark)
     return near_duplicates.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words a twentieth or more lies in windows of benchmark items go; one without words stays."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, benchmark(spark, sf_dir))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data becomes its kind's name; no document goes, and other columns stay as they are."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 ids; a null or empty text is its end id alone."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
