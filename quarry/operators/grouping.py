@@ -106,7 +106,8 @@ def extreme_texts(rows: DataFrame, key: list[str], text: str, order: str, mode:
     Winners are chosen by digest, length and place alone; only then their texts are fetched. Two rows a key are sent to all tasks as
     long as there are at most `most_winners`; beyond that they are joined by a shuffle. `order` tells the rows of a key apart.
     """
-    first = rows.select(*key, F.md5(text).alias("_digest"), F.length(text).alias("_n"), F.col(order).alias("_o")).groupBy(*key, "_digest").agg(F.min_by("_n", "_o").alias("_n"), F.min("_o").alias("_o"))
+    slim = rows.select(*key, F.md5(text).alias("_digest"), F.length(text).alias("_n"), F.col(order).alias("_o"))
+    first = slim.groupBy(*key, "_digest").agg(F.min_by("_n", "_o").alias("_n"), F.min("_o").alias("_o"))
     if mode == "extremes":
         best = first.groupBy(*key).agg(F.min_by("_o", F.struct("_n", "_o")).alias("_a"), F.min_by("_o", F.struct(-F.col("_n"), F.col("_o"))).alias("_b"))
     else:

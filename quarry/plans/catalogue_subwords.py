@@ -74,7 +74,11 @@ def _sql_shown() -> str:
     return f"trim({out})"
 
 
-@query(_matched("SELECT doc_id AS k, coalesce(text, '') AS text FROM documents", "SELECT k AS doc_id, CAST(len(ids) AS INTEGER) AS n_ids, CAST(len(list_filter(ids, lambda x: x = 2)) AS INTEGER) AS n_unknown, md5(array_to_string(ids, ',')) AS ids_md5 FROM ids"))
+@query(_matched(
+    "SELECT doc_id AS k, coalesce(text, '') AS text FROM documents",
+    """SELECT k AS doc_id, CAST(len(ids) AS INTEGER) AS n_ids, CAST(len(list_filter(ids, lambda x: x = 2)) AS INTEGER) AS n_unknown,
+              md5(array_to_string(ids, ',')) AS ids_md5 FROM ids""",
+))
 def wordpiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subword ids of every whole document."""
     v = vocabulary(spark, sf_dir)
@@ -119,7 +123,10 @@ def nci_title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "title_key", "heading_key")
 
 
-_TOKEN_ROWS = "SELECT 'documents' AS split, CAST(doc_id AS VARCHAR) AS docid, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'train_queries', conv_id || '.' || turn, split_part(coalesce(text, ''), ' ', 1) FROM conversations"
+_TOKEN_ROWS = """
+SELECT 'documents' AS split, CAST(doc_id AS VARCHAR) AS docid, coalesce(text, '') AS text FROM documents
+UNION ALL SELECT 'train_queries', conv_id || '.' || turn, split_part(coalesce(text, ''), ' ', 1) FROM conversations
+"""
 
 
 @query(_matched(
@@ -134,5 +141,6 @@ def subword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("docid"), "text")
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("docid"), F.split_part("text", F.lit(" "), F.lit(1)).alias("text"))
     out = tokens.tokenise(Corpus({DOCUMENTS: docs, TRAIN_QUERIES: turns}), v)
-    rows = [out[s].select(F.lit(s).alias("split"), "docid", F.array_join("text_tokens", ",").alias("text_tokens"), F.array_join("docid_tokens", ",").alias("docid_tokens")) for s in out]
+    joined = [F.array_join(c, ",").alias(c) for c in ("text_tokens", "docid_tokens")]
+    rows = [out[s].select(F.lit(s).alias("split"), "docid", *joined) for s in out]
     return rows[0].unionByName(rows[1])

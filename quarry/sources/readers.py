@@ -150,7 +150,9 @@ def active_documents(parsed: DataFrame, active: DataFrame, drop_empty: bool = Tr
     written, malformed, inactive, empty, missing (active docids that no line has).
     """
     wanted = active.select(F.col("docid").alias("_a")).distinct()
-    marked = parsed.join(wanted, parsed["docid"] == F.col("_a"), "left").withColumn("state", F.when(F.col("malformed"), "malformed").when(F.col("_a").isNull(), "inactive").when(F.lit(drop_empty) & (F.trim(F.coalesce("body", F.lit(""))) == ""), "empty").otherwise("written"))
+    blank = F.lit(drop_empty) & (F.trim(F.coalesce("body", F.lit(""))) == "")
+    state = F.when(F.col("malformed"), "malformed").when(F.col("_a").isNull(), "inactive").when(blank, "empty").otherwise("written")
+    marked = parsed.join(wanted, parsed["docid"] == F.col("_a"), "left").withColumn("state", state)
     documents = marked.where("state = 'written'").select("docid", "url", "title", "body")
     counts = marked.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("written", "malformed", "inactive", "empty")])
     lost = active.select("docid").distinct().join(parsed.where("not malformed").select("docid"), "docid", "left_anti").agg(F.count("*").alias("missing"))
