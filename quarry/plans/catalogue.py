@@ -429,6 +429,58 @@ def uuid4_ids_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.agg(F.count("*").alias("n"), F.countDistinct("new_docid").alias("n_distinct"), F.bool_and(F.col("new_docid").rlike("^[0-9a-f]{12}4[0-9a-f]{3}[89ab][0-9a-f]{15}$")).alias("version_4"), F.max(F.length("new_docid")).alias("width"))
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+i AS (SELECT range AS id, row_number() OVER (ORDER BY {_SHUF.format(seed=SEED, purpose='naive', key='range')}, range) AS n FROM range(320000))
+SELECT CAST(doc_id AS VARCHAR) AS old_docid, lpad(CAST(id AS VARCHAR), 6, '0') AS new_docid FROM d JOIN i USING (n)
+""")
+def naive_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document by document: the numbers below the budget, in hashed order, dealt to the documents in theirs."""
+    return identifiers.naive_ids(_documents(spark, sf_dir), budget=320_000, pad=True, seed=SEED)
+
+
+_UUID = f"""
+WITH h AS (SELECT doc_id, {_SHUF.format(seed=SEED, purpose='uuid4', key='doc_id')} AS h FROM documents),
+u AS (SELECT doc_id, substr(h, 1, 12) || '4' || substr(h, 14, 3) || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 15) AS u FROM h)
+"""
+
+
+@query(_UUID + "SELECT CAST(doc_id AS VARCHAR) AS old_docid, u AS new_docid FROM u")
+def uuid4_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identifiers.uuid4_ids(_documents(spark, sf_dir), seed=SEED)
+
+
+@query(_UUID + """
+SELECT CAST(doc_id AS VARCHAR) AS old_docid,
+       CAST(CAST(CAST('0x' || substr(u, 1, 16) AS UBIGINT) AS UHUGEINT) * 18446744073709551616 + CAST('0x' || substr(u, 17, 16) AS UBIGINT) AS VARCHAR) AS new_docid FROM u
+""")
+def uuid4_decimal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same identifiers as decimal numbers of up to 39 digits."""
+    return identifiers.uuid4_ids(_documents(spark, sf_dir), output="int", seed=SEED)
+
+
+_SALTED = "CAST('0x' || substr(sha256(encode(docid) || unhex(lpad(to_hex(salt), 16, '0'))), 1, 16) AS UBIGINT)"
+_SALTED_CODE = " || ".join(f"substr('{identifiers.ALPHABETS['base16']}', CAST(({_SALTED} >> {4 * k}) & 15 AS BIGINT) + 1, 1)" for k in range(4))
+
+
+@query(f"""
+WITH RECURSIVE s AS (
+  SELECT CAST(doc_id AS VARCHAR) AS docid, doc_id AS o, CAST(0 AS BIGINT) AS salt, 0 AS round FROM documents
+  UNION ALL
+  SELECT docid, o, salt + lost, round + 1 FROM (
+    SELECT *, max(lost) OVER () AS any_lost FROM (
+      SELECT *, CASE WHEN o > min(o) OVER (PARTITION BY code) THEN 1 ELSE 0 END AS lost FROM (SELECT *, {_SALTED_CODE} AS code FROM s)))
+  WHERE any_lost = 1)
+SELECT docid AS old_docid, {_SALTED_CODE} AS new_docid, salt > 0 AS moved FROM s WHERE round = (SELECT max(round) FROM s)
+""")
+def hash_ids_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four hexadecimal digits: at 1,000 documents some collide, at 10,000 hundreds do, and take their next salts."""
+    documents = _documents(spark, sf_dir)
+    ids = identifiers.hash_ids(documents, length=4, alphabet="base16")
+    first = documents.select(F.col("docid").alias("old_docid"), identifiers.hash_code(F.col("docid"), F.lit(0), identifiers.ALPHABETS["base16"], 4).alias("_first"))
+    return ids.join(first, "old_docid").select("old_docid", "new_docid", (F.col("new_docid") != F.col("_first")).alias("moved"))
+
+
 @query("SELECT count(*) AS n, count(*) AS n_distinct FROM embeddings")
 def semantic_ids_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = semantic_ids(spark, sf_dir)

@@ -42,11 +42,11 @@ def ranking_query_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", projections.ranking_query("text")).select("conv_id", "turn", F.md5("text").alias("text_md5"))
 
 
-@query("SELECT doc_id, 'doc_id,text' AS columns FROM documents")
+@query("SELECT doc_id, text FROM documents")
 def dropped_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of answers are gone, the others are whole."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("annotations"), F.col("source").alias("long_answer_candidates"))
-    left = projections.drop_answers(rows)
-    return left.select("doc_id", F.lit(",".join(left.columns)).alias("columns"))
+    return projections.drop_answers(rows)
 
 
 _CUSTOMER_TEXTS = """
@@ -223,7 +223,11 @@ def unique_counts_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.unique_counts(rows, {m: keys.key_for(m, rows.columns) for m in _TITLED})
 
 
-@query("SELECT 'one token each' AS labels, true AS is_atomic UNION ALL SELECT 'some of two', false UNION ALL SELECT 'unknown ones', false")
+@query("""
+SELECT 'one token each' AS labels, count(*) > 0 AS is_atomic FROM customer
+UNION ALL SELECT 'some of two', bool_and((c_custkey + 259) % 100 <> 0) FROM customer
+UNION ALL SELECT 'unknown ones', bool_and((c_custkey + 259) % 7 <> 0) FROM customer
+""")
 def atomic_label_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 259).cast("int").alias("token_id"))
     labels = F.array(F.col("token_id"), F.lit(1), F.lit(-100))
@@ -410,15 +414,24 @@ def token_init_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("token", "token_id", F.aggregate("payload", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
-@query("SELECT 'a' AS job, 'NaN' AS loss, 3 AS step UNION ALL SELECT 'b', 'Infinity', 4")
+@query("""
+SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'validation_queries' ELSE 'train_queries' END AS job, 'NaN' AS loss, count(*) AS n, count(DISTINCT o_custkey) AS n_docids,
+       round(sum(1.0 / (1 + o_orderkey % 7)) / count(*), 6) AS mrr FROM orders GROUP BY 1
+""")
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two records appended to a history, and one metrics file."""
+    """Metrics of the orders' splits appended to a history, read back; a metrics file says the same of each."""
     path = new_path(spark, "metrics")
-    sinks.append_metrics(spark, {"loss": float("nan"), "step": 3}, path, "a")
-    sinks.append_metrics(spark, {"loss": float("inf"), "step": 4}, path, "b")
-    if json.loads(sinks.write_metrics(spark, {"n": 1}, f"{path}/metrics.json")) != json.loads(readers.read_text(spark, f"{path}/metrics.json")):
-        raise ValueError("the metrics file differs")
-    return spark.read.schema("job string, loss string, step int").json(f"{path}/metrics_history.jsonl")
+    split = F.when(F.col("o_orderkey") % 10 == 0, VALIDATION_QUERIES).otherwise(TRAIN_QUERIES)
+    found = table(spark, sf_dir, "orders").groupBy(split.alias("job")).agg(
+        F.count("*").alias("n"), F.countDistinct("o_custkey").alias("n_docids"), F.round(F.avg(1.0 / (1 + F.col("o_orderkey") % 7)), 6).alias("mrr")
+    )
+    for row in found.collect():  # one row for each split
+        values = {"loss": float("nan"), "n": row.n, "n_docids": row.n_docids, "mrr": row.mrr}
+        sinks.append_metrics(spark, values, path, row.job)
+        written = sinks.write_metrics(spark, values, f"{path}/{row.job}.json")
+        if json.loads(written) != json.loads(readers.read_text(spark, f"{path}/{row.job}.json")):
+            raise ValueError("the metrics file differs")
+    return spark.read.schema("job string, loss string, n long, n_docids long, mrr double").json(f"{path}/metrics_history.jsonl")
 
 
 @query("SELECT 'extra' AS split, count(*) AS n FROM orders UNION ALL SELECT 'documents', count(*) FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'refused: documents', 0")
