@@ -81,9 +81,29 @@ def encode_column(text: Column, tokenizer: Tokenizer | None = None) -> Column:
     return encoded(text)
 
 
+#: One well-formed UTF-8 sequence, with bytes written as the characters of the same number.
+_SEQUENCE = (
+    "[\\x00-\\x7F]|[\\xC2-\\xDF][\\x80-\\xBF]|\\xE0[\\xA0-\\xBF][\\x80-\\xBF]|[\\xE1-\\xEC\\xEE\\xEF][\\x80-\\xBF]{2}|\\xED[\\x80-\\x9F][\\x80-\\xBF]"
+    "|\\xF0[\\x90-\\xBF][\\x80-\\xBF]{2}|[\\xF1-\\xF3][\\x80-\\xBF]{3}|\\xF4[\\x80-\\x8F][\\x80-\\xBF]{2}"
+)
+
+
+def _decode_bytes(ids: Column, offset: int) -> Column:
+    """The bytes of ids from the offset on, as text; what is no UTF-8 (a character that a limit cut) is left out."""
+    too_large = F.raise_error(F.lit("an id is no byte")).cast("string")
+    digits = F.transform(F.filter(ids, lambda i: i >= offset), lambda i: F.when(i - offset > 255, too_large).otherwise(F.lpad(F.hex(i - offset), 2, "0")))
+    raw = F.unhex(F.array_join(digits, ""))
+    whole = F.regexp_extract_all(F.decode(raw, "ISO-8859-1"), F.lit(_SEQUENCE), 0)
+    mended = F.encode(F.array_join(whole, ""), "ISO-8859-1").cast("string")
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(mended)
+
+
 def decode_column(ids: Column, tokenizer: Tokenizer | None = None) -> Column:
-    """The text of ids without special ones; null for null."""
+    """The text of ids without special ones; null for null. Of bytes by native expressions."""
     tokenizer = tokenizer or BYTES
+    if isinstance(tokenizer, ByteTokenizer):
+        return _decode_bytes(ids, tokenizer.offset)
 
     @pandas_udf("string")
     def decoded(rows: pd.Series) -> pd.Series:

@@ -58,18 +58,24 @@ def nearest_products(queries: DataFrame, rows: DataFrame, k: int, block: int = 2
         group = F.pmod(F.xxhash64("id"), F.lit(n))
         return df.groupBy(group.alias("g")).agg(F.collect_list(F.struct("id", F.col("v").cast("array<double>").alias("v"))).alias(name)).drop("g")
 
+    def arrays(side: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and vectors of a row's list, in the order of the ids, without a Python object for a number."""
+        rows = side[k].values
+        ids, v = rows.field("id").to_numpy(zero_copy_only=False), rows.field("v")
+        matrix = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        order = np.argsort(ids, kind="stable")
+        return ids[order], matrix[order]
+
     def best(batches):
         for batch in batches:
-            for q, r in zip(batch.column(0), batch.column(1)):
-                q, r = q.as_py(), r.as_py()
-                r.sort(key=lambda x: x["id"])
-                a, b = (np.array([x["v"] for x in side]) for side in (q, r))
-                ids, total = np.array([x["id"] for x in r]), np.zeros((len(q), len(r)))
+            for at in range(batch.num_rows):
+                (qids, a), (ids, b) = arrays(batch.column(0), at), arrays(batch.column(1), at)
+                total = np.zeros((len(qids), len(ids)))
                 for j in range(a.shape[1]):  # in the order of the dimensions, so that equal vectors have equal products
                     total += a[:, j, None] * b[None, :, j]
                 top = np.argsort(-total, axis=1, kind="stable")[:, :k]
-                qid = np.repeat([x["id"] for x in q], top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ids[top].reshape(-1)), pa.array(np.take_along_axis(total, top, 1).reshape(-1))], names=["qid", "id", "s"])
+                found = (np.repeat(qids, top.shape[1]), ids[top].reshape(-1), np.take_along_axis(total, top, 1).reshape(-1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["qid", "id", "s"])
 
     pairs = packed(queries, block, "q").crossJoin(packed(rows, chunk, "r")).select("q", "r").repartition(F.xxhash64("q", "r"))
     found = pairs.mapInArrow(best, "qid long, id long, s double").groupBy("qid").agg(F.collect_list("id").alias("ids"), F.collect_list("s").alias("s"))

@@ -1,4 +1,5 @@
 import html
+import random
 import unicodedata
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -152,3 +153,18 @@ def test_html_unicode_gaps_and_pronunciation():
     assert tree.without_pronunciation("Name (film) (nɛɪm) is", words) == "Name (film) is"
     assert list(tree.parentheses("a (b (c)) ) (d")) == [(2, 9)]
     assert unicodedata.normalize("NFKC", "ﬁ") == "fi"
+
+
+def test_bytes_are_decoded_natively(spark):
+    """Whole characters, ones cut by a limit, stray bytes and special ids, against Python's decoder."""
+    rng = random.Random(3)
+    cases = [list("aé𝄞\ud7ff\ue000".encode()), list("aé𝄞".encode())[:-1], [0xE2, 0x82, 0x41], [0xF0, 0x80, 0x80], [0xC0, 0xAF], [0xED, 0xA0, 0x80], [0xF4, 0x90, 0x80, 0x80], [0xFF], [], [0, 10, 13]]
+    cases += [[rng.choice([rng.randrange(256), rng.randrange(0x80, 0xC0), 0xE2, 0xF0, 0x41]) for _ in range(rng.randrange(1, 12))] for _ in range(300)]
+    rows = [(k, [i + 3 for i in c] + [1] * (k % 2)) for k, c in enumerate(cases)] + [(len(cases), None)]
+    df = spark.createDataFrame(rows, "k int, ids array<int>").repartition(2)
+    decoded = df.select("k", tokenizers.decode_column(F.col("ids")).alias("t"))
+    assert "Python" not in decoded._jdf.queryExecution().toString()
+    got = {r.k: r.t for r in decoded.collect()}
+    assert got == {k: None if ids is None else tokenizers.BYTES.decode(ids) for k, ids in rows}
+    with pytest.raises(Exception, match="no byte"):
+        spark.createDataFrame([([259],)], "ids array<int>").select(tokenizers.decode_column(F.col("ids"))).collect()
