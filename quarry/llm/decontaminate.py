@@ -14,7 +14,7 @@ Words are compared by their 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,7 @@ SHARE = 20
 #: with one place free behind each; base: where each document begins.
 SHARD = "ids array<long>, keys array<long>, n_words array<long>, base binary, terms binary, first binary, positions binary"
 MATCHES = "doc_id long, text_key long, item_id string, start long, length long"
+HITS = "doc_id long, text_key long, spans array<struct<start:long,length:long>>, items array<string>"
 
 
 def _packed(*arrays: np.ndarray) -> list[pa.Array]:
@@ -168,12 +169,9 @@ def _found(shard: dict, asked: Asked, slack: int) -> Iterator[tuple[np.ndarray,
                 lo = hi
 
 
-def search(shards: DataFrame, items: DataFrame, slack: int = 0) -> DataFrame:
-    """doc_id, text_key, item_id, start, length of every match of a window of the items in an index.
-
-    With slack 0 a match is a window that stands word for word; otherwise one whose terms all stand at most `slack` words from their
-    places, counted from the rarest one. start is the window's first word in the document; length the words of the window.
-    """
+def _each_block(shards: DataFrame, items: DataFrame, slack: int, put: Callable, schema: str, name: str) -> DataFrame:
+    """The rows that put(shard, asked, windows and starts found) makes of every shard and block, written; a block is sent, searched
+    and taken back before the next one."""
     spark = shards.sparkSession
     every = None
     for block in blocks(items):
@@ -181,22 +179,69 @@ def search(shards: DataFrame, items: DataFrame, slack: int = 0) -> DataFrame:
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             asked = shared.value
-            names = pa.array(asked.names, pa.string())
             for batch in batches:
                 for k in range(batch.num_rows):
                     shard = {f: batch.column(f)[k].as_py() for f in ("base", "terms", "first", "positions")}
-                    base = np.frombuffer(shard["base"], np.int64)
-                    ids, keys = batch.column("ids")[k].values, batch.column("keys")[k].values
-                    for window, start in _found(shard, asked, slack):
-                        doc = np.searchsorted(base, start, side="right") - 1
-                        found = np.unique(np.stack([doc, asked.item[window], start - base[doc], asked.length[window]], axis=1), axis=0)
-                        doc, item = pa.array(found[:, 0]), pa.array(found[:, 1])
-                        yield pa.RecordBatch.from_arrays([ids.take(doc), keys.take(doc), names.take(item), pa.array(found[:, 2]), pa.array(found[:, 3])], names=["doc_id", "text_key", "item_id", "start", "length"])
+                    shard |= {f: batch.column(f)[k].values for f in ("ids", "keys", "n_words")}
+                    yield from put(shard, asked, _found(shard, asked, slack))
 
         with batch_rows(spark, 16):
-            found = materialise(shards.select("ids", "keys", "base", "terms", "first", "positions").mapInArrow(look, MATCHES), "matches")
+            found = materialise(shards.mapInArrow(look, schema), name)
+        shared.destroy()
         every = found if every is None else every.unionByName(found)
-    return spark.createDataFrame([], MATCHES) if every is None else every
+    return spark.createDataFrame([], schema) if every is None else every
+
+
+def search(shards: DataFrame, items: DataFrame, slack: int = 0) -> DataFrame:
+    """doc_id, text_key, item_id, start, length of every match of a window of the items in an index.
+
+    With slack 0 a match is a window that stands word for word; otherwise one whose terms all stand at most `slack` words from their
+    places, counted from the rarest one. start is the window's first word in the document; length the words of the window.
+    """
+
+    def put(shard: dict, asked: Asked, matches: Iterator) -> Iterator[pa.RecordBatch]:
+        base = np.frombuffer(shard["base"], np.int64)
+        names = pa.array(asked.names, pa.string())
+        for window, start in matches:
+            doc = np.searchsorted(base, start, side="right") - 1
+            found = np.unique(np.stack([doc, asked.item[window], start - base[doc], asked.length[window]], axis=1), axis=0)
+            doc, item = pa.array(found[:, 0]), pa.array(found[:, 1])
+            columns = [shard["ids"].take(doc), shard["keys"].take(doc), names.take(item), pa.array(found[:, 2]), pa.array(found[:, 3])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "item_id", "start", "length"])
+
+    return _each_block(shards, items, slack, put, MATCHES, "matches")
+
+
+def hits(shards: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, text_key, spans, items of every document with a hit word: the runs of hit words and the items with occurring windows.
+
+    Occurrences become runs in the shard that they are found in, so a document has a row for each block however often the items of
+    the block stand in it; a row is no longer than its text.
+    """
+
+    def put(shard: dict, asked: Asked, matches: Iterator) -> Iterator[pa.RecordBatch]:
+        base, n_words = np.frombuffer(shard["base"], np.int64), shard["n_words"].to_numpy(zero_copy_only=False)
+        many = len(asked.names)
+        edges = np.zeros((base[-1] + n_words[-1] + 1 if base.size else 0) + 1, np.int64)
+        pairs = np.zeros(0, np.int64)
+        for window, start in matches:
+            np.add.at(edges, start, 1)
+            np.subtract.at(edges, start + asked.length[window], 1)
+            pairs = np.union1d(pairs, (np.searchsorted(base, start, side="right") - 1) * many + asked.item[window])
+        if not pairs.size:
+            return
+        # A place is free behind each document, so no run goes from one into the next.
+        hit = np.diff((np.cumsum(edges) > 0).astype(np.int8), prepend=0, append=0)
+        start, stop = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)
+        doc = np.searchsorted(base, start, side="right") - 1
+        docs, first_span = np.unique(doc, return_index=True)
+        first_item = np.searchsorted(pairs, docs * many)
+        spans = pa.StructArray.from_arrays([pa.array(start - base[doc]), pa.array(stop - start)], names=["start", "length"])
+        names = pa.array(asked.names, pa.string()).take(pa.array(pairs % many))
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(f, len(v)).astype(np.int32)), v) for f, v in ((first_span, spans), (first_item, names))]
+        yield pa.RecordBatch.from_arrays([shard["ids"].take(pa.array(docs)), shard["keys"].take(pa.array(docs)), *lists], names=["doc_id", "text_key", "spans", "items"])
+
+    return _each_block(shards, items, 0, put, HITS, "hits")
 
 
 def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -207,21 +252,22 @@ def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
     taken in the window's order, which changes no result. Only doc_id, text and item_id, text are read. Texts are read whole.
     """
     shards = index(docs)
-    matches = search(shards, items)
+    found = hits(shards, items)
 
     def add(so_far, span):
         fresh = F.greatest(F.lit(0), span["start"] + span["length"] - F.greatest(span["start"], so_far["at"]))
         return F.struct(F.greatest(so_far["at"], span["start"] + span["length"]).alias("at"), (so_far["n"] + fresh).alias("n"))
 
-    spans = F.array_sort(F.collect_set(F.struct("start", "length")))
+    # A document has a row for each block of the benchmark; those of repeated rows are equal.
+    spans, names = F.array_sort(F.flatten(F.collect_set("spans"))), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
-    hits = matches.groupBy("doc_id", "text_key").agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    hits = materialise(hits.select(
+    by_text = found.groupBy("doc_id", "text_key").agg(spans.alias("spans"), names.alias("items"))
+    judged = materialise(by_text.select(
         F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.aggregate("spans", empty, add, lambda end: end["n"]).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"),
-    ), "hits")
+    ), "judged")
     rows = shards.select(F.inline(F.arrays_zip("ids", "keys", "n_words"))).toDF("doc_id", "text_key", "n_words")
-    both = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_d"]) & (rows["text_key"] == hits["_t"]), "left")
+    both = rows.join(judged, rows["doc_id"].eqNullSafe(judged["_d"]) & (rows["text_key"] == judged["_t"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return both.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),

@@ -100,3 +100,21 @@ def test_a_million_windows_are_one_block(spark):
     shard = {"terms": terms.tobytes(), "first": np.append(first, h.size).astype(np.int32).tobytes(), "positions": order.astype(np.uint32).tobytes(), "base": np.zeros(1, np.int64).tobytes()}
     found = [(asked.item[w], s) for ws, ss in decontaminate._found(shard, asked, 0) for w, s in zip(ws, ss)]
     assert sorted(found) == [(7, k) for k in range(8)]
+
+
+def test_a_frequent_item_is_one_row_a_document(spark):
+    """A one-word item that stands everywhere: runs, not occurrences, leave a shard, and blocks are united."""
+    bench = spark.createDataFrame([(1, "the"), (2, "the cat"), (3, "cat sat"), (4, "dog")], "item_id long, text string")
+    docs = documents(spark, ["the " * 3000, "the cat sat on the mat", "dog", "no hit", "the x " * 1000, "cat sat the cat"])
+    shards = decontaminate.index(docs.coalesce(1))
+    assert decontaminate.search(shards, bench).where("doc_id = 0").count() == 3000
+    found = {r.doc_id: ([tuple(s) for s in r.spans], sorted(r.items)) for r in decontaminate.hits(shards, bench).collect()}
+    assert found[0] == ([(0, 3000)], ["1"]) and found[1] == ([(0, 3), (4, 1)], ["1", "2", "3"]) and found[2] == ([(0, 1)], ["4"])
+    assert len(found[4][0]) == 1000 and found[5] == ([(0, 4)], ["1", "2", "3"]) and set(found) == {0, 1, 2, 4, 5}
+
+
+def test_blocks_are_united(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", 1)
+    bench = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "z")], "item_id long, text string")
+    rows = decontaminate.judge(documents(spark, ["a b c", "x z", "a c"]), bench).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.n_items) for r in rows] == [(3, 3, 2), (2, 1, 1), (2, 0, 0)]
