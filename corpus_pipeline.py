@@ -15,11 +15,16 @@ from quarry.llm.common import benchmark, documents, labels, materialise
 
 #: Bytes of text that reach a Python worker at once, for all stages of a session: bounds what a batch takes on both sides.
 BATCH_BYTES = 8 << 20
+#: Rows that a table's reader decodes at once, and bytes of a written row group. A row is a whole text: 4096 of them, and row groups of
+#: 128 MB, are arrays of tens of megabytes in every task, for which a heap grows and which it keeps.
+READ_ROWS, ROW_GROUP_BYTES = 512, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """A setting of the session, since a stage's rows are made when its caller writes them."""
+    """Settings of the session, since a stage's rows are made when its caller writes them."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
+    spark.conf.set("parquet.block.size", ROW_GROUP_BYTES)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
