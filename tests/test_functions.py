@@ -168,3 +168,24 @@ def test_bytes_are_decoded_natively(spark):
     assert got == {k: None if ids is None else tokenizers.BYTES.decode(ids) for k, ids in rows}
     with pytest.raises(Exception, match="no byte"):
         spark.createDataFrame([([259],)], "ids array<int>").select(tokenizers.decode_column(F.col("ids"))).collect()
+
+
+def test_pages_are_rendered_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+    body = "<h1>T</h1>" + "<!--" + "x" * 50_000 + "-->" + "<h2>A</h2><p>é</p>"
+    pages = pa.array([body] * 600 + [None])
+    tracemalloc.start()
+    rows = tree._packed(len(pages), lambda k: (None, None, None) if pages[k].as_py() is None else tree.normalise(pages[k].as_py(), tree.page_tokens(pages[k].as_py())))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 601 and rows[0].as_py() == {"tag": "htmlnorm-v1-infobox-none", "title": "T", "text": "A\né"} and rows[600].as_py() == {"tag": None, "title": None, "text": None}
+    assert most < 5_000_000 < 600 * len(body)
+
+
+def test_pages_made_from_few_files_are_dealt_out(spark):
+    from quarry.plans import catalogue_layouts
+
+    for name in ("html_sections", "html_tables", "html_lists", "html_intro"):
+        assert getattr(catalogue_layouts, name)(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
