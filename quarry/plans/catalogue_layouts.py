@@ -451,8 +451,12 @@ def merged_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rendered(rows: DataFrame, key: str, html: Column, **options) -> DataFrame:
-    """tag, title and text of pages that are made from a table's columns."""
-    return rows.select(key, html.alias("html")).select(key, html_tree.normalise_pages("html", **options).alias("n")).select(key, "n.tag", "n.title", "n.text")
+    """tag, title and text of pages that are made from a table's columns.
+
+    A page takes far more work than reading its row: rows are dealt out, however few files they came from.
+    """
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return dealt.select(key, html.alias("html")).select(key, html_tree.normalise_pages("html", **options).alias("n")).select(key, "n.tag", "n.title", "n.text")
 
 
 @query("""
