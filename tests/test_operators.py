@@ -320,3 +320,12 @@ def test_products_meet_all_rows_in_blocks(spark):
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
     got = {r.qid: r.ids for r in vectors.nearest_products(rows.where("id % 7 = 0"), rows, 4, block=5, chunk=11).collect()}
     assert got == {k: sorted(range(90), key=lambda t: (-sum(a * b for a, b in zip(x[k], x[t])), t))[:4] for k in range(0, 90, 7)}
+
+
+def test_the_first_pair_of_equal_six_digit_codes_is_told_apart(spark):
+    """The least pair of numbers whose first codes are equal: the later one takes its next salt."""
+    df = spark.createDataFrame([("125203", 125203), ("211202", 211202)], "docid string, _ord long")
+    first = {r.docid: r.code for r in df.select("docid", identifiers.hash_code(F.col("docid"), F.lit(0), identifiers.ALPHABETS["base64_urlsafe"], 6).alias("code")).collect()}
+    assert first["125203"] == first["211202"]
+    made = {r.old_docid: r.new_docid for r in identifiers.hash_ids(df, length=6).collect()}
+    assert made["125203"] == first["125203"] != made["211202"]
