@@ -1,8 +1,9 @@
 """Subword ids: words matched greedily, longest piece first, against a vocabulary table.
 
-Splitting a text into words is a native expression. Only the *different* words of a table are matched, each once, by a double-array
-trie that all executors get; the vocabulary's size is checked before it is sent. The ids come back by a join on the word, whose side
-has one row for it, so the adaptive skew join can split a frequent word.
+Splitting a text into words is a native expression. Words are matched by a double-array trie that all executors get; the vocabulary's
+size is checked before it is sent. The words of whole texts (`encode`) are matched where their rows lie, each *different* one of a batch
+once, and nothing is shuffled. Of titles and prefixes (`with_ids`) only the different words of the table are matched, and come back by
+a join on the word, whose side has one row for it, so the adaptive skew join can split a frequent word.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from quarry.functions.trie import DoubleArray
 
 #: Pieces of a vocabulary, at most: a trie of some 60 MB.
 MOST_PIECES = 1 << 20
+#: Rows whose words are matched at a time.
+ROWS = 500
 
 # What is a word. Control and format characters go, except tab and line ends.
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFD}\p{Cf}]"
@@ -167,6 +170,38 @@ class Matcher:
         return lists, pc.if_else(pa.array(blank), pa.scalar(None, shown.type), shown)
 
 
+def _encoded(matcher: Matcher, words: pa.Array) -> pa.Array:
+    """struct(ids, shown) of rows of words. Each different word of the batch is matched once."""
+    coded = pc.dictionary_encode(words.flatten())
+    lists, names = matcher.match(coded.dictionary.cast(pa.string()))
+    edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    found = pc.take(lists, coded.indices)
+    upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    ids = pa.ListArray.from_arrays(pa.array(upto[edges].astype(np.int32)), found.flatten().cast(pa.int32()))
+    said = pc.take(names.cast(pa.string()), coded.indices)
+    left = np.concatenate([[0], np.cumsum(pc.is_valid(said).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    shown = pa.ListArray.from_arrays(pa.array(left[edges].astype(np.int32)), said.drop_null())
+    return pa.StructArray.from_arrays([ids, shown], ["ids", "shown"])
+
+
+def encode_words(spark: SparkSession, words: Column | str, vocabulary: Vocabulary) -> Column:
+    """struct(ids, shown) of an array of words; an empty or null one has no ids. Rows stay where they are: nothing is shuffled."""
+    shared = spark.sparkContext.broadcast(vocabulary.matcher())
+
+    @F.arrow_udf("ids array<int>, shown array<string>")
+    def run(batch: pa.Array) -> pa.Array:
+        # Slices of rows bound what is held besides the batch.
+        parts = [_encoded(shared.value, batch[lo : lo + ROWS]) for lo in range(0, len(batch), ROWS)]
+        return pa.concat_arrays(parts) if parts else _encoded(shared.value, batch)
+
+    return run(F.col(words) if isinstance(words, str) else words)
+
+
+def encode(rows: DataFrame, key: list[str], words: str, vocabulary: Vocabulary) -> DataFrame:
+    """key, ids, shown (the words as their ids show them) of rows with an array of words; an empty one has no ids."""
+    return rows.select(*key, encode_words(rows.sparkSession, words, vocabulary).alias("_encoded")).select(*key, "_encoded.ids", "_encoded.shown")
+
+
 def match_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """word, ids, shown for a table of different words."""
     shared = words.sparkSession.sparkContext.broadcast(vocabulary.matcher())
@@ -180,8 +215,8 @@ def match_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return words.select("word").mapInArrow(run, "word string, ids array<int>, shown string")
 
 
-def encode(rows: DataFrame, key: list[str], words: str, vocabulary: Vocabulary) -> DataFrame:
-    """key, ids, shown (the words as their ids show them) of rows with a unique key and an array of words; an empty one has no ids."""
+def _joined(rows: DataFrame, key: list[str], words: str, vocabulary: Vocabulary) -> DataFrame:
+    """`encode` by a join on the different words of all rows, for short texts of which many are alike; the key is unique."""
     parts = rows.select(*key, F.posexplode_outer(words).alias("_pos", "word"))
     matched = match_words(parts.where("word is not null").select("word").distinct(), vocabulary)
     placed = parts.join(matched, "word", "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "ids", "shown"))).alias("_all"))
@@ -195,7 +230,7 @@ def with_ids(df: DataFrame, text: Column | str, vocabulary: Vocabulary, into: st
     words = vocabulary.words(text)
     words = words if most is None else F.slice(words, 1, most)
     keyed = df.withColumn("_words", words).withColumn("_digest", F.md5(F.array_join("_words", " ")))
-    found = encode(keyed.select("_digest", "_words").dropDuplicates(["_digest"]), ["_digest"], "_words", vocabulary)
+    found = _joined(keyed.select("_digest", "_words").dropDuplicates(["_digest"]), ["_digest"], "_words", vocabulary)
     found = found.select("_digest", F.col("ids").alias(into), *([F.col("shown").alias(shown)] if shown else []))
     return keyed.join(found, "_digest", "left").drop("_digest", "_words")
 

@@ -126,3 +126,14 @@ def test_normalised_words_are_matched_without_accents():
     ids, shown = V.matcher().match(pa.array(["café", "́", "", "x" * 101, "abq"]))
     assert ids.to_pylist() == [[V.id_of("cafe")], [], [], [1], [1]] and shown.to_pylist() == ["cafe", None, None, "[UNK]", "[UNK]"]
     assert unicodedata.normalize("NFD", "é")[0] == "e"
+
+
+def test_words_of_whole_texts_are_not_shuffled(spark):
+    """The words of a batch are matched where their rows lie; rows that are empty or null have no ids."""
+    texts = [("the unwanted run " * (k % 7) + ("zz é" if k % 3 else "")) if k % 5 else None for k in range(1203)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").withColumn("w", V.words("text"))
+    got = subwords.encode(df.unionByName(df.where("k = 7").withColumns({"k": F.lit(-1), "w": F.lit(None).cast("array<string>")})), ["k"], "w", V)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {r["k"]: (r["ids"], r["shown"]) for r in got.collect()}
+    assert found.pop(-1) == ([], [])
+    assert found == {r["k"]: (r["ids"], r["shown"]) for r in subwords._joined(df, ["k"], "w", V).collect()}
