@@ -70,9 +70,9 @@ def encode_column(text: Column, tokenizer: Tokenizer | None = None) -> Column:
     """array<int> of ids without an end id; null for null."""
     if tokenizer is None or isinstance(tokenizer, ByteTokenizer):
         shift = (tokenizer or BYTES).offset
-        # Two hex digits for each byte; a match of every pair gives the bytes in order.
-        pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), 1)
-        return F.transform(pairs, lambda p: (F.conv(p, 16, 10).cast("int") + shift).cast("int"))
+        # As ISO-8859-1 a byte is the character of the same number. The empty text is split into one empty character.
+        chars = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
+        return F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.ascii(c) + shift)
 
     @pandas_udf("array<int>")
     def encoded(texts: pd.Series) -> pd.Series:

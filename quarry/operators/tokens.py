@@ -28,15 +28,19 @@ def text_tokens(text: Column, kind: Column, tokenizer: Tokenizer | None = None,
     Existing non-empty lists are kept and only closed.
     """
     tokenizer = tokenizer or BYTES
-    ids = encode_column(F.coalesce(text, F.lit("")), tokenizer)
+    given = F.coalesce(text, F.lit(""))
+    ids = encode_column(given, tokenizer)
+    if not isinstance(tokenizer, ByteTokenizer):
+        return _limited(ids, ids, F.size(ids), text, kind, document_max, query_max, existing, tokenizer.eos_id)
     # Every character is a byte at least, so of a document no more characters than ids need to be encoded.
-    start = encode_column(F.substring(F.coalesce(text, F.lit("")), 1, document_max), tokenizer) if isinstance(tokenizer, ByteTokenizer) else ids
-    return _limited(ids, start, text, kind, document_max, query_max, existing, tokenizer.eos_id)
+    start = encode_column(F.substring(given, 1, document_max), tokenizer)
+    return _limited(ids, start, F.octet_length(given), text, kind, document_max, query_max, existing, tokenizer.eos_id)
 
 
-def _limited(ids: Column, start: Column, text: Column, kind: Column, document_max: int, query_max: int, existing: Column | None, eos: int | None) -> Column:
+def _limited(ids: Column, start: Column, n: Column, text: Column, kind: Column, document_max: int, query_max: int, existing: Column | None, eos: int | None) -> Column:
+    """n: how many ids there are."""
     too_long = F.raise_error(F.concat(F.lit(f"a query has more than {query_max} tokens: "), F.coalesce(text, F.lit("")))).cast("array<int>")
-    cut = F.when(kind == "document", F.slice(start, 1, document_max)).when(F.size(ids) > query_max, too_long).otherwise(ids)
+    cut = F.when(kind == "document", F.slice(start, 1, document_max)).when(n > query_max, too_long).otherwise(ids)
     if existing is not None:
         cut = F.when(F.size(F.coalesce(existing, F.array().cast("array<int>"))) > 0, existing).otherwise(cut)
     return ensure_eos(cut, eos)
@@ -82,7 +86,7 @@ def tokenise(corpus: Corpus, tokenizer: Tokenizer | None = None, document_max: i
         if isinstance(tokenizer, Vocabulary):
             # A word has an id at least, so no more words than ids, and one too many of a query, need to be encoded.
             df = with_ids(df, "text", tokenizer, "_ids", most=max(document_max, query_max + 1))
-            made = _limited(F.col("_ids"), F.col("_ids"), F.col("text"), kind, document_max, query_max, existing, tokenizer.eos_id)
+            made = _limited(F.col("_ids"), F.col("_ids"), F.size("_ids"), F.col("text"), kind, document_max, query_max, existing, tokenizer.eos_id)
             df = df.withColumn("text_tokens", made).drop("_ids")
         else:
             df = df.withColumn("text_tokens", text_tokens(F.col("text"), kind, tokenizer, document_max, query_max, existing))

@@ -189,3 +189,11 @@ def test_pages_made_from_few_files_are_dealt_out(spark):
 
     for name in ("html_sections", "html_tables", "html_lists", "html_intro"):
         assert getattr(catalogue_layouts, name)(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_bytes_are_encoded_without_a_pattern(spark):
+    values = ["", "a", "\x00\x7f", "é\n ", "ÿ", "ﬁ😀", "\u0085 x", " " * 3]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v string").coalesce(1)
+    made = rows.select(tokenizers.encode_column(F.col("v")).alias("ids"))
+    assert [r.ids for r in made.collect()] == [[b + 3 for b in v.encode()] for v in values] + [None]
+    assert "regexp" not in made._jdf.queryExecution().optimizedPlan().toString()
