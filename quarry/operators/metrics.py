@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Predictions whose lists one task makes, about.
+TASK_ROWS = 1 << 19
+
 
 def ranked_lists(predictions: DataFrame, gold: DataFrame, targets: DataFrame, depth: int, raw_depth: int | None = None) -> DataFrame:
     """qid, gold, n_predictions, n_invalid, rank (of gold among the valid different predictions, first `depth`), raw_rank.
 
     predictions: qid, rank, prediction. Every query of gold has a row, with or without predictions. Duplicates count as invalid as
-    often as they come. Only rows of one query meet in a window, a list as long as its beam.
+    often as they come. Only rows of one query meet in a window, a list as long as its beam. Lists are dealt to as many tasks as it
+    takes for each to have about TASK_ROWS predictions, so what a task holds does not grow with the table.
     """
     shown = predictions.select("qid", "rank", F.trim(F.col("prediction").cast("string")).alias("prediction"))
     valid = targets.select(F.col("target").alias("prediction"), F.lit(True).alias("_valid")).distinct()
     marked = shown.join(valid, "prediction", "left")
     answers = gold.select("qid", F.trim(F.col("gold").cast("string")).alias("gold"))
+    tasks = -(-predictions.count() // TASK_ROWS)
+    if tasks > int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        marked, answers = marked.repartition(tasks, "qid"), answers.repartition(tasks, "qid")
     joined = marked.join(answers.withColumnRenamed("qid", "_q"), F.col("qid") == F.col("_q")).drop("_q")
     best = joined.groupBy("qid", "gold", "prediction").agg(F.min("rank").alias("rank"), F.count("*").alias("n"), F.bool_or(F.coalesce("_valid", F.lit(False))).alias("valid"))
     place = F.sum(F.col("valid").cast("int")).over(Window.partitionBy("qid").orderBy("rank", "prediction").rowsBetween(Window.unboundedPreceding, 0))

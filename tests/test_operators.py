@@ -329,3 +329,17 @@ def test_the_first_pair_of_equal_six_digit_codes_is_told_apart(spark):
     assert first["125203"] == first["211202"]
     made = {r.old_docid: r.new_docid for r in identifiers.hash_ids(df, length=6).collect()}
     assert made["125203"] == first["125203"] != made["211202"]
+
+
+def test_ranked_lists_are_dealt_by_their_number(spark, monkeypatch):
+    """Many predictions go to more tasks than the session's, and the lists stay the same."""
+    predictions = spark.createDataFrame([(f"q{k % 40}", k // 40, f" t{(k * 7) % 23}") for k in range(400)], "qid string, rank int, prediction string")
+    gold = spark.createDataFrame([(f"q{k}", f"t{k % 23}") for k in range(42)], "qid string, gold string")
+    targets = spark.createDataFrame([(f"t{k}",) for k in range(0, 23, 2)], "target string")
+    few = metrics.ranked_lists(predictions, gold, targets, 5)
+    monkeypatch.setattr(metrics, "TASK_ROWS", 30)
+    many = metrics.ranked_lists(predictions, gold, targets, 5)
+    assert "RepartitionByExpression [qid" not in few._jdf.queryExecution().optimizedPlan().toString()
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [qid") >= 2 and ", 14" in plan
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
