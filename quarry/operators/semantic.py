@@ -2,9 +2,9 @@
 
 Vectors become integers first, of so few bits that every sum of products is exact in 64-bit floats; draws are hashes of seed, restart,
 step and document. So a node's clusters depend on its rows alone: not on their order, their partitions, or whether one task or all of
-them cluster it. A level of the tree is made at once. A node of at most NODE_ROWS rows is finished by one task, with its whole subtree;
-for the larger ones each step is one pass over their rows for all nodes, restarts and centres together, whose partial sums Spark adds
-up. Larger nodes are taken in waves of MOST_NODES, which bounds what the driver and a broadcast hold.
+them cluster it. A level of the tree is made at once. A node of few rows, of a quarter of the table at most if that is large, is
+finished by one task, with its whole subtree; for the larger ones each step is one pass over their rows for all nodes, restarts and
+centres together, whose partial sums Spark adds up. Larger nodes are taken in waves of MOST_NODES, which bounds what the driver and a broadcast hold.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from quarry.functions.ordinals import ORD, with_dense_order
 from quarry.functions.vectors import l2_normalise
 from quarry.storage import materialise
 
-#: Rows of a node that one task clusters. The result does not depend on it.
-NODE_ROWS = 10_000
+#: Rows of a node that one task clusters: a quarter of the table, but so many at least, and so many numbers at most (64 MB as floats).
+#: The result does not depend on it. Larger nodes take a job for each step, however many there are.
+NODE_ROWS, NODE_NUMBERS = 10_000, 1 << 23
 #: Larger nodes that are clustered at once.
 MOST_NODES = 500
 #: Bits of a component, and of a sum of products.
@@ -306,12 +307,12 @@ def as_integers(vectors: DataFrame, normalise: bool) -> tuple[DataFrame, int]:
 
 def semantic_ids(
     vectors: DataFrame, branching: int = 10, max_leaf: int = 100, seed: int = 42, restarts: int = 4, most_steps: int = 100, normalise: bool = True,
-    node_rows: int = NODE_ROWS, most_nodes: int = MOST_NODES, max_depth: int = 64,
+    node_rows: int = 0, most_nodes: int = MOST_NODES, max_depth: int = 64,
 ) -> DataFrame:
     """old_docid, new_docid. vectors: docid (unique), _ord, vector.
 
     A node that doesn't part is dealt round robin in document order. A cluster that loses its rows is given one at random. Ids are
-    unique because a branching above ten is refused. `node_rows` and `most_nodes` say how the work is cut, not what comes out.
+    unique because a branching above ten is refused. `node_rows` (0: by the table's size) and `most_nodes` say how the work is cut, not what comes out.
     """
     if not 2 <= branching <= 10 or max_leaf < 1:
         raise ValueError("branching lies between 2 and 10, and a leaf holds one document at least")
@@ -322,6 +323,7 @@ def semantic_ids(
     finish, done = _finish(branching, max_leaf, restarts, most_steps), None
     for _ in range(max_depth):
         rows = materialise(rows.sortWithinPartitions("prefix"), "tree")
+        node_rows = node_rows or max(NODE_ROWS, min(rows.count() // 4, NODE_NUMBERS // d))
         sizes = rows.groupBy("prefix", "seed").agg(F.count("*").alias("n"))
         large = F.col("n") > max(node_rows, max_leaf)
         small = rows.join(sizes.where(~large).select("prefix"), "prefix", "left_semi")

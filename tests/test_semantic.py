@@ -112,3 +112,15 @@ def test_empty_zero_and_bad_vectors(spark):
     for bad in (df.withColumn("vector", F.array(F.lit(None).cast("double"))), df.withColumn("vector", F.when(F.col(ORD) == 1, F.array(F.lit(1.0))).otherwise(F.col("vector"))), df.withColumn("vector", F.lit(None).cast("array<double>"))):
         with pytest.raises(ValueError):
             semantic.semantic_ids(bad)
+
+
+def test_nodes_of_a_quarter_are_finished_by_a_task(spark, monkeypatch):
+    """Only the root of a large table takes a job for each step; the ids are those of any other cut."""
+    x = np.random.default_rng(5).normal(size=(400, 6))
+    seen, plain = [], semantic._cluster_large
+    monkeypatch.setattr(semantic, "_cluster_large", lambda rows, nodes, *rest: (seen.append([n.prefix for n in nodes]), plain(rows, nodes, *rest)))
+    want = ids(semantic.semantic_ids(table(spark, x), 10, 20, restarts=1, most_steps=4, node_rows=1000))
+    assert seen == []
+    monkeypatch.setattr(semantic, "NODE_ROWS", 20)
+    assert ids(semantic.semantic_ids(table(spark, x), 10, 20, restarts=1, most_steps=4)) == want
+    assert seen == [[""]]
