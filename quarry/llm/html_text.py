@@ -1,13 +1,14 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are ordered by host and URL path, and each is paired with the neighbour on its host whose path is nearest. The text lines of
-the pair are aligned by their longest common subsequence, and lines that both share are deleted as parts of the site's frame.
+the pair, those of menus and footers too, are aligned by their longest common subsequence, and lines that both share are deleted as
+parts of the site's frame. Every page goes this way.
 
-What the markup itself declares comes first. Menus, headers, footers, asides, forms, adverts, notices and reader comments are never
-candidates, and lines of an element that a page declares to be its article are kept even if a neighbour has them too: sites carry
-copies of an article, and differencing alone would empty both. So differencing decides on pages that declare no article.
+What the markup declares is checked afterwards, against the lines that are left. Lines of menus, headers, footers, asides, forms,
+adverts, notices and reader comments go, since they may differ from page to page. If the page declares an article (or main part),
+lines outside it go, and those in it come back that the neighbour has too: sites carry copies of an article and of its paragraphs.
+Of several declared articles one that the neighbour has whole belongs to the frame, if the others are new to it.
 
-Only hosts with a page that declares no article take part in the sort; the other pages' texts are known once they are parsed.
 The order is a range sort on (host, path), so that one host with a third of all pages is spread over many tasks; each task streams
 its range and holds three pages at a time. The first and last page of a range meet those of the ranges beside it afterwards.
 """
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, new_path
+from quarry.llm.common import new_path
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
@@ -59,11 +60,23 @@ _INNER_NAME = re.compile(rf"(?:^|\s)(?:{_INNER_MORE}[_-]+)*{_INNER_WORD}(?:[_-]+
 _INNER_BY_ID, _INNER = frozenset("div ul ol".split()), frozenset("div ul ol section table span".split())
 _MAIN_NAME = re.compile(r"(?:^|\s)(?:main|articleBody|(?:article|post|entry|story)[_-]?(?:body|content|text)|article|main-?content)(?:$|\s)", re.I)
 
+#: Text and mark. The mark of a line of the frame is FRAME_LINE; others have their trust in the lowest two bits, and above them the
+#: number of the outermost article or main part around them.
 Block = tuple[str, int]
+FRAME_LINE = -1
 
 
-def blocks(page: str | None, lift: bool = False) -> list[Block]:
-    """(text, trust) of every candidate block in page order; trust 2: in an article, 1: in a declared main part, 0: elsewhere.
+def _trust(mark: int) -> int:
+    return 0 if mark == FRAME_LINE else mark & 3
+
+
+def blocks(page: str | None) -> list[Block]:
+    """(text, trust) of every line outside the frame, in page order."""
+    return [(s, _trust(m)) for s, m in page_lines(page) if m != FRAME_LINE]
+
+
+def page_lines(page: str | None, lift: bool = False) -> list[Block]:
+    """(text, mark) of every line in page order; trust 2: in an article, 1: in a declared main part, 0: elsewhere.
 
     An article inside a main part makes all of that page's main parts trusted alike: an introduction before it belongs to it. In an
     article no heading, paragraph or list item is taken for frame, whatever its names. Work and memory grow with the page's length
@@ -76,18 +89,22 @@ def blocks(page: str | None, lift: bool = False) -> list[Block]:
     hidden = False
     out: list[Block] = []
     words: list[str] = []
+    frame_words: list[str] = []
     # Open elements: (tag, whether it is frame, whether it is an article's header, trust).
     stack: list[tuple[str, bool, bool, int]] = []
     frame = in_header = heading = 0
     nested = False
+    part = 0
     n_open: Counter[str] = Counter()
 
     def flush() -> None:
-        if words:
-            text = _SPACE.sub(" ", "".join(words)).strip()
-            words.clear()
-            if text:
-                out.append((text, 2 if trusts[2] else 1 if trusts[1] else 0))
+        for found, is_frame in ((words, False), (frame_words, True)):
+            if found:
+                text = _SPACE.sub(" ", "".join(found)).strip()
+                found.clear()
+                if text:
+                    trust = 2 if trusts[2] else 1 if trusts[1] else 0
+                    out.append((text, FRAME_LINE if is_frame else trust | part << 2 if trust else 0))
 
     trusts = [0, 0, 0]
 
@@ -106,8 +123,9 @@ def blocks(page: str | None, lift: bool = False) -> list[Block]:
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
-        if text and not frame and (not in_header or heading):
-            words.append(html.unescape(text))  # a reference never spans a tag
+        if text:
+            own = not frame and (not in_header or heading)
+            (words if own else frame_words).append(html.unescape(text))  # a reference never spans a tag
         if m is None:
             break
         at = m.end()
@@ -158,6 +176,7 @@ def blocks(page: str | None, lift: bool = False) -> list[Block]:
             if lift:
                 stack = [(x[0], False, *x[2:]) for x in stack]
                 frame = 0
+        part += t > 0 and not trusts[1] and not trusts[2]
         nested = nested or (t == 2 and trusts[1] > 0)
         stack.append((tag, is_frame, article_header, t))
         n_open[tag] += 1
@@ -166,9 +185,26 @@ def blocks(page: str | None, lift: bool = False) -> list[Block]:
         heading += tag in HEADINGS
         trusts[t] += 1
     flush()
-    if hidden and not lift and not any(t for _, t in out):
-        return blocks(page, lift=True)
-    return [(s, 2 if t else 0) for s, t in out] if nested else out
+    if hidden and not lift and not any(_trust(m) for _, m in out):
+        return page_lines(page, lift=True)
+    return [(s, m & ~3 | 2 if _trust(m) else m) for s, m in out] if nested else out
+
+
+def _lengths(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The longest common subsequence's length of p and each beginning of q, by a row of bits: a zero is a step up."""
+    full = (1 << q.size) - 1
+    row = full
+    masks: dict[int, int] = {}
+    for v in p.tolist():
+        mask = masks.get(v)
+        if mask is None:
+            if len(masks) * q.size > 1 << 27:  # 16 MB
+                masks.clear()
+            mask = masks[v] = int.from_bytes(np.packbits(q == v, bitorder="little").tobytes(), "little")
+        hit = row & mask
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-q.size // 8), "little"), np.uint8), count=q.size, bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
 
 def common_lines(a: list[str], b: list[str]) -> list[bool]:
@@ -177,43 +213,54 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
     codes: dict[str, int] = {}
     x = np.array([codes.setdefault(s, len(codes)) for s in a], np.int64)
     y = np.array([codes.setdefault(s, len(codes)) for s in b], np.int64)
-
-    def lengths(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        row = np.zeros(q.size + 1, np.int32)
-        for v in p:
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (q == v)))
-        return row
-
+    # Lines that only one of them has belong to no common subsequence.
+    places = np.flatnonzero(np.isin(x, y))
+    x, y = x[places], y[np.isin(y, x)]
     todo = [(0, x.size, 0, y.size)]
     while todo:
         lo, hi, c, d = todo.pop()
         while lo < hi and c < d and x[lo] == y[c]:
-            shared[lo] = True
+            shared[places[lo]] = True
             lo, c = lo + 1, c + 1
         while lo < hi and c < d and x[hi - 1] == y[d - 1]:
-            shared[hi - 1] = True
+            shared[places[hi - 1]] = True
             hi, d = hi - 1, d - 1
         if lo >= hi or c >= d:
             continue
         if hi - lo == 1:
-            shared[lo] = bool((y[c:d] == x[lo]).any())
+            shared[places[lo]] = bool((y[c:d] == x[lo]).any())
             continue
         mid = (lo + hi) // 2
-        split = int(np.argmax(lengths(x[lo:mid], y[c:d]) + lengths(x[mid:hi][::-1], y[c:d][::-1])[::-1]))
+        split = int(np.argmax(_lengths(x[lo:mid], y[c:d]) + _lengths(x[mid:hi][::-1], y[c:d][::-1])[::-1]))
         todo += [(lo, mid, c, c + split), (mid, hi, c + split, d)]
     return shared
 
 
+def _most_trusted(page: list[Block]) -> list[Block]:
+    """The lines outside the frame, of which only those of the highest trust that the page has."""
+    best = max((_trust(m) for _, m in page), default=0)
+    return [(s, m) for s, m in page if m != FRAME_LINE and _trust(m) == best]
+
+
 def main_text(page: list[Block], partner: list[Block] | None) -> str:
-    """The lines of the most trusted part of a page; if it declares none, those that the partner doesn't share."""
-    best = max((t for _, t in page), default=0)
-    if best:
-        return "\n".join(s for s, t in page if t == best)
-    lines = [s for s, _ in page]
-    if not partner:
-        return "\n".join(lines)
-    shared = common_lines(lines, [s for s, _ in partner])
-    return "\n".join(s for s, gone in zip(lines, shared) if not gone)
+    """The lines that the partner doesn't share, checked against the page's markup.
+
+    Frame lines among them go. Declared articles are the text, whole, and so are main parts if there is no article. Of several articles
+    those without a line left go, if of each of the others half or more is left, and if the partner declares what this page lacks:
+    otherwise the two are versions of one page, or what both have is the partner's own article.
+    """
+    shared = common_lines([s for s, _ in page], [s for s, _ in partner]) if partner else [False] * len(page)
+    left = [block for block, gone in zip(page, shared) if not gone]
+    declared = _most_trusted(page)
+    if not any(_trust(m) for _, m in declared):
+        return "\n".join(s for s, m in left if m != FRAME_LINE)
+    parts = Counter(m for _, m in declared)
+    if partner and len(parts) > 1 and _trust(declared[0][1]) == 2:
+        new = Counter(m for _, m in left if m in parts)
+        here = {s for s, _ in page}
+        if new and all(2 * k >= parts[m] for m, k in new.items()) and any(s not in here for s, _ in _most_trusted(partner)):
+            parts = new
+    return "\n".join(s for s, m in declared if m in parts)
 
 
 def _near(a: tuple[str, str], b: tuple[str, str]) -> int:
@@ -226,54 +273,62 @@ def _near(a: tuple[str, str], b: tuple[str, str]) -> int:
 
 #: A page's key and lines, and the written rows: a settled page has its text; a row with `part` stands for the borders of a range,
 #: with its first two and last two pages.
-_PAGE = "page_id long, url string, host string, path string, lines binary, trusts binary"
-_PARSED = f"{_PAGE}, declared boolean"
+_PAGE = "page_id long, url string, host string, path string, lines binary, marks binary"
 _WRITTEN = f"page_id long, url string, text string, n_chars long, part int, head array<struct<{_PAGE}>>, tail array<struct<{_PAGE}>>"
-_FIELDS = ("page_id", "url", "host", "path", "lines", "trusts")
-_STRUCT = pa.struct([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary()), ("trusts", pa.binary())])
+_STRUCT = pa.struct([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary()), ("marks", pa.binary())])
+_SETTLED = (pa.int64(), pa.string(), pa.string(), pa.int64())
+#: Rows, and characters of text, that leave a task at once.
+_ROWS, _CHARS = 500, 4 << 20
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages with their blocks, lines and trusts packed, in place of their markup."""
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Markup as it is sorted: pressed page by page, which takes a quarter less than what a shuffle makes of it."""
+    codec = pa.Codec("zstd", compression_level=3)
     for batch in batches:
-        found = [blocks(page.as_py()) for page in batch.column(2)]
-        # No line holds a line feed.
-        lines = pa.array([zlib.compress("\n".join(s for s, _ in x).encode(), 1) for x in found], pa.binary())
-        trusts = pa.array([bytes(t for _, t in x) for x in found], pa.binary())
-        declared = pa.array([any(t for _, t in x) for x in found], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), lines, trusts, declared], names=[*_FIELDS, "declared"])
+        raw = [x.as_py() for x in batch.column(4)]
+        pressed = pa.array([None if x is None else codec.compress(x, asbytes=True) for x in raw], pa.binary())
+        sizes = pa.array([len(x or b"") for x in raw], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pressed, sizes], names=["page_id", "url", "host", "path", "html", "size"])
 
 
-def _declared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of pages that declare their article."""
-    for batch in batches:
-        texts = [main_text(_unpacked({"lines": a.as_py(), "trusts": b.as_py()}), None) for a, b in zip(batch.column(2), batch.column(3))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+def _packed(page: dict) -> dict:
+    # No line holds a line feed.
+    lines = zlib.compress("\n".join(s for s, _ in page["lines"]).encode(), 1)
+    return {**page, "lines": lines, "marks": np.array([m for _, m in page["lines"]], np.int64).tobytes()}
+
+
+def _unpacked(page: dict | None) -> dict | None:
+    if page is None:
+        return None
+    marks = np.frombuffer(page["marks"], np.int64).tolist()
+    return {**page, "lines": list(zip(zlib.decompress(page["lines"]).decode().split("\n"), marks))}
 
 
-def _unpacked(page: dict) -> list[Block]:
-    return list(zip(zlib.decompress(page["lines"]).decode().split("\n"), page["trusts"]))
+def _body(page: dict) -> list[str]:
+    return [s for s, m in page["lines"] if m != FRAME_LINE]
 
 
 def _settled(before: dict | None, now: dict, after: dict | None) -> tuple[int, str, str, int]:
     """The page's row, given the pages before and after it in the order."""
     around = [(_near((now["host"], now["path"]), (x["host"], x["path"])), -k, x) for k, x in enumerate((before, after)) if x is not None]
-    # A copy of the page says nothing of its frame.
-    best = max((x for x in around if x[0] >= 0 and x[2]["lines"] != now["lines"]), key=lambda x: x[:2], default=None)
-    text = main_text(_unpacked(now), _unpacked(best[2]) if best and not any(now["trusts"]) else None)
+    # A copy of the page, in another frame or the same, says nothing of its frame.
+    body = _body(now)
+    best = max((x for x in around if x[0] >= 0 and _body(x[2]) != body), key=lambda x: x[:2], default=None)
+    text = main_text(now["lines"], best[2]["lines"] if best else None)
     return now["page_id"], now["url"], text, len(text)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Settles all pages of a range but its first and last, which it hands on with their neighbours in the range."""
     context = TaskContext.get()
-    part, n = context.partitionId() if context else 0, 0
+    part, n, chars = context.partitionId() if context else 0, 0, 0
+    codec = pa.Codec("zstd")
     head: list[dict] = []
     tail: list[dict] = []
     rows: list[tuple] = []
 
     def out() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(_STRUCT), pa.list_(_STRUCT))
+        kinds = (*_SETTLED, pa.int32(), pa.list_(_STRUCT), pa.list_(_STRUCT))
         columns = list(zip(*rows)) if rows else [()] * len(kinds)
         batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "url", "text", "n_chars", "part", "head", "tail"])
         rows.clear()
@@ -281,14 +336,18 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for k in range(batch.num_rows):
-            page = {f: batch.column(c)[k].as_py() for c, f in enumerate(_FIELDS)}
-            if n > 1 and not any(tail[1]["trusts"]):
+            page_id, url, host, path, pressed, size = (c[k].as_py() for c in batch.columns)
+            markup = codec.decompress(pressed, size, asbytes=True).decode(errors="replace") if size else None
+            page = {"page_id": page_id, "url": url, "host": host, "path": path, "lines": page_lines(markup)}
+            if n > 1:
                 rows.append((*_settled(tail[0], tail[1], page), None, None, None))
-            head, tail, n = [*head, page][:2], [*tail, page][-2:], n + 1
-            if len(rows) >= 500:
+                chars += rows[-1][3]
+            head, tail, n = head if n > 1 else [*head, page], [*tail, page][-2:], n + 1
+            if len(rows) >= _ROWS or chars >= _CHARS:
                 yield out()
+                chars = 0
     if n:
-        rows.append((None, None, None, None, part, head, tail))
+        rows.append((None, None, None, None, part, [_packed(x) for x in head], [_packed(x) for x in tail]))
     yield out()
 
 
@@ -298,33 +357,31 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for head, tail, before, after in zip(*(c.to_pylist() for c in batch.columns)):
             here = [(before, head[0], after)] if len(head) == 1 else [(before, head[0], head[1]), (tail[0], tail[1], after)]
-            rows += [_settled(*x) for x in here if not any(x[1]["trusts"])]
+            rows += [_settled(*map(_unpacked, x)) for x in here]
         columns = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _SETTLED)], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
     A null or empty page, and one without text outside its frame, has the empty text. A page without a neighbour on its host keeps
-    all candidate lines; of two equally near neighbours the earlier one is taken. The pairs are the same for any partitioning. A null URL counts
-    as the empty one. Repeated rows are pages of their own. An empty table gives no row. Only page_id, url and html are read.
-    A page of any length is parsed in one pass; aligning two long ones takes the product of their numbers of lines.
+    all lines that its markup leaves; of two equally near neighbours the earlier one is taken. The pairs are the same for any
+    partitioning. A null URL counts as the empty one. Repeated rows are pages of their own. An empty table gives no row. Only page_id,
+    url and html are read. A page of any length is parsed in one pass; aligning two long ones takes the product of the numbers of
+    those lines that both have, 64 at a time.
     """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     plain = F.regexp_replace(url, r"(?s)[?#].*$", "")
     host = F.lower(F.regexp_extract(plain, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/]*)", 1))
     path = F.regexp_replace(plain, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/]*", "")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
+    markup = F.col("html").cast("string").cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), markup.alias("html"))
     # The hash spreads pages of one path over ranges, too.
-    order = ["host", "path", F.xxhash64("page_id", "url")]
-    layout = "page_id long, url string, text string, n_chars long"
-    parsed = materialise(rows.mapInArrow(_parsed, _PARSED), "parsed-pages")
-    known = parsed.where("declared").select("page_id", "url", "lines", "trusts").mapInArrow(_declared, layout)
-    hosts = parsed.where("not declared").select("host").distinct()
-    if not hosts.take(1):
-        return known
-    ranged = parsed.join(hosts, "host", "left_semi").select(*_FIELDS).repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["host", "path", F.xxhash64("page_id", "url"), F.xxhash64("html")]
+    # Pages are parsed after the sort: it draws its sample from what it is given, all of which is made twice.
+    pressed = rows.mapInArrow(_pressed, "page_id long, url string, host string, path string, html binary, size long")
+    ranged = pressed.repartitionByRange(*order).sortWithinPartitions(*order)
     where = new_path(pages.sparkSession, "pages")
     ranged.mapInArrow(_extracted, _WRITTEN).write.option("compression", "zstd").parquet(where)
     written = pages.sparkSession.read.schema(_WRITTEN).parquet(where)
@@ -332,9 +389,9 @@ def extract(pages: DataFrame) -> DataFrame:
     edges = written.where("part IS NOT NULL").select("part", "head", "tail")
     parts = sorted(r[0] for r in edges.select("part").collect())  # one number a range
     if not parts:
-        return known.unionByName(settled)
+        return settled
     links = pages.sparkSession.createDataFrame(list(zip(parts, [None, *parts], [*parts[1:], None])), "part int, earlier int, later int")
     before = edges.select(F.col("part").alias("earlier"), F.element_at("tail", -1).alias("before"))
     after = edges.select(F.col("part").alias("later"), F.col("head")[0].alias("after"))
     borders = edges.join(links, "part").join(before, "earlier", "left").join(after, "later", "left").select("head", "tail", "before", "after")
-    return known.unionByName(settled).unionByName(borders.mapInArrow(_borders, layout))
+    return settled.unionByName(borders.mapInArrow(_borders, "page_id long, url string, text string, n_chars long"))

@@ -350,3 +350,43 @@ def test_only_hosts_with_undeclared_pages_are_sorted(spark):
     assert got == {**{k: f"text {k}" for k in range(6)}, **{10 + k: f"own {k}" for k in range(6)}}
     some = spark.createDataFrame(declared, "page_id long, url string, html string")
     assert "RANGE" not in html_text.extract(some)._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_every_page_is_differenced(spark, monkeypatch):
+    """A declared article is checked against what its neighbour leaves of the page, it takes no way of its own."""
+    page = "<nav><p>menu</p></nav><article><p>Author of the month</p></article><article><p>story {}</p><p>Read on</p></article><footer><p>us</p></footer>".format
+    one, two = (html_text.page_lines(page(k)) for k in (1, 2))
+    assert [s for s, m in one if m == html_text.FRAME_LINE] == ["menu", "us"]
+    aligned, common_lines = [], html_text.common_lines
+    monkeypatch.setattr(html_text, "common_lines", lambda a, b: aligned.append(a) or common_lines(a, b))
+    # What both have of an article comes back with it, an article that both have does not.
+    assert html_text.main_text(one, two) == "story 1\nRead on"
+    assert aligned == [["menu", "Author of the month", "story 1", "Read on", "us"]]
+    only, both = (html_text.page_lines(f"<p>top</p><article>A</article>{x}") for x in ("", "<article>B</article>"))
+    # A page of that article alone doesn't make it frame; nor is an article lost that both have whole.
+    assert html_text.main_text(only, both) == "A" and html_text.main_text(both, only) == "A\nB" == html_text.main_text(both, None)
+    # Versions of a page, and an article in pieces that only classes name, stay whole.
+    first, second = (html_text.page_lines(f"<article><p>a</p><p>b</p><p>c{k}</p></article><article>d</article>") for k in (1, 2))
+    assert html_text.main_text(first, second) == "a\nb\nc1\nd"
+    first, second = (html_text.page_lines(f'<div class="article-body">a{k}</div><p>x</p><div class="article-body">b</div>') for k in (1, 2))
+    assert html_text.main_text(first, second) == "a1\nb"
+    assert len(aligned) == 5
+    table = spark.createDataFrame([(k, f"https://h.example/{k}", page(k)) for k in range(40)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(table.repartition(5)).collect()} == {k: f"story {k}\nRead on" for k in range(40)}
+
+
+def test_a_copy_in_another_frame_does_not_empty_a_page(spark):
+    page = "<p>Welcome</p><p>story {}</p><footer><p>seen {} times</p></footer>".format
+    pages = [(1, "https://h.example/a/1", page(1, 8)), (2, "https://h.example/a/1", page(1, 9)), (3, "https://h.example/a/3", page(3, 8))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(f"story {1 if k < 3 else 3}" in t and "seen" not in t for k, t in got.items()) and len(got) == 3
+
+
+def test_common_lines_of_long_pages():
+    rng = random.Random(2)
+    for n, letters in ((150, "ab"), (200, "abcdefgh"), (129, "abcdefghijklmnopqrstuvwxyz")):
+        a, b = ([rng.choice(letters) for _ in range(rng.randrange(n // 2, n))] for _ in range(2))
+        a[::7] = [f"own {k}" for k in range(len(a[::7]))]
+        kept = [x for x, s in zip(a, html_text.common_lines(a, b)) if s]
+        rest = iter(b)
+        assert len(kept) == lcs(a, b) and all(any(y == x for y in rest) for x in kept)
