@@ -343,3 +343,23 @@ def test_ranked_lists_are_dealt_by_their_number(spark, monkeypatch):
     plan = many._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression [qid") >= 2 and ", 14" in plan
     assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+
+
+@pytest.mark.parametrize(("base", "length", "n"), [("0123456789abcdef", 2, 256), ("abc", 4, 81)])
+def test_full_spaces_of_codes_settle_in_tens_of_rounds(spark, base, length, n):
+    """The last documents need hundreds of salts, which once took a round each."""
+    import hashlib
+
+    expected, most = {}, 0
+    for k in range(n):
+        salt = -1
+        code = None
+        while code is None or code in expected:
+            salt += 1
+            value = int.from_bytes(hashlib.sha256(str(k).encode() + salt.to_bytes(8, "big")).digest()[:8], "big")
+            code = "".join(base[value // len(base) ** p % len(base)] for p in range(length))
+        expected[code] = str(k)
+        most = max(most, salt)
+    assert most > 40
+    got = identifiers.hash_ids(docs(spark, n), length, "custom", base, most_rounds=40)
+    assert {r.new_docid: r.old_docid for r in got.collect()} == expected
